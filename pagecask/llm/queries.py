@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagecask.llm.residue import p2_found
 from pagecask.llm.visual_form import p5_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
     "p5_found": p5_found,
 }
 #: SQL cannot state these operators; tests hold them against brute force, round trips and held-out accuracy.

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pagecask.sources.scratch import written
+
 # Letters that look the same, in the order Latin, Greek, Cyrillic; "-" where the script has none.
 LOOKALIKES = """
 A Α А
@@ -153,60 +155,82 @@ def _needs_work() -> re.Pattern:
     odd = [c for c, parts in decompositions().items() if table.get(parts) != c and not 0xAC00 <= ord(c) < 0xD7A4]
     odd += [chr(o) for o in range(0x300, 0x30000) if not 0xD800 <= o < 0xE000 and _is_mark(chr(o))]
     odd += [chr(o) for o in range(0xAC00, 0xD7A4)]
-    points = sorted({ord(c) for c in odd})
-    spans, start = [], points[0]
-    for a, b in zip(points, [*points[1:], sys.maxunicode + 9], strict=True):
-        if b != a + 1:
-            spans.append(f"{re.escape(chr(start))}-{re.escape(chr(a))}")
-            start = b
-    return re.compile("[" + "".join(spans) + "]")
+    return re.compile("[" + _spans(set(odd)) + "]")
 
 
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯἀ-῿]")
 _WORD = re.compile(r"(?:[^\W\d_][̀-ͯ]*)+")
-_PLAIN = re.compile("[A-Za-z]")
 
 
-def _settle_scripts(text: str) -> str:
-    whole: Counter = Counter()
+def _best(votes: Counter) -> int:
+    return min(votes, key=lambda s: (-votes[s], s))
 
-    def votes(chars: str) -> Counter:
-        return Counter(s for s in map(_script, chars) if s >= 0)
 
-    def best(v: Counter) -> int:
-        return min(v, key=lambda s: (-v[s], s))
+def _in_script(word: str, overall: int) -> str:
+    votes = Counter(s for s in map(_script, word) if s >= 0)
+    s = _best(votes) if votes else overall
+    return "".join(_CLASS[c][s] if c in _CLASS else c for c in word)
 
-    whole = votes(text)
-    overall = best(whole) if whole else LATIN
 
-    def word(m: re.Match) -> str:
-        w = m.group(0)
-        v = votes(w)
-        s = best(v) if v else overall
-        return "".join(_CLASS[c][s] if c in _CLASS else c for c in w)
+def _settle_scripts(text: str) -> str:
+    """Bases without their marks, each look-alike in the script of its word, else of the text."""
+    votes = Counter(s for s in map(_script, text) if s >= 0)
+    overall = _best(votes) if votes else LATIN
+    return _WORD.sub(lambda m: _in_script(m.group(0), overall), text)
+
+
+def _spans(chars) -> str:
+    points = sorted(map(ord, chars))
+    spans, start = [], points[0]
+    for a, b in zip(points, [*points[1:], sys.maxunicode + 9], strict=True):
+        if b != a + 1:
+            spans.append(f"{re.escape(chr(start))}-{re.escape(chr(a))}")
+            start = b
+    return "".join(spans)
+
 
-    return _WORD.sub(word, text)
+@lru_cache(1)
+def _script_patterns() -> tuple[list[re.Pattern], re.Pattern, re.Pattern]:
+    """Runs of each script's unambiguous letters; two scripts side by side; words of ambiguous letters only."""
+    by: dict[int, list[str]] = {LATIN: [], GREEK: [], CYRILLIC: [], -1: []}
+    blocks: dict[int, list[str]] = {LATIN: [], GREEK: [], CYRILLIC: []}
+    for o in [*range(0x41, 0x530), *range(0x1E00, 0x2000)]:
+        ch = chr(o)
+        if ch.isalpha():
+            base = decompositions().get(ch, ch)[:1] or ch
+            by[-1 if base in _CLASS else _script(base)].append(ch)
+            block = GREEK if 0x370 <= o < 0x400 or o >= 0x1F00 else CYRILLIC if 0x400 <= o else LATIN
+            blocks[block].append(ch)
+    latin, greek, cyrillic = (f"[{_spans(blocks[s])}]" for s in (LATIN, GREEK, CYRILLIC))
+    pairs = [(latin, greek), (latin, cyrillic), (greek, cyrillic)]
+    mixed = "|".join(f"{a}{b}|{b}{a}" for a, b in pairs)
+    ambiguous = [c for c in by[-1] if decompositions().get(c, c)[:1] in _CLASS]
+    runs = [re.compile(f"[{_spans(by[s])}]+") for s in (LATIN, GREEK, CYRILLIC)]
+    return runs, re.compile(mixed), re.compile(rf"(?<![^\W\d_])[{_spans(ambiguous)}]+(?![^\W\d_])")
 
 
 def _one_script(text: str) -> bool:
-    """Whether no letter can change: one script only, shown by an unambiguous letter."""
-    greek = cyrillic = False
-    for ch in set(_FOREIGN.findall(text)):
-        if ord(ch) < 0x400 or ord(ch) >= 0x1F00:
-            greek = True
-        else:
-            cyrillic = True
-    if not greek and not cyrillic:
-        return True
-    return not (greek and cyrillic) and not _PLAIN.search(text) and any(_script(c) >= 0 for c in set(text))
+    """Whether no letter can change: all are Latin."""
+    return not _FOREIGN.search(text)
 
 
 def canonical(text: str | None) -> str | None:
     """The one form of a text; see the module's docstring."""
     if text is None or text.isascii() and "\t" not in text and "\r" not in text:
         return text
-    if not _needs_work().search(text) and "\t" not in text and "\r" not in text and _one_script(text):
-        return text
+    if not _needs_work().search(text) and "\t" not in text and "\r" not in text:
+        if _one_script(text):
+            return text
+        runs, mixed, ambiguous = _script_patterns()
+        if not mixed.search(text):  # only words of ambiguous letters can change
+            votes = Counter({s: n for s, run in enumerate(runs) if (n := sum(map(len, run.findall(text))))})
+            overall = _best(votes) if votes else LATIN
+            return ambiguous.sub(lambda m: _rebuilt(m.group(0), overall), text)
+    return _rebuilt(text, None)
+
+
+def _rebuilt(text: str, overall: int | None) -> str:
+    """Every step, one code point at a time; ``overall`` is the script of the text if this is a word of it."""
     table = decompositions()
     parts = "".join([table.get(c, c) for c in text])
     first = next((k for k, c in enumerate(parts) if not _is_mark(c)), len(parts))
@@ -219,7 +243,10 @@ def canonical(text: str | None) -> str | None:
         else:
             bases.append(part)
     plain = "".join(bases)
-    settled = list(plain if _one_script(plain) else _settle_scripts(plain))
+    if overall is not None:
+        settled = list(_in_script(plain, overall))
+    else:
+        settled = list(plain if _one_script(plain) else _settle_scripts(plain))
     for k, own in marks.items():
         settled[k] = _compose(settled[k], own)
     return lead + "".join(settled)
@@ -366,10 +393,33 @@ _EASY = (
     r"\x{370}-\x{3ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{300}-\x{36f}\x{1f00}-\x{1fbc}\x{2190}-\x{2200}\x{2600}-\x{26ff}\x{ff01}-\x{ff5e}\x{feff}\x{3000}]"
 )
 _CHEAP = r"[\p{Mn}\p{Cf}\x{34f}]"
+#: Up to so many words a profile also holds the letters themselves; longer texts differ enough in word lengths.
+SHORT_WORDS = 80
+
+
+@lru_cache(1)
+def _letter_keys() -> tuple[str, str]:
+    """translate() arguments that keep what every spelling of a text shares, and delete the rest."""
+    table = decompositions()
+    unsure = set(_CLASS) | set(" -\n") | {p for parts in table.values() if sum(not _is_mark(p) for p in parts) != 1 for p in parts}
+    keep, drop = {}, set(unsure)
+    for ch, parts in table.items():
+        if 0xAC00 <= ord(ch) < 0xD7A4:
+            drop.update((ch, *parts))
+            continue
+        bases = [p for p in parts if not _is_mark(p)]
+        drop.update(p for p in parts if _is_mark(p))
+        if len(bases) == 1 and bases[0] not in unsure:
+            keep[ch] = bases[0]
+        else:
+            drop.add(ch)
+    drop.update(chr(o) for o in range(0x300, 0x30000) if not 0xD800 <= o < 0xE000 and _is_mark(chr(o)))
+    drop -= set(keep)
+    return "".join(keep) + "".join(sorted(drop)), "".join(keep.values())
 
 
 def look_profile(text: Column) -> Column:
-    """A hash that texts of one form always share: how many bases stand between blanks.
+    """A hash that texts of one form always share: how many bases stand between blanks, and of short texts the letters that no look-alike or ligature can stand for.
 
     Candidates only: it separates texts that cannot have one form without
     exploding them.  Computed in the JVM, without a shuffle.
@@ -380,13 +430,14 @@ def look_profile(text: Column) -> Column:
     for n, chars in classes.items():
         if n > 1:
             plain = F.regexp_replace(plain, chars, "x" * n)
-    plain = (
-        F.when(~text.rlike(r"[^ -~\n]"), text)
-        .when(~text.rlike(_EASY), F.regexp_replace(text, _CHEAP, ""))  # the long classes are slow, and rarely needed
-        .otherwise(plain)
+    blank = _java_class({" ", *(c for c, parts in decompositions().items() if parts == " ")})
+    words = (
+        F.when(~text.rlike(r"[^ -~\n]"), F.split(text, " "))
+        .when(~text.rlike(_EASY), F.split(F.regexp_replace(text, _CHEAP, ""), blank))  # the long classes are slow, and rarely needed
+        .otherwise(F.split(plain, blank))
     )
-    blanks = "".join(sorted({c for c, parts in decompositions().items() if parts == " "}))
-    return F.xxhash64(F.transform(F.split(F.translate(plain, blanks, " " * len(blanks)), " "), F.length))
+    letters = F.when(F.size(words) <= SHORT_WORDS, F.translate(text, *_letter_keys()))
+    return F.xxhash64(F.transform(words, F.length), letters)
 
 
 def lookalike_pairs(texts: DataFrame) -> DataFrame:
@@ -399,11 +450,12 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     """
     rows = texts.where(F.col("text").isNotNull() & (F.col("text") != "")).select("field", "id", "text")
     keyed = rows.select("field", "id", look_profile(F.col("text")).alias("_p"), F.xxhash64("field", "text").alias("_h"))
+    keyed = written(keyed, "look-profiles")
     kinds = keyed.groupBy("field", "_p", "_h").agg(F.min("id").alias("_rep"))
     shared = kinds.groupBy("field", "_p").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi")).where("_lo <> _hi")
     reps = kinds.join(shared.select("field", "_p"), ["field", "_p"], "left_semi")
     wanted = rows.join(reps.select("field", F.col("_rep").alias("id"), "_h"), ["field", "id"]).select("_h", "text")
-    forms = canonical_forms(wanted, "_h", "text").select("_h", F.md5("form").alias("_form"))
+    forms = written(canonical_forms(wanted, "_h", "text").select("_h", F.md5("form").alias("_form")), "look-forms")
     members = keyed.select("field", "id", "_h").join(forms, "_h")
     several = forms.groupBy("_form").agg(F.count("*").alias("_n")).where("_n > 1").select("_form")
     members = members.join(several, "_form", "left_semi")
