@@ -214,6 +214,11 @@ def _one_script(text: str) -> bool:
     return not _FOREIGN.search(text)
 
 
+def latin_skeleton(text: str) -> str:
+    """Every look-alike as its Latin form, whatever its word; for lookups in lists of Latin words."""
+    return text if not _FOREIGN.search(text) else "".join(_CLASS[c][LATIN] if c in _CLASS else c for c in text)
+
+
 def canonical(text: str | None) -> str | None:
     """The one form of a text; see the module's docstring."""
     if text is None or text.isascii() and "\t" not in text and "\r" not in text:
