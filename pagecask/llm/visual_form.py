@@ -94,8 +94,10 @@ def _script(ch: str) -> int:
 def _keeps_look(ch: str, kind: str, whole: str) -> bool:
     if kind not in SAME_LOOK:
         return False
-    if kind == "<compat>":  # not spacing accents, the long s or Greek symbol variants, which look different
-        return not (whole.startswith(" ") and len(whole) > 1) and ch != "ſ" and not 0x3D0 <= ord(ch) < 0x400
+    if kind == "<compat>":  # not spacing accents, the long s, Greek symbol variants, or letters and numbers set in a sign, which look different
+        o = ord(ch)
+        sign = 0x3D0 <= o < 0x400 or 0x2100 <= o < 0x2150 or 0x2460 <= o < 0x2500 or 0x3200 <= o < 0x3400 or 0x1F100 <= o < 0x1F300
+        return not (whole.startswith(" ") and len(whole) > 1) and ch != "ſ" and not sign
     return True
 
 
@@ -398,8 +400,8 @@ _EASY = (
     r"\x{370}-\x{3ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{300}-\x{36f}\x{1f00}-\x{1fbc}\x{2190}-\x{2200}\x{2600}-\x{26ff}\x{ff01}-\x{ff5e}\x{feff}\x{3000}]"
 )
 _CHEAP = r"[\p{Mn}\p{Cf}\x{34f}]"
-#: Up to so many words a profile also holds the letters themselves; longer texts differ enough in word lengths.
-SHORT_WORDS = 80
+#: Up to so many bases a profile has the length of each word and the letters themselves; of longer texts, the length of each line.
+SHORT_TEXT = 500
 
 
 @lru_cache(1)
@@ -423,26 +425,31 @@ def _letter_keys() -> tuple[str, str]:
     return "".join(keep) + "".join(sorted(drop)), "".join(keep.values())
 
 
-def look_profile(text: Column) -> Column:
-    """A hash that texts of one form always share: how many bases stand between blanks, and of short texts the letters that no look-alike or ligature can stand for.
+def look_profile(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds a hash that texts of one form always share.
 
-    Candidates only: it separates texts that cannot have one form without
-    exploding them.  Computed in the JVM, without a shuffle.
+    It is made of the number of bases in each line, or in each word of a short
+    text, and there of the letters that no look-alike or ligature can stand
+    for.  Candidates only: it separates texts that cannot have one form without
+    exploding them.  Computed in the JVM, without a shuffle; each step is its
+    own projection, since its result is used more than once.
     """
     classes = _length_classes()
-    plain = F.regexp_replace(text, _java_class(LINE_ENDS), "\n")
-    plain = F.regexp_replace(plain, classes[0], "")
+    full = F.regexp_replace(text, _java_class(LINE_ENDS), "\n")
+    full = F.regexp_replace(full, classes[0], "")
     for n, chars in classes.items():
         if n > 1:
-            plain = F.regexp_replace(plain, chars, "x" * n)
-    blank = _java_class({" ", *(c for c, parts in decompositions().items() if parts == " ")})
-    words = (
-        F.when(~text.rlike(r"[^ -~\n]"), F.split(text, " "))
-        .when(~text.rlike(_EASY), F.split(F.regexp_replace(text, _CHEAP, ""), blank))  # the long classes are slow, and rarely needed
-        .otherwise(F.split(plain, blank))
+            full = F.regexp_replace(full, chars, "x" * n)
+    plain = (
+        F.when(~F.col(text).rlike(r"[^ -~\n]"), F.col(text))
+        .when(~F.col(text).rlike(_EASY), F.regexp_replace(text, _CHEAP, ""))  # the long classes are slow, and rarely needed
+        .otherwise(full)
     )
-    letters = F.when(F.size(words) <= SHORT_WORDS, F.translate(text, *_letter_keys()))
-    return F.xxhash64(F.transform(words, F.length), letters)
+    blank = _java_class({" ", *(c for c, parts in decompositions().items() if parts == " ")})
+    step = df.withColumn("_plain", plain).withColumn("_short", F.length("_plain") <= SHORT_TEXT)
+    counts = F.when(F.col("_short"), F.transform(F.split("_plain", blank), F.length)).otherwise(F.transform(F.split("_plain", "\n"), F.length))
+    letters = F.when(F.col("_short"), F.translate(text, *_letter_keys()))
+    return step.withColumn(out, F.xxhash64(counts, letters)).drop("_plain", "_short")
 
 
 def lookalike_pairs(texts: DataFrame) -> DataFrame:
@@ -454,7 +461,7 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     distinct string.
     """
     rows = texts.where(F.col("text").isNotNull() & (F.col("text") != "")).select("field", "id", "text")
-    keyed = rows.select("field", "id", look_profile(F.col("text")).alias("_p"), F.xxhash64("field", "text").alias("_h"))
+    keyed = look_profile(rows, "text", "_p").select("field", "id", "_p", F.xxhash64("field", "text").alias("_h"))
     keyed = written(keyed, "look-profiles")
     kinds = keyed.groupBy("field", "_p", "_h").agg(F.min("id").alias("_rep"))
     shared = kinds.groupBy("field", "_p").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi")).where("_lo <> _hi")
