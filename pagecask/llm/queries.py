@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagecask.llm.boilerplate import p3_found
 from pagecask.llm.language import p1_found
+from pagecask.llm.near_duplicates import p4_found
 from pagecask.llm.residue import p2_found
 from pagecask.llm.visual_form import p5_found
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
 }
 #: SQL cannot state these operators; tests hold them against brute force, round trips and held-out accuracy.
