@@ -118,7 +118,7 @@ def decompositions() -> dict[str, str]:
             whole = unicodedata.normalize("NFKD", ch)
             spec = unicodedata.decomposition(ch)
             kind = spec.split(" ")[0] if spec.startswith("<") else ""
-            parts = whole if _keeps_look(ch, kind, whole) else unicodedata.normalize("NFD", ch)
+            parts = whole if _keeps_look(ch, kind, whole) and not (" " in whole and len(whole) > 1) else unicodedata.normalize("NFD", ch)
             parts = "".join(out.get(p, p) if p in HYPHENS else p for p in parts)
             if parts != ch:
                 out[ch] = parts
@@ -369,46 +369,15 @@ def canonical_forms(df: DataFrame, key: str, text: str, out: str = "form") -> Da
 # --- finding look-alike pairs ------------------------------------------------
 
 
-def _java_class(chars) -> str:
-    points = sorted({ord(c) for c in chars})
-    spans, start = [], points[0]
-    for a, b in zip(points, [*points[1:], 1 << 30], strict=True):
-        if b != a + 1:
-            spans.append(f"\\x{{{start:x}}}-\\x{{{a:x}}}" if a > start else f"\\x{{{a:x}}}")
-            start = b
-    return "[" + "".join(spans) + "]"
-
-
 @lru_cache(1)
-def _length_classes() -> dict[int, str]:
-    """Java character classes of the code points that stand for 0, 2, 3, ... bases (1 is the rest)."""
-    by: dict[int, list[str]] = {}
-    for ch, parts in decompositions().items():
-        n = sum(not _is_mark(p) for p in parts)
-        if n != 1:
-            by.setdefault(n, []).append(ch)
-    by.setdefault(0, []).extend(chr(o) for o in range(0x300, 0x30000) if not 0xD800 <= o < 0xE000 and _is_mark(chr(o)))
-    hangul = {chr(o) for o in range(0xAC00, 0xD7A4)}
-    by = {n: [c for c in chars if c not in hangul] for n, chars in by.items()}
-    by[0].extend(chr(o) for o in range(0x1161, 0x1200))  # with its lead a Hangul syllable is one base
-    return {n: _java_class(c) for n, c in by.items() if c}
-
-
-# Blocks in which every code point stands for one base, but for those that _CHEAP deletes.
-_EASY = (
-    r"[^\x00-\x0c\x0e-\x7f\xa0-\x{131}\x{2000}-\x{200f}\x{2010}-\x{2023}\x{202f}\x{2039}-\x{203b}\x{2060}"
-    r"\x{370}-\x{3ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{300}-\x{36f}\x{1f00}-\x{1fbc}\x{2190}-\x{2200}\x{2600}-\x{26ff}\x{ff01}-\x{ff5e}\x{feff}\x{3000}]"
-)
-_CHEAP = r"[\p{Mn}\p{Cf}\x{34f}]"
-#: Up to so many bases a profile has the length of each word and the letters themselves; of longer texts, the length of each line.
-SHORT_TEXT = 500
+def _stable_keys() -> tuple[str, str]:
+    """translate() arguments that keep what every spelling of a text shares, and delete the rest.
 
-
-@lru_cache(1)
-def _letter_keys() -> tuple[str, str]:
-    """translate() arguments that keep what every spelling of a text shares, and delete the rest."""
+    Kept are characters that only single code points stand for; letters with
+    look-alikes, parts of ligatures, marks and invisible characters go.
+    """
     table = decompositions()
-    unsure = set(_CLASS) | set(" -\n") | {p for parts in table.values() if sum(not _is_mark(p) for p in parts) != 1 for p in parts}
+    unsure = set(_CLASS) | {p for parts in table.values() if sum(not _is_mark(p) for p in parts) != 1 for p in parts}
     keep, drop = {}, set(unsure)
     for ch, parts in table.items():
         if 0xAC00 <= ord(ch) < 0xD7A4:
@@ -425,31 +394,13 @@ def _letter_keys() -> tuple[str, str]:
     return "".join(keep) + "".join(sorted(drop)), "".join(keep.values())
 
 
-def look_profile(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds a hash that texts of one form always share.
+def look_profile(text: Column) -> Column:
+    """A hash that texts of one form always share, of the whole text.
 
-    It is made of the number of bases in each line, or in each word of a short
-    text, and there of the letters that no look-alike or ligature can stand
-    for.  Candidates only: it separates texts that cannot have one form without
-    exploding them.  Computed in the JVM, without a shuffle; each step is its
-    own projection, since its result is used more than once.
+    Candidates only: it separates texts that cannot have one form without
+    exploding them.  Computed in the JVM, without a shuffle.
     """
-    classes = _length_classes()
-    full = F.regexp_replace(text, _java_class(LINE_ENDS), "\n")
-    full = F.regexp_replace(full, classes[0], "")
-    for n, chars in classes.items():
-        if n > 1:
-            full = F.regexp_replace(full, chars, "x" * n)
-    plain = (
-        F.when(~F.col(text).rlike(r"[^ -~\n]"), F.col(text))
-        .when(~F.col(text).rlike(_EASY), F.regexp_replace(text, _CHEAP, ""))  # the long classes are slow, and rarely needed
-        .otherwise(full)
-    )
-    blank = _java_class({" ", *(c for c, parts in decompositions().items() if parts == " ")})
-    step = df.withColumn("_plain", plain).withColumn("_short", F.length("_plain") <= SHORT_TEXT)
-    counts = F.when(F.col("_short"), F.transform(F.split("_plain", blank), F.length)).otherwise(F.transform(F.split("_plain", "\n"), F.length))
-    letters = F.when(F.col("_short"), F.translate(text, *_letter_keys()))
-    return step.withColumn(out, F.xxhash64(counts, letters)).drop("_plain", "_short")
+    return F.xxhash64(F.translate(text, *_stable_keys()))
 
 
 def lookalike_pairs(texts: DataFrame) -> DataFrame:
@@ -461,7 +412,7 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     distinct string.
     """
     rows = texts.where(F.col("text").isNotNull() & (F.col("text") != "")).select("field", "id", "text")
-    keyed = look_profile(rows, "text", "_p").select("field", "id", "_p", F.xxhash64("field", "text").alias("_h"))
+    keyed = rows.select("field", "id", look_profile(F.col("text")).alias("_p"), F.xxhash64("field", "text").alias("_h"))
     keyed = written(keyed, "look-profiles")
     kinds = keyed.groupBy("field", "_p", "_h").agg(F.min("id").alias("_rep"))
     shared = kinds.groupBy("field", "_p").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi")).where("_lo <> _hi")
