@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagecask.llm.boilerplate import p3_found
 from pagecask.llm.language import p1_found
+from pagecask.llm.mixing import p7_mixed, p7_shares
 from pagecask.llm.near_duplicates import p4_found
+from pagecask.llm.packing import p6_fill, p6_packed
 from pagecask.llm.residue import p2_found
+from pagecask.llm.splitting import p8_pieces
 from pagecask.llm.visual_form import p5_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
+    "p7_mixed": p7_mixed,
+    "p7_shares": p7_shares,
+    "p8_pieces": p8_pieces,
 }
 #: SQL cannot state these operators; tests hold them against brute force, round trips and held-out accuracy.
 ORACLE_SQL: dict[str, str] = {}
