@@ -157,7 +157,8 @@ def _needs_work() -> re.Pattern:
     odd = [c for c, parts in decompositions().items() if table.get(parts) != c and not 0xAC00 <= ord(c) < 0xD7A4]
     odd += [chr(o) for o in range(0x300, 0x30000) if not 0xD800 <= o < 0xE000 and _is_mark(chr(o))]
     odd += [chr(o) for o in range(0xAC00, 0xD7A4)]
-    return re.compile("[" + _spans(set(odd)) + "]")
+    # one range for all beyond the basic plane: they are rare, and a class with many ranges there is slow for every text
+    return re.compile("[" + _spans({c for c in odd if ord(c) < 0x10000}) + "\U00010000-\U0002ffff]")
 
 
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯἀ-῿]")
