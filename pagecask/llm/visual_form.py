@@ -222,10 +222,26 @@ def latin_skeleton(text: str) -> str:
     return text if not _FOREIGN.search(text) else "".join(_CLASS[c][LATIN] if c in _CLASS else c for c in text)
 
 
+@lru_cache(1)
+def _odd_latin() -> str:
+    return "".join(c for c, parts in decompositions().items() if ord(c) < 256 and compositions().get(parts) != c)
+
+
+def _plain_latin(text: str) -> bool:
+    """A quick test for the commonest texts that are their own form."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not any(c in text for c in _odd_latin())
+
+
 def canonical(text: str | None) -> str | None:
     """The one form of a text; see the module's docstring."""
     if text is None or text.isascii() and "\t" not in text and "\r" not in text:
         return text
+    if _plain_latin(text):
+        return text
     if not _needs_work().search(text) and "\t" not in text and "\r" not in text:
         if _one_script(text):
             return text
