@@ -1,14 +1,465 @@
-"""The registered queries over the archive's tables and their SQL."""
+"""The registered queries over the archive's tables and, where SQL can state them, their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from pagecask.functions import text as X
+from pagecask.functions import urls as U
+from pagecask.operators import archive as A
+from pagecask.operators import reports as R
+from pagecask.operators import search as S
+from pagecask.plans.query import parse_query
+
+#: The moment all queries are asked at, and the user's minutes east of UTC.
+NOW, TZ = 1_791_028_800_000, 180
+DAY = A.DAY_MS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def archive(spark: SparkSession, sf_dir: str) -> A.Archive:
+    return A.Archive(*(table(spark, sf_dir, t) for t in ("pages", "contents", "snippets")))
+
+
+# --- SQL fragments -------------------------------------------------------------
+
+_FOLD = "replace(lower(strip_accents(coalesce({0}, ''))), 'ς', 'σ')"
+_TOKENS = f"regexp_extract_all({_FOLD}, '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
+
+
+def _pad(c: str) -> str:
+    t = _TOKENS.format(c)
+    return f"(case when len({t}) > 0 then ' ' || array_to_string({t}, '  ') || ' ' else '' end)"
+
+
+def _hits(c: str, phrase: str, prefix: bool = False) -> str:
+    return f"len(regexp_extract_all({c}, ' {phrase}{'' if prefix else ' '}'))"
+
+
+_PAGE_INDEX = f"""page_index as (
+  select p.id, {_pad('p.title')} as title, {_pad('c.headings')} as headings, {_pad('c.description')} as description, {_pad('c.body')} as body
+  from pages p left join contents c on c.page_id = p.id)"""
+_LENGTH = " + ".join(f"len(string_split(trim({c}), '  ')) - (case when {c} = '' then 1 else 0 end)" for c in ("title", "headings", "description", "body"))
+_SITE = "(domain = '{0}' or domain like '%.{0}')"
+_NORM = rf"""
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''),
+    '(?i)([?&]){U.TRACKING}=[^&]*', '\1', 'g'), '&+', '&', 'g'), '\?&', '?'), '[?&]+$', '')"""
+_ANY_HIT = "({0})"
+
+
+def _sql_wtf(phrase: str, prefix: bool = False) -> str:
+    return " + ".join(f"{w} * {_hits(c, phrase, prefix)}" for c, w in S.PAGE_WEIGHTS.items())
+
+
+def _sql_bm25(phrases: list[tuple[str, bool]], every: bool = True) -> str:
+    names = [f"w{k}" for k in range(len(phrases))]
+    cols = ", ".join(f"{_sql_wtf(p, x)} as {n}" for n, (p, x) in zip(names, phrases, strict=True))
+    dfs = ", ".join(f"count(*) filter (where {n} > 0) as df_{n}" for n in names)
+    part = " + ".join(
+        f"greatest(ln((n_rows - df_{n} + 0.5) / (df_{n} + 0.5)), 1e-6) * {n} * 2.2 / ({n} + 1.2 * (0.25 + 0.75 * length / mean))" for n in names
+    )
+    glue = " and " if every else " or "
+    return f"""{_PAGE_INDEX},
+hits as (select id, {_LENGTH} as length, {cols} from page_index),
+stats as (select count(*) as n_rows, avg(length) as mean, {dfs} from hits),
+found as (select id, {part} as strength from hits, stats where {glue.join(f'{n} > 0' for n in names)})"""
+
+
+# --- text and matching -----------------------------------------------------------
+
+
+@_query(f"select term, count(*) as doc, sum(n) as cnt from (select term, doc_id, count(*) as n from (select doc_id, unnest({_TOKENS.format('text')}) as term from documents) group by 1, 2) group by 1")
+def vocab_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document and collection frequency of every folded token of the documents."""
+    own = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokens(X.fold(F.col("text")))).alias("term"))
+    return own.groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("doc"), F.sum("n").alias("cnt"))
+
+
+@_query(f"select id, {_FOLD.format('title')} as folded, len({_TOKENS.format('title')}) as n_tokens from pages")
+def fold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = X.fold(F.coalesce("title", F.lit("")))
+    return table(spark, sf_dir, "pages").select("id", folded.alias("folded"), F.size(X.tokens(folded)).cast("long").alias("n_tokens"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> S.Index:
+    return S.page_index(table(spark, sf_dir, "pages"), table(spark, sf_dir, "contents"))
+
+
+def _matching(spark: SparkSession, sf_dir: str, phrases: S.Phrases, every: bool) -> DataFrame:
+    index = _index(spark, sf_dir)
+    each = [S.weighted_hits(index, p, x) > 0 for p, x in phrases]
+    return index.rows.where(reduce(lambda a, b: (a & b) if every else (a | b), each)).select("id")
+
+
+_W = lambda p, x=False: f"({_sql_wtf(p, x)}) > 0"
+
+
+@_query(f"with {_PAGE_INDEX} select id from page_index where {_W('lantern')} and {_W('library')}")
+def match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word in some field, not the same one for all."""
+    return _matching(spark, sf_dir, [(["lantern"], False), (["library"], False)], True)
+
+
+@_query(f"with {_PAGE_INDEX} select id from page_index where {_W('lantern')} or {_W('βιβλιοθηκη')}")
+def match_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matching(spark, sf_dir, S.any_words(parse_query("lantern βιβλιοθήκη of", NOW)), False)
+
+
+@_query(f"with {_PAGE_INDEX} select id from page_index where {_W('bibli', True)}")
+def match_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matching(spark, sf_dir, S.all_phrases(parse_query("bibli", NOW)), True)
+
+
+@_query(f"with {_PAGE_INDEX} select id from page_index where {_W('the  wooden  bridge')}")
+def match_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matching(spark, sf_dir, S.all_phrases(parse_query('"The wooden bridge"', NOW)), True)
+
+
+@_query(f"with {_PAGE_INDEX} select id from page_index where {_W('museum')} and not ({_W('bridge')} or {_W('old  town')})")
+def exclude_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, index = parse_query('"museum" -bridge -"old town"', NOW), _index(spark, sf_dir)
+    hit = index.rows.where(S.weighted_hits(index, ["museum"], False) > 0).select("id")
+    return hit.join(index.rows.where(S.excluded_by(index, q.excluded)).select("id"), "id", "left_anti")
+
+
+@_query(f"select id from pages where contains({_FOLD.format('title')}, 'distant lant') or contains({_FOLD.format('url')}, 'distant lant')")
+def trigram_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "distant lant"
+    return table(spark, sf_dir, "pages").where(X.fold(F.coalesce("title", F.lit(""))).contains(probe) | X.fold(F.col("url")).contains(probe)).select("id")
+
+
+@_query(f"with {_sql_bm25([('lantern', False), ('library', True)])} select f.id, round(strength, 6) as strength from found f join pages p using (id) order by f.strength desc, last_visit desc, f.id limit 200")
+def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 best pages for ``lantern library*`` by weighted BM25."""
+    q = parse_query("lantern library", NOW)
+    found = S.page_candidates(table(spark, sf_dir, "pages"), _index(spark, sf_dir), q, phrases=S.all_phrases(q))
+    return found.select("id", F.round("strength", 6).alias("strength"))
+
+
+_HAY = f"list_concat({_TOKENS.format('title')}, regexp_extract_all(lower(url), '[\\p{{L}}\\p{{N}}]+'))"
+
+
+@_query(f"""with {_sql_bm25([('lantern', False), ('library', True)])},
+cand as (select p.*, strength from found f join pages p using (id) where {_SITE.format('katrefaforum.example')} is not null and last_visit >= {NOW - 365 * DAY} order by strength desc, last_visit desc, id limit 200),
+feat as (select *, strength / max(strength) over () as norm,
+  len([x for x in {_HAY} if starts_with(x, 'lantern')]) > 0 as h1, len([x for x in {_HAY} if starts_with(x, 'library')]) > 0 as h2 from cand)
+select id, round(norm + 0.35 * (case when h1 and h2 then 1 when h1 or h2 then 0.5 else 0 end) + 0.25 * exp(-greatest(0, {NOW} - last_visit) / ({DAY} * 45.0))
+  + 0.08 * ln(1 + greatest(0, visit_count)) + (case when flags & 4 != 0 then 0.2 else 0 end), 6) as score from feat""")
+def rank_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the best 200 pages of a year, without the adjacency bonus."""
+    q = parse_query("lantern library when:year", NOW)
+    found = S.page_candidates(table(spark, sf_dir, "pages"), _index(spark, sf_dir), q, phrases=S.all_phrases(q))
+    hit = S.title_url_hit(q.terms, X.fold(F.coalesce("title", F.lit(""))), F.lower("url"))
+    score = S.base_score(S.strength_norm(F.col("strength")), hit, F.col("last_visit"), F.col("visit_count"), S.has_flag(F.col("flags"), S.SAVED), NOW)
+    return found.select("id", F.round(score, 6).alias("score"))
+
+
+def _results(df: DataFrame) -> DataFrame:
+    return df.select("kind", "id", "url", "source", F.round("score", 6).alias("score"), "approximate", "match_kind", F.col("snippet.text").alias("excerpt"), F.size("snippet.highlights").alias("n_highlights"))
+
+
+def run_search(spark: SparkSession, sf_dir: str, line: str, limit: int = 50) -> DataFrame:
+    a = archive(spark, sf_dir)
+    return S.search(a.pages, a.contents, a.snippets, parse_query(line, NOW, TZ), NOW, limit)
+
+
+@_query()
+def search_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search: pages and quotes, ranked together, with excerpts."""
+    return _results(run_search(spark, sf_dir, '"wooden bridge" library -orchard'))
+
+
+@_query()
+def search_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query without enough exact results, topped up by looser ones."""
+    return _results(run_search(spark, sf_dir, "katrefaforum lanterrn βιβλιοθηκη"))
+
+
+@_query(f"""with c as (select * from pages where flags & 4 != 0 and last_visit >= {NOW - 90 * DAY} order by last_visit desc, id limit 200)
+select id, round(0.25 * exp(-greatest(0, {NOW} - last_visit) / ({DAY} * 45.0)) + 0.08 * ln(1 + greatest(0, visit_count)) + 0.2, 6) as score from c""")
+def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No words: the latest saved pages of three months, by recency, visits and mark."""
+    q = parse_query("is:saved after:90d", NOW)
+    pages = table(spark, sf_dir, "pages")
+    found = S.page_candidates(pages, _index(spark, sf_dir), q, phrases=None)
+    ranked = S.rank_pages(found, table(spark, sf_dir, "contents"), q, NOW, matched=False, approximate=False)
+    return ranked.select("id", F.round("score", 6).alias("score"))
+
+
+@_query(f"""with t as (select *, {_pad('text')} as a, {_pad('page_title')} as b from snippets),
+h as (select id, created_at, len(string_split(trim(a), '  ')) - (a = '')::int + len(string_split(trim(b), '  ')) - (b = '')::int as length, 5.0 * {_hits('a', 'lantern', True)} + 2.0 * {_hits('b', 'lantern', True)} as w from t),
+s as (select count(*) as n, avg(length) as mean, count(*) filter (where w > 0) as df from h)
+select id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * w * 2.2 / (w + 1.2 * (0.25 + 0.75 * length / mean)), 6) as strength from h, s where w > 0""")
+def snippet_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted BM25 of every quote with a word that begins with ``lantern``."""
+    found = S.bm25_matches(S.snippet_index(table(spark, sf_dir, "snippets")), [(["lantern"], True)], True)
+    return found.select("id", F.round("strength", 6).alias("strength"))
+
+
+@_query(f"""with {_PAGE_INDEX}, v as (select term, count(distinct id) as doc from (
+  select id, unnest(regexp_extract_all(title || headings || description || body, '[^ ]+')) as term from page_index) group by 1),
+near as (select term, doc from v where starts_with(term, 'l') and length(term) between 6 and 10 order by doc desc, term limit 3000)
+select term, doc, levenshtein(term, 'lanterrn') as distance from near where levenshtein(term, 'lanterrn') <= 2
+  and not exists (select 1 from v where term = 'lanterrn') order by 3, doc desc, term limit 3""")
+def suggest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.suggest(S.vocabulary(_index(spark, sf_dir)), "lanterrn", 3)
+    return out.select("term", "doc", F.col("distance").cast("long").alias("distance"))
+
+
+@_query(f"select id from pages where {_SITE.format('vofi-forum.example')} and not {_SITE.format('docs.vofi-forum.example')}")
+def site_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = parse_query("site:vofi-forum.example -site:docs.vofi-forum.example", NOW)
+    return table(spark, sf_dir, "pages").where(S.page_filters(q, F.col("domain"), F.col("last_visit"), F.col("flags"))).select("id")
+
+
+@_query(f"select id from pages where last_visit >= {1788220800000 - TZ * 60_000} and last_visit < {NOW - 7 * DAY} and flags & 4 != 0")
+def date_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved pages from 1 September, user's time, until a week ago."""
+    q = parse_query("after:2026-09-01 before:1w is:saved", NOW, TZ)
+    return table(spark, sf_dir, "pages").where(S.page_filters(q, F.col("domain"), F.col("last_visit"), F.col("flags"))).select("id")
+
+
+# --- history and changes -----------------------------------------------------------
+
+_VALID = "regexp_matches(trim(url), '^https?://[a-z0-9_]')"
+_SEQ = "struct_pack(r := received_at, t := last_visit_time, n := coalesce(title, ''), v := coalesce(visit_count, 1), y := coalesce(typed_count, 0))"
+
+
+def visit_order():
+    """Order of arrival; rows that arrive together are told apart by all they say."""
+    return F.struct("received_at", "last_visit_time", F.coalesce("title", F.lit("")), F.coalesce("visit_count", F.lit(1)), F.coalesce("typed_count", F.lit(0)))
+
+
+@_query(f"select url as raw, case when {_VALID} then {_NORM} end as url from (select distinct url from visit_items)")
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "visit_items").select("url").distinct()
+    return raw.select(F.col("url").alias("raw"), U.normalized_url(F.col("url")).alias("url"))
+
+
+@_query(f"""with v as (select *, {_NORM} as u, {_SEQ} as seq from visit_items where {_VALID}),
+s as (select u, arg_min(floor(last_visit_time + 0.5)::bigint, seq) as first_at, max(floor(last_visit_time + 0.5)::bigint) as last_at, arg_max(coalesce(visit_count, 1), seq) as visits,
+  arg_max(coalesce(typed_count, 0), seq) as typed, arg_max(substring(title, 1, 2000), seq) filter (where coalesce(title, '') <> '') as t from v group by u)
+select coalesce(p.url, s.u) as url, case when s.t is not null then s.t when p.url is null then '' else p.title end as title, coalesce(p.first_seen, s.first_at) as first_seen,
+  greatest(p.last_visit, s.last_at) as last_visit, case when s.u is not null then s.visits else p.visit_count end as visit_count,
+  case when s.u is not null then s.typed else p.typed_count end as typed_count, case when s.u is not null then coalesce(p.flags, 0) | 1 else p.flags end as flags
+from pages p full join s on p.url = s.u""")
+def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All visits merged into the pages."""
+    state, _ = A.upsert_history(archive(spark, sf_dir), table(spark, sf_dir, "visit_items"), visit_order())
+    return state.pages.select("url", "title", "first_seen", "last_visit", "visit_count", "typed_count", "flags")
+
+
+@_query(f"""with v as (select {_NORM} as u from visit_items where {_VALID}), d as (select u, count(*) as n from v group by u)
+select count(*) filter (where p.url is null) as inserted, sum(n) - count(*) + count(p.url) as updated, (select count(*) from visit_items) - sum(n) as skipped from d left join pages p on p.url = d.u""")
+def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.upsert_history(archive(spark, sf_dir), table(spark, sf_dir, "visit_items"), visit_order())[1]
+
+
+@_query(f"select p.url, p.last_visit from pages p where p.url in (select {_NORM} from (select unnest(urls) as url from removals where not all_history) where {_VALID})")
+def last_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "removals").where("not all_history").select(F.explode("urls").alias("url"))
+    return A.last_visits(table(spark, sf_dir, "pages"), urls)
+
+
+@_query(f"""with r as (select {_NORM} as u, min(epoch_ms(received_at)) as at from (select unnest(urls) as url, received_at from removals where not all_history) where {_VALID} group by 1)
+select u as url, case when p.url is null then 'unknown' when p.last_visit < r.at - {85 * DAY} then 'expired' else 'delete' end as action from r left join pages p on p.url = r.u""")
+def expiry_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each removed address asks for: nothing if the browser dropped it by itself."""
+    return A.plan_removals(table(spark, sf_dir, "pages"), table(spark, sf_dir, "removals"), F.unix_millis(F.col("received_at").cast("timestamp")))
+
+
+_STATE = "id, flags"
+
+
+def _state(change: tuple[A.Archive, DataFrame]) -> DataFrame:
+    return change[0].pages.select("id", "flags")
+
+
+def _sql_removed(cond: str) -> str:
+    return f"select id, case when {cond} then flags & 6 else flags end as flags from pages where not (coalesce({cond}, false) and flags & 4 = 0)"
+
+
+@_query(_sql_removed(f"url in (select {_NORM} from (select unnest(urls) as url from removals where not all_history) where {_VALID})"))
+def delete_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "removals").where("not all_history").select(F.explode("urls").alias("url"))
+    return _state(A.delete_urls(archive(spark, sf_dir), urls))
+
+
+@_query(_sql_removed(_SITE.format("katrefaforum.example")))
+def delete_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(A.delete_domain(archive(spark, sf_dir), "katrefaforum.example"))
+
+
+@_query(_sql_removed(f"last_visit >= {NOW - 60 * DAY} and last_visit < {NOW - 30 * DAY}"))
+def delete_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(A.delete_range(archive(spark, sf_dir), NOW - 60 * DAY, NOW - 30 * DAY))
+
+
+@_query(_sql_removed(f"last_visit >= 0 and last_visit < {NOW - 3 * 30 * DAY}"))
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(A.apply_retention(archive(spark, sf_dir), 3, NOW))
+
+
+@_query(f"select count(*) filter (where flags & 4 = 0) as deleted_pages, count(*) filter (where flags & 4 <> 0) as kept_saved from pages where last_visit >= 0 and last_visit < {NOW - 3 * 30 * DAY}")
+def retention_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.apply_retention(archive(spark, sf_dir), 3, NOW)[1]
+
+
+@_query("select id, flags & 6 as flags from pages where flags & 4 <> 0")
+def delete_all_except_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(A.delete_all_except_saved(archive(spark, sf_dir)))
+
+
+@_query("select id, url from snippets where not (domain = 'katrefaforum.example' or domain like '%.katrefaforum.example')")
+def delete_domain_with_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes left after a site is removed together with what was saved of it."""
+    return A.delete_domain(archive(spark, sf_dir), "katrefaforum.example", True)[0].snippets.select("id", "url")
+
+
+@_query("""select id, case when url in (select url from snippets) and flags & 4 <> 0 then flags & 1 else flags end as flags,
+  case when not (url in (select url from snippets) and flags & 4 <> 0) then saved_at end as saved_at from pages where not (url in (select url from snippets) and flags & 4 <> 0 and flags & 1 = 0)""")
+def unsave_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved pages that have quotes are no longer saved."""
+    state, _ = A.unsave(archive(spark, sf_dir), table(spark, sf_dir, "snippets").select("url"))
+    return state.pages.select("id", "flags", "saved_at")
+
+
+@_query("""select id, case when flags & 2 <> 0 and flags & 4 = 0 then flags & 5 else flags end as flags, case when not (flags & 2 <> 0 and flags & 4 = 0) then content_hash end as content_hash
+  from pages where not (flags & 2 <> 0 and flags & 4 = 0 and flags & 1 = 0)""")
+def clear_deep_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, _ = A.clear_deep_content(archive(spark, sf_dir))
+    return state.pages.select("id", "flags", "content_hash")
+
+
+def _half_of_text(contents: DataFrame) -> int:
+    return int(contents.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // 2)
+
+
+@_query(f"""with t as (select sum(bytes) as total, sum(bytes) // 2 as cap from contents),
+c as (select p.id, c.bytes, row_number() over w as place, sum(c.bytes) over (w rows unbounded preceding) as freed from pages p left join contents c on c.page_id = p.id
+  where flags & 2 <> 0 and flags & 4 = 0 window w as (order by last_visit, id)),
+b as (select (place - 1) // 200 as batch, max(freed) as freed from c group by 1),
+n as (select batch from (select batch, coalesce(max(freed) over (order by batch rows between unbounded preceding and 1 preceding), 0) as prior from b), t where total - prior > cap and batch < 50)
+select id, coalesce(bytes, 0) as bytes from c where (place - 1) // 200 in (select batch from n)""")
+def cap_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose text goes if the texts may take half of what they do."""
+    state = archive(spark, sf_dir)
+    return A.cap_plan(state, _half_of_text(state.contents)).select("id", "bytes")
+
+
+@_query("""select url, sha256(coalesce(title, '') || chr(10) || coalesce(headings, '') || chr(10) || coalesce(description, '') || chr(10) || coalesce(body, '')) as content_hash
+from pages p join contents c on c.page_id = p.id""")
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "contents").withColumnRenamed("page_id", "id"), "id")
+    return joined.select("url", X.content_hash(*(F.col(c) for c in ("title", "headings", "description", "body"))).alias("content_hash"))
+
+
+@_query("""with d as (select url, text, sha256(text) as h, captured_at, row_number() over (partition by url order by captured_at desc, doc_id) as k from documents)
+select d.url, d.h as content_hash from d where k = 1 and not exists (select 1 from pages p where p.url = d.url and p.content_hash = d.h and p.flags & 2 <> 0)""")
+def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured documents whose text the archive does not have yet."""
+    d = table(spark, sf_dir, "documents")
+    last = d.withColumn("k", F.row_number().over(Window.partitionBy("url").orderBy(F.desc("captured_at"), "doc_id"))).where("k = 1")
+    known = table(spark, sf_dir, "pages").where(S.has_flag(F.col("flags"), S.CONTENT)).select("url", "content_hash")
+    return last.select("url", F.sha2("text", 256).alias("content_hash")).join(known, ["url", "content_hash"], "left_anti")
+
+
+@_query(f"""with b as (select distinct {_NORM} as u from (select url from pages where id in (select page_id from contents where headings <> '')))
+select coalesce(p.url, u) as url, case when u is null then p.flags else coalesce(p.flags, 0) | 6 end as flags from pages p full join b on p.url = b.u""")
+def save_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags after every page whose text has headings is saved."""
+    a = archive(spark, sf_dir)
+    texts = a.contents.where("headings <> ''").withColumnRenamed("page_id", "id")
+    batch = a.pages.join(texts, "id").select("url", "title", "headings", "description", "body", "lang", F.lit(None).cast("string").alias("content_hash"), F.lit(NOW).cast("double").alias("at"))
+    return A.upsert_content(a, batch, save=True)[0].pages.select("url", "flags")
+
+
+@_query("select url, page_title, text, fragment, created_at from snippets")
+def export_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.export_snippets(archive(spark, sf_dir)).drop("truncated")
+
+
+@_query("""select url, title, first_seen, last_visit, visit_count, typed_count, lang, flags & 6 as flags, saved_at, content_hash, content_indexed_at, headings, description, body
+from pages p left join contents c on c.page_id = p.id where flags & 4 <> 0""")
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.export_pages(archive(spark, sf_dir), "saved")
+
+
+@_query(f"""with g as (select {_NORM} as u, bit_or(flags) as f from pages group by 1), s as (select distinct {_NORM} as u, text, created_at from snippets)
+select count(*) as pages, count(*) filter (where (coalesce(p.flags, 0) | coalesce(g.f, 0)) & 4 <> 0) as saved, (select count(*) from s) as snippets from pages p full join g on p.url = g.u""")
+def import_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive without quotes into which its own export is merged: the same pages, each quote once."""
+    a = archive(spark, sf_dir)
+    state, _ = A.import_data(A.Archive(a.pages, a.contents, a.snippets.where(F.lit(False))), A.export_pages(a), A.export_snippets(a))
+    p = state.pages.agg(F.count("*").alias("pages"), F.count_if(S.has_flag(F.col("flags"), S.SAVED)).alias("saved"))
+    return p.join(F.broadcast(state.snippets.agg(F.count("*").alias("snippets"))))
+
+
+# --- reports -------------------------------------------------------------------------
+
+
+@_query("""select domain, count(*) as pages, count(*) filter (where flags & 4 <> 0) as saved, count(*) filter (where flags & 2 <> 0) as with_content, coalesce(sum(bytes), 0) as bytes,
+  max(greatest(last_visit, coalesce(content_indexed_at, 0))) as last_activity from pages p left join contents c on c.page_id = p.id group by domain""")
+def domain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.domain_stats(table(spark, sf_dir, "pages"), table(spark, sf_dir, "contents"))
+
+
+@_query("""select count(*) as pages, count(*) filter (where flags & 1 <> 0) as history, count(*) filter (where flags & 2 <> 0) as with_content, count(*) filter (where flags & 4 <> 0) as saved,
+  min(first_seen) as first_seen, max(last_visit) as last_visit, (select coalesce(sum(bytes), 0) from contents) as text_bytes, (select count(*) from snippets) as snippets from pages""")
+def archive_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = archive(spark, sf_dir)
+    return R.archive_stats(a.pages, a.contents, a.snippets)
+
+
+@_query("""select p.id, p.url, domain, title, first_seen, last_visit, visit_count, lang, flags, coalesce(bytes, 0) as bytes, coalesce(substring(body, 1, 600), '') as preview,
+  (select count(*) from snippets s where s.url = p.url) as snippets from pages p left join contents c on c.page_id = p.id where p.url = (select min(url) from snippets)""")
+def page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = archive(spark, sf_dir)
+    return R.page_info(a.pages, a.contents, a.snippets, a.snippets.agg(F.min("url")).first()[0])
+
+
+@_query("""select 'contents_without_page' as "check", count(*) as problems from contents where page_id not in (select id from pages)
+union all select 'pages_not_indexed', 0 union all select 'indexed_without_page', 0
+union all select 'repeated_urls', count(*) from (select url from pages group by url having count(*) > 1)
+union all select 'content_flag_without_text', count(*) from pages where flags & 2 <> 0 and id not in (select page_id from contents)""")
+def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.integrity(table(spark, sf_dir, "pages"), table(spark, sf_dir, "contents"), _index(spark, sf_dir))
+
+
+@_query(f"select (epoch_ms(received_at) // {7 * DAY}) * {7 * DAY} as window_start, count(*) as rows, count(*) filter (where {_VALID}) as processed, count(distinct url) as urls from visit_items group by 1")
+def reconcile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each seven-day window of the backfill reads and keeps."""
+    v = table(spark, sf_dir, "visit_items")
+    start = F.floor(F.unix_millis(F.col("received_at").cast("timestamp")) / (7 * DAY)) * (7 * DAY)
+    ok = F.trim("url").rlike("^https?://[a-z0-9_]")
+    return v.groupBy(start.cast("long").alias("window_start")).agg(F.count("*").alias("rows"), F.count_if(ok).alias("processed"), F.count_distinct("url").alias("urls"))
+
+
+@_query(r"""select id, case when not regexp_matches(domain, '\.') or regexp_matches(domain, '^[0-9.]+$') then 'ineligible' when regexp_replace(domain, '^www\.', '') = 'katrefaforum.example' or domain like '%.katrefaforum.example' then 'excluded' end as reason from pages""")
+def capture_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("id", U.capture_reason(F.col("url"), ["katrefaforum.example"]).alias("reason"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return _results(run_search(spark, sf_dir, "wooden lantern"))

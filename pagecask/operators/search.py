@@ -12,7 +12,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +20,7 @@ from pagecask.functions.text import clip, fold, padded, phrase_hits, tokens
 from pagecask.functions.urls import in_any_site
 from pagecask.operators.snippets import excerpts, highlight_spans
 from pagecask.plans.query import DAY_MS, Query
+from pagecask.sources.scratch import written
 
 HISTORY, CONTENT, SAVED = 1, 2, 4
 PAGE_WEIGHTS = {"title": 10.0, "headings": 4.0, "description": 3.0, "body": 1.0}
@@ -84,22 +85,30 @@ def excluded_by(index: Index, excluded: tuple[tuple[str, ...], ...]) -> Column:
 
 
 def bm25_matches(index: Index, phrases: Phrases, every: bool, excluded: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
-    """(id, strength) of the rows that match: all phrases, or any. Statistics are those of the whole index."""
+    """(id, strength) of the rows that match: all phrases, or any.
+
+    The statistics are those of the whole index; they are observed while the
+    matches are written, so the texts are read and folded once.
+    """
     names = [f"w{k}" for k in range(len(phrases))]
     hits = index.rows.select(
         "id", "length", *(weighted_hits(index, p, prefix).alias(n) for n, (p, prefix) in zip(names, phrases, strict=True)),
         (excluded_by(index, excluded) if excluded else F.lit(False)).alias("out"),
     )
-    stats = hits.agg(F.count("*").alias("n_rows"), F.avg("length").alias("mean"), *(F.count_if(F.col(n) > 0).alias(f"df_{n}") for n in names))
-    joined = hits.where("not out").where(reduce(lambda a, b: (a & b) if every else (a | b), (F.col(n) > 0 for n in names)))
-    joined = joined.join(F.broadcast(stats))  # one row
+    seen = Observation()
+    counted = hits.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum("length").alias("tokens"), *(F.count_if(F.col(n) > 0).alias(n) for n in names))
+    hit = reduce(lambda a, b: (a & b) if every else (a | b), (F.col(n) > 0 for n in names))
+    found = written(counted.where(~F.col("out") & hit).drop("out"), "matches")
+    stats = seen.get
+    n_rows = stats["rows"]
+    mean = (stats["tokens"] or 0) / n_rows if n_rows else 0
 
     def part(n: str) -> Column:
-        idf = F.log((F.col("n_rows") - F.col(f"df_{n}") + 0.5) / (F.col(f"df_{n}") + 0.5))
-        norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
-        return F.greatest(idf, F.lit(1e-6)) * F.col(n) * (K1 + 1) / (F.col(n) + norm)
+        idf = max(math.log((n_rows - stats[n] + 0.5) / (stats[n] + 0.5)), 1e-6)
+        norm = K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0))
+        return F.lit(idf) * F.col(n) * (K1 + 1) / (F.col(n) + norm)
 
-    return joined.select("id", reduce(lambda a, b: a + b, map(part, names)).alias("strength"))
+    return found.select("id", reduce(lambda a, b: a + b, map(part, names)).alias("strength"))
 
 
 def page_filters(q: Query, domain: Column, at: Column, flags: Column | None) -> Column:
@@ -122,7 +131,11 @@ def title_url_hit(terms: list[str], title: Column, url: Column) -> Column:
     if not terms:
         return F.lit(0.0)
     hay = F.concat(tokens(title), tokens(url))
-    hits = reduce(lambda a, b: a + b, (F.exists(hay, lambda w, t=t: w.startswith(t)).cast("int") for t in terms))
+
+    def begins(term: str) -> Column:
+        return F.exists(hay, lambda w: w.startswith(term)).cast("int")
+
+    hits = reduce(lambda a, b: a + b, map(begins, terms))
     return F.when(hits == len(terms), 1.0).when(hits > 0, 0.5).otherwise(0.0)
 
 
@@ -156,13 +169,15 @@ def rank_pages(candidates: DataFrame, contents: DataFrame, q: Query, now: int, *
     terms, open_term = q.terms, len(q.terms) - 1 if q.open_end else -1
     norm = strength_norm(F.col("strength")) if matched else F.lit(0.0)
     title = fold(F.coalesce("title", F.lit("")))
+    candidates = candidates.cache()  # CANDIDATES rows at most, used twice
     pre = candidates.withColumn(
         "pre", base_score(norm, title_url_hit(terms, title, F.lower("url")), F.col("last_visit"), F.col("visit_count"), has_flag(F.col("flags"), SAVED), now)
     ).withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("pre"), F.desc("last_visit"), "url")))
     if matched:
         shown = F.col("place") <= (RELAXED_EXCERPTS if approximate else EXCERPTS)
         texts = contents.select(F.col("page_id").alias("id"), "headings", "description", "body")
-        best = pre.where(shown).join(texts, "id", "left")  # the texts of the shown rows only
+        wanted = texts.join(F.broadcast(pre.where(shown).select("id")), "id", "left_semi")  # EXCERPTS ids at most
+        best = pre.where(shown).join(F.broadcast(wanted), "id", "left")
         own = [excerpts(F.col(c), terms, open_term) for c in ("body", "description", "headings")]
         best = best.withColumns({"e0": own[0], "e1": own[1], "e2": own[2]})
         phrase = (
