@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagecask.functions import display as D
 from pagecask.functions import text as X
 from pagecask.functions import urls as U
 from pagecask.operators import archive as A
 from pagecask.operators import reports as R
 from pagecask.operators import search as S
+from pagecask.operators.snippets import excerpts, highlight_spans
 from pagecask.plans.query import parse_query
+from pagecask.sources.html import extract_pages
+from pagecask.sources.scratch import shared_folder
 
 #: The moment all queries are asked at, and the user's minutes east of UTC.
 NOW, TZ = 1_791_028_800_000, 180
@@ -461,5 +465,100 @@ def capture_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("id", U.capture_reason(F.col("url"), ["katrefaforum.example"]).alias("reason"))
 
 
+# --- display, extraction, live visits, relevance ---------------------------------------
+
+
+@_query(f"""select id, case when a < 60000 then 'now' when a < 3600000 then 'minutes' when a < {DAY} then 'hours' when a < {60 * DAY} then 'days' else 'months' end as unit,
+  case when a < 60000 then 0 when a < 3600000 then a // 60000 when a < {DAY} then a // 3600000 when a < {60 * DAY} then a // {DAY} else a // {30 * DAY} end as n
+from (select id, greatest(0, {NOW} - last_visit) as a from pages)""")
+def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    age = D.relative_time(F.col("last_visit"), F.lit(NOW))
+    return table(spark, sf_dir, "pages").select("id", age["unit"].alias("unit"), age["n"].alias("n"))
+
+
+@_query(r"""select distinct domain, upper(substring(d, 1, 1)) as letter, (list_reduce([ord(x) for x in string_split(d, '')], lambda h, c: (h * 31 + c) % 4294967296, 0) % 360)::int as hue
+from (select domain, regexp_replace(domain, '^www\.', '') as d from pages)""")
+def avatars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = D.avatar(F.col("domain"))
+    return table(spark, sf_dir, "pages").select("domain").distinct().select("domain", mark["letter"].alias("letter"), mark["hue"].alias("hue"))
+
+
+_ENC = "replace(url_encode({0}), '-', '%2D')"
+
+
+@_query(rf"""with t as (select id, url, fragment, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from snippets), w as (select *, string_split(t, ' ') as w from t)
+select id, case when t = '' then null when length(t) <= 300 then '#:~:text=' || {_ENC.format('t')} when len(w) <= 12 then '#:~:text=' || {_ENC.format('substring(t, 1, 300)')}
+  else '#:~:text=' || {_ENC.format("array_to_string(w[1:6], ' ')")} || ',' || {_ENC.format("array_to_string(w[-6:], ' ')")} end as link,
+  case when coalesce(fragment, '') <> '' then url || (case when starts_with(fragment, '#') then '' else '#' end) || fragment else url end as href from w""")
+def text_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "snippets")
+    return s.select("id", D.text_fragment(F.col("text")).alias("link"), D.result_href(F.lit("snippet"), F.col("url"), F.col("fragment")).alias("href"))
+
+
+def _as_html(pages: DataFrame, contents: DataFrame) -> DataFrame:
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    both = pages.join(contents.withColumnRenamed("page_id", "id"), "id")
+    heads = F.concat(F.lit("<h2>"), F.array_join(F.split(safe(F.col("headings")), " · "), "</h2><h2>"), F.lit("</h2>"))
+    paragraphs = F.concat(F.lit("<p>"), F.array_join(F.split(safe(F.col("body")), "\n"), "</p><p>"), F.lit("</p>"))
+    return both.select("id", F.concat(
+        F.lit('<html lang="'), F.coalesce("lang", F.lit("")), F.lit('"><head><title>'), safe(F.col("title")), F.lit('</title><meta name="description" content="'),
+        F.replace(safe(F.col("description")), F.lit('"'), F.lit("&quot;")), F.lit('"></head><body><nav>Home</nav><main>'), heads, paragraphs, F.lit("</main><footer>©</footer></body></html>"),
+    ).alias("html"))
+
+
+@_query()
+def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored page written as HTML and extracted again."""
+    return extract_pages(_as_html(table(spark, sf_dir, "pages"), table(spark, sf_dir, "contents")))
+
+
+@_query()
+def snippet_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts and title highlights of every page for one query."""
+    q = parse_query("wooden lantern", NOW)
+    joined = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "contents").withColumnRenamed("page_id", "id"), "id")
+    e = joined.select("id", excerpts(F.col("body"), q.terms, len(q.terms) - 1).alias("e"), highlight_spans(F.col("title"), q.terms, len(q.terms) - 1).alias("marks"))
+    return e.select("id", F.col("e.text").alias("excerpt"), F.size("e.highlights").alias("n_highlights"), F.size("marks").alias("n_title_highlights"))
+
+
+@_query(f"""select url, max(floor(last_visit_time + 0.5)::bigint) as last_visit, count(*) as visits from (select {_NORM} as url, last_visit_time from visit_items where {_VALID}) group by url""")
+def visit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All visits through Structured Streaming: every micro-batch is merged by address and added to the table so far."""
+    import uuid
+
+    from pagecask.streaming.pipeline import VISIT_SCHEMA
+
+    root = f"{shared_folder(spark)}/visit-stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(VISIT_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/visit_items.parquet*")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        merged = batch.withColumn("url", U.normalized_url(F.col("url"))).where(F.col("url").isNotNull())
+        merged.groupBy("url").agg(F.max(X.half_up(F.col("last_visit_time"))).alias("last_visit"), F.count("*").alias("visits")).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    query = source.writeStream.foreachBatch(add).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("url").agg(F.max("last_visit").alias("last_visit"), F.sum("visits").alias("visits"))
+
+
+@_query(f"""with own as (select id, last_visit, unnest(list_distinct({_TOKENS.format('title')})) as term from pages where title <> ''),
+df as (select term, count(*) as df from own group by term), q as (select id, arg_min(term, struct_pack(d := df, t := term)) as term from own join df using (term) group by id),
+placed as (select id, term, row_number() over (partition by term order by last_visit desc, id) as place from own)
+select 'rarest title word' as kind, count(*) as n, avg((coalesce(place, 1e9) <= 1)::int) as hit1, avg((coalesce(place, 1e9) <= 5)::int) as hit5, avg(coalesce(1.0 / place, 0)) as mrr
+from pages p left join (select q.id, place from q join placed using (id, term)) f using (id) where title <> ''""")
+def relevance_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hit@1, hit@5 and MRR of finding every page by its rarest title word, latest first.
+
+    A page's place is its row number in its word's list, so no pairs of
+    queries and pages are made.
+    """
+    pages = table(spark, sf_dir, "pages").where("title <> ''")
+    own = pages.select("id", "last_visit", F.explode(F.array_distinct(X.tokens(X.fold(F.col("title"))))).alias("term"))
+    df = own.groupBy("term").agg(F.count("*").alias("df"))
+    query = own.join(df, "term").groupBy("id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("last_visit"), "id"))
+    found = own.withColumn("place", place).select("id", "term", "place").join(query, ["id", "term"]).select("id", "place")
+    return S.relevance(pages.join(found, "id", "left").select(F.lit("rarest title word").alias("kind"), "place"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(run_search(spark, sf_dir, "wooden lantern"))
