@@ -9,8 +9,8 @@ the first begins ``overlap`` tokens before the cut.
 
 Defined results
     null and empty texts give no piece; a text within the limit is one piece;
-    pieces without their overlaps, put together, are the text; a text without
-    white space is cut between tokens, never inside a character; a piece's
+    pieces without their overlaps, put together, are the text; an overlap
+    above half the limit counts as half; a text without white space is cut between tokens, never inside a character; a piece's
     tokens are those of its own text, and are at most the limit.
 """
 
@@ -82,7 +82,7 @@ def rolling(ids: np.ndarray, ranks: bytes) -> np.ndarray:
 
 def cuts(ids: np.ndarray, limit: int, overlap: int, ranks: bytes) -> list[int]:
     """Token positions at which pieces begin, their overlap not counted; the first is 0."""
-    overlap = min(overlap, limit - 1)
+    overlap = min(overlap, limit // 2)
     out = [0]
     n = len(ids)
     if n <= limit:
@@ -108,9 +108,11 @@ def cuts(ids: np.ndarray, limit: int, overlap: int, ranks: bytes) -> list[int]:
             if near:
                 cut = min(near, key=lambda x: (abs(x - mark), x))
                 break
-        if cut is None:  # one character over the whole window: it ends where the character does
-            whole = np.flatnonzero(level[at + 1 : high + 1] >= 0)
-            cut = at + 1 + int(whole[-1]) if len(whole) else high
+        if cut is None:  # a character over the whole window stays whole
+            whole = np.flatnonzero(level[low:] >= 0)
+            if not len(whole):
+                break
+            cut = low + int(whole[0])
         out.append(cut)
         at = cut
     return out
@@ -125,6 +127,7 @@ def pieces(text: str, limit: int, overlap: int, ranks: bytes, ids: np.ndarray |
         return []
     if len(ids) <= limit:
         return [(0, 0, len(text), len(ids), text)]
+    overlap = min(overlap, limit // 2)
     raw = text.encode("utf-8", "replace")
     begins = cuts(ids, limit, overlap, ranks)
     ends = [*begins[1:], len(ids)]

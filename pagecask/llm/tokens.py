@@ -41,7 +41,7 @@ def token_bytes(ranks: bytes) -> list[bytes]:
 
 def count_tokens(df: DataFrame, text: str, out: str, ranks: bytes) -> DataFrame:
     """Adds the number of tokens of ``text`` to the other columns, in place of the text; null texts have 0."""
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, out)]
     share = df.sparkSession.sparkContext.broadcast(ranks)  # one file of fixed size
     at = len(keep)
 
@@ -52,7 +52,7 @@ def count_tokens(df: DataFrame, text: str, out: str, ranks: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(np.array(n, np.int32))], [*keep, out])
 
     rows = df.select(*keep, text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text), f"`{out}` int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep), f"`{out}` int"])
     return rows.mapInArrow(count, schema)
 
 

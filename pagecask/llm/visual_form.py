@@ -437,11 +437,14 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     wanted = rows.join(reps.select("field", F.col("_rep").alias("id"), "_h"), ["field", "id"]).select("_h", "text")
     forms = written(canonical_forms(wanted, "_h", "text").select("_h", F.md5("form").alias("_form")), "look-forms")
     members = keyed.select("field", "id", "_h").join(forms, "_h")
-    several = forms.groupBy("_form").agg(F.count("*").alias("_n")).where("_n > 1").select("_form")
-    members = members.join(several, "_form", "left_semi")
-    a = members.select("field", "_form", F.col("id").alias("id_a"), F.col("_h").alias("_ha"))
-    b = members.select("field", "_form", F.col("id").alias("id_b"), F.col("_h").alias("_hb"))
-    return a.join(b, ["field", "_form"]).where("_ha <> _hb and id_a < id_b").select("field", "id_a", "id_b")
+    variants = members.select("field", "_form", "_h").distinct()
+    a = variants.select("field", "_form", F.col("_h").alias("_ha"))
+    b = variants.select("field", "_form", F.col("_h").alias("_hb"))
+    unlike = a.join(b, ["field", "_form"]).where("_ha < _hb").select("field", "_ha", "_hb")  # strings of one form, not rows
+    rows_a = members.select("field", F.col("_h").alias("_ha"), F.col("id").alias("_x"))
+    rows_b = members.select("field", F.col("_h").alias("_hb"), F.col("id").alias("_y"))
+    pairs = unlike.join(rows_a, ["field", "_ha"]).join(rows_b, ["field", "_hb"])
+    return pairs.select("field", F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
