@@ -157,7 +157,8 @@ def trigram_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 best pages for ``lantern library*`` by weighted BM25."""
     q = parse_query("lantern library", NOW)
-    found = S.page_candidates(table(spark, sf_dir, "pages"), _index(spark, sf_dir), q, phrases=S.all_phrases(q))
+    index = _index(spark, sf_dir)
+    found = S.page_candidates(table(spark, sf_dir, "pages"), index, q, matches=S.bm25_matches(index, S.all_phrases(q), True))
     return found.select("id", F.round("strength", 6).alias("strength"))
 
 
@@ -173,7 +174,8 @@ select id, round(norm + 0.35 * (case when h1 and h2 then 1 when h1 or h2 then 0.
 def rank_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of the best 200 pages of a year, without the adjacency bonus."""
     q = parse_query("lantern library when:year", NOW)
-    found = S.page_candidates(table(spark, sf_dir, "pages"), _index(spark, sf_dir), q, phrases=S.all_phrases(q))
+    index = _index(spark, sf_dir)
+    found = S.page_candidates(table(spark, sf_dir, "pages"), index, q, matches=S.bm25_matches(index, S.all_phrases(q), True))
     hit = S.title_url_hit(q.terms, X.fold(F.coalesce("title", F.lit(""))), F.lower("url"))
     score = S.base_score(S.strength_norm(F.col("strength")), hit, F.col("last_visit"), F.col("visit_count"), S.has_flag(F.col("flags"), S.SAVED), NOW)
     return found.select("id", F.round(score, 6).alias("score"))
@@ -206,7 +208,7 @@ def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No words: the latest saved pages of three months, by recency, visits and mark."""
     q = parse_query("is:saved after:90d", NOW)
     pages = table(spark, sf_dir, "pages")
-    found = S.page_candidates(pages, _index(spark, sf_dir), q, phrases=None)
+    found = S.page_candidates(pages, _index(spark, sf_dir), q, matches=None)
     ranked = S.rank_pages(found, table(spark, sf_dir, "contents"), q, NOW, matched=False, approximate=False)
     return ranked.select("id", F.round("score", 6).alias("score"))
 

@@ -43,18 +43,28 @@ def tokens(folded: Column) -> Column:
 
 
 def padded(text: Column) -> Column:
-    """Tokens each between blanks of its own, so that a phrase is a substring: `` a  b  c ``."""
-    own = tokens(fold(F.coalesce(text, F.lit(""))))
-    return F.when(F.size(own) > 0, F.concat(F.lit(" "), F.array_join(own, "  "), F.lit(" "))).otherwise("")
+    """Tokens each between blanks of its own, so that a phrase is a substring: `` a  b  c ``; two blanks without tokens."""
+    own = F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  ")
+    return F.concat(F.lit(" "), F.trim(own), F.lit(" "))
 
 
-def phrase_pattern(phrase: list[str], prefix: bool = False) -> str:
-    """Regex that counts a phrase's places in a ``padded`` text, overlapping ones too; tokens are letters and digits only."""
-    return "(?= " + "  ".join(phrase) + ("" if prefix else " ") + ")"
+def token_count(pad: Column) -> Column:
+    """Number of tokens of a ``padded`` text: each but the last is followed by two blanks."""
+    gaps = (F.octet_length(pad) - F.octet_length(F.replace(pad, F.lit("  "), F.lit("")))) / 2
+    return F.when(pad == "  ", 0).otherwise(gaps + 1).cast("int")
+
+
+def _overlaps_itself(phrase: list[str]) -> bool:
+    return any(phrase[:k] == phrase[-k:] for k in range(1, len(phrase)))
 
 
 def phrase_hits(pad: Column, phrase: list[str], prefix: bool = False) -> Column:
-    return F.regexp_count(pad, F.lit(phrase_pattern(phrase, prefix)))
+    """How often a phrase stands in a ``padded`` text, overlapping places too; with ``prefix`` its last token may go on."""
+    needle = " " + "  ".join(phrase) + ("" if prefix else " ")
+    if len(phrase) > 1 and (prefix or _overlaps_itself(phrase)):
+        return F.regexp_count(pad, F.lit(f"(?={needle})"))
+    without = F.octet_length(F.replace(pad, F.lit(needle), F.lit("")))
+    return ((F.octet_length(pad) - without) / len(needle.encode())).cast("int")
 
 
 def clip(text: Column, n: int) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagecask.functions.text import clip, fold, padded, phrase_hits, tokens
+from pagecask.functions.text import clip, fold, padded, phrase_hits, token_count, tokens
 from pagecask.functions.urls import in_any_site
 from pagecask.operators.snippets import excerpts, highlight_spans
 from pagecask.plans.query import DAY_MS, Query
@@ -46,8 +46,13 @@ def has_flag(flags: Column, bit: int) -> Column:
 
 
 def page_index(pages: DataFrame, contents: DataFrame) -> Index:
-    """Derived table: every page with its fields folded and padded, and its number of tokens."""
-    joined = pages.select("id", "title").join(contents.select(F.col("page_id").alias("id"), "headings", "description", "body"), "id", "left")
+    """Derived table: every page with its fields folded and padded, and its number of tokens.
+
+    Both tables grow alike, so the join is by shuffle whatever their size; the
+    folding after it is then spread over all partitions.
+    """
+    texts = contents.select(F.col("page_id").alias("id"), "headings", "description", "body").hint("merge")
+    joined = pages.select("id", "title").join(texts, "id", "left")
     rows = joined.select("id", *(padded(F.col(c)).alias(c) for c in PAGE_WEIGHTS))
     return Index(_with_length(rows, list(PAGE_WEIGHTS)), PAGE_WEIGHTS)
 
@@ -58,7 +63,7 @@ def snippet_index(snippets: DataFrame) -> Index:
 
 
 def _with_length(rows: DataFrame, fields: list[str]) -> DataFrame:
-    n = reduce(lambda a, b: a + b, (F.regexp_count(c, F.lit("  ")) + (F.col(c) != "").cast("int") for c in fields))
+    n = reduce(lambda a, b: a + b, (token_count(F.col(c)) for c in fields))
     return rows.withColumn("length", n)
 
 
@@ -84,21 +89,22 @@ def excluded_by(index: Index, excluded: tuple[tuple[str, ...], ...]) -> Column:
     return reduce(lambda a, b: a | b, hits, F.lit(False))
 
 
-def bm25_matches(index: Index, phrases: Phrases, every: bool, excluded: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
-    """(id, strength) of the rows that match: all phrases, or any.
+def bm25_groups(index: Index, groups: list[tuple[Phrases, bool]], excluded: tuple[tuple[str, ...], ...] = ()) -> list[DataFrame]:
+    """For each (phrases, every): (id, strength) of the rows that match all of its phrases, or any.
 
     The statistics are those of the whole index; they are observed while the
-    matches are written, so the texts are read and folded once.
+    matches of all groups are written, so the texts are read and folded once.
     """
-    names = [f"w{k}" for k in range(len(phrases))]
+    names = [[f"w{g}_{k}" for k in range(len(phrases))] for g, (phrases, _) in enumerate(groups)]
+    flat = [(n, p, x) for own, (phrases, _) in zip(names, groups, strict=True) for n, (p, x) in zip(own, phrases, strict=True)]
     hits = index.rows.select(
-        "id", "length", *(weighted_hits(index, p, prefix).alias(n) for n, (p, prefix) in zip(names, phrases, strict=True)),
+        "id", "length", *(weighted_hits(index, p, prefix).alias(n) for n, p, prefix in flat),
         (excluded_by(index, excluded) if excluded else F.lit(False)).alias("out"),
     )
     seen = Observation()
-    counted = hits.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum("length").alias("tokens"), *(F.count_if(F.col(n) > 0).alias(n) for n in names))
-    hit = reduce(lambda a, b: (a & b) if every else (a | b), (F.col(n) > 0 for n in names))
-    found = written(counted.where(~F.col("out") & hit).drop("out"), "matches")
+    counted = hits.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum("length").alias("tokens"), *(F.count_if(F.col(n) > 0).alias(n) for n, _, _ in flat))
+    wanted = [reduce(lambda a, b: (a & b) if every else (a | b), (F.col(n) > 0 for n in own)) for own, (_, every) in zip(names, groups, strict=True)]  # noqa: B023
+    found = written(counted.where(~F.col("out") & reduce(lambda a, b: a | b, wanted)).drop("out"), "matches")
     stats = seen.get
     n_rows = stats["rows"]
     mean = (stats["tokens"] or 0) / n_rows if n_rows else 0
@@ -108,7 +114,11 @@ def bm25_matches(index: Index, phrases: Phrases, every: bool, excluded: tuple[tu
         norm = K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0))
         return F.lit(idf) * F.col(n) * (K1 + 1) / (F.col(n) + norm)
 
-    return found.select("id", reduce(lambda a, b: a + b, map(part, names)).alias("strength"))
+    return [found.where(w).select("id", reduce(lambda a, b: a + b, map(part, own)).alias("strength")) for own, w in zip(names, wanted, strict=True)]
+
+
+def bm25_matches(index: Index, phrases: Phrases, every: bool, excluded: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
+    return bm25_groups(index, [(phrases, every)], excluded)[0]
 
 
 def page_filters(q: Query, domain: Column, at: Column, flags: Column | None) -> Column:
@@ -200,16 +210,15 @@ def rank_pages(candidates: DataFrame, contents: DataFrame, q: Query, now: int, *
     )
 
 
-def page_candidates(pages: DataFrame, index: Index, q: Query, *, phrases: Phrases | None, every: bool = True, most: int = CANDIDATES) -> DataFrame:
-    """The best matches under the filters; without phrases the latest pages."""
+def page_candidates(pages: DataFrame, index: Index, q: Query, *, matches: DataFrame | None, most: int = CANDIDATES) -> DataFrame:
+    """The best of ``matches`` under the filters; without them the latest pages."""
     kept = pages.where(page_filters(q, F.col("domain"), F.col("last_visit"), F.col("flags")))
-    if phrases is None:
+    if matches is None:
         if q.excluded:
             out = index.rows.where(excluded_by(index, q.excluded)).select("id")
             kept = kept.join(out, "id", "left_anti")
         return kept.withColumn("strength", F.lit(0.0)).orderBy(F.desc("last_visit"), "id").limit(most)
-    found = kept.join(bm25_matches(index, phrases, every, q.excluded), "id")
-    return found.orderBy(F.desc("strength"), F.desc("last_visit"), "id").limit(most)
+    return kept.join(matches, "id").orderBy(F.desc("strength"), F.desc("last_visit"), "id").limit(most)
 
 
 def substring_candidates(pages: DataFrame, index: Index, q: Query) -> DataFrame | None:
@@ -256,34 +265,32 @@ def ordered(results: DataFrame, limit: int) -> DataFrame:
     return results.orderBy("approximate", F.desc("score"), F.desc("timestamp"), "url", "id").limit(max(1, min(200, limit)))
 
 
-def exact_results(pages: DataFrame, contents: DataFrame, snippets: DataFrame, q: Query, now: int, pi: Index, si: Index) -> DataFrame | None:
-    parts = []
-    if not q.snippets or q.saved:
-        found = page_candidates(pages, pi, q, phrases=all_phrases(q) if q.phrases else None)
-        parts.append(rank_pages(found, contents, q, now, matched=bool(q.phrases), approximate=False))
-    if q.snippets or not q.saved:
-        parts.append(search_snippets(snippets, si, q, now))
-    return reduce(DataFrame.unionByName, parts) if q.asks else None
-
-
 def search(pages: DataFrame, contents: DataFrame, snippets: DataFrame, q: Query, now: int, limit: int = 50) -> DataFrame:
     """Results in order. A query without criteria has none; fewer than five exact ones are topped up by looser matches."""
-    pi, si = page_index(pages, contents), snippet_index(snippets)
-    exact = exact_results(pages, contents, snippets, q, now, pi, si)
-    if exact is None:
-        q0 = Query(saved=True)
-        return ordered(rank_pages(page_candidates(pages.limit(0), pi, q0, phrases=None), contents, q0, now, matched=False, approximate=False), limit)
-    if not q.phrases:
+    pi = page_index(pages, contents)
+    if not q.asks:
+        nothing = page_candidates(pages.limit(0), pi, Query(saved=True), matches=None)
+        return ordered(rank_pages(nothing, contents, Query(saved=True), now, matched=False, approximate=False), limit)
+    with_pages, words = not q.snippets or q.saved, any_words(q)
+    parts, loose_matches = [], None
+    if with_pages and q.phrases:
+        exact_matches, *rest = bm25_groups(pi, [(all_phrases(q), True), *([(words, False)] if words else [])], q.excluded)
+        loose_matches = rest[0] if rest else None
+        parts.append(rank_pages(page_candidates(pages, pi, q, matches=exact_matches), contents, q, now, matched=True, approximate=False))
+    elif with_pages:
+        parts.append(rank_pages(page_candidates(pages, pi, q, matches=None), contents, q, now, matched=False, approximate=False))
+    if q.snippets or not q.saved:
+        parts.append(search_snippets(snippets, snippet_index(snippets), q, now))
+    exact = reduce(DataFrame.unionByName, parts)
+    if not q.phrases or not with_pages:
         return ordered(exact, limit)
     exact = exact.cache()  # at most 400 rows; it is counted, then shown
     have = exact.count()
-    if have >= RELAX_BELOW or q.snippets and not q.saved:
+    if have >= RELAX_BELOW:
         return ordered(exact, limit)
-    loose = []
-    words = any_words(q)
-    more = 0
-    if words:
-        found = page_candidates(pages, pi, q, phrases=words, every=False, most=RELAXED)
+    loose, more = [], 0
+    if loose_matches is not None:
+        found = page_candidates(pages, pi, q, matches=loose_matches, most=RELAXED)
         loose.append(rank_pages(found, contents, q, now, matched=True, approximate=True).withColumn("turn", F.lit(0)).cache())
         more = loose[0].count()
     if have + more < RELAX_BELOW and (found := substring_candidates(pages, pi, q)) is not None:
@@ -297,7 +304,7 @@ def search(pages: DataFrame, contents: DataFrame, snippets: DataFrame, q: Query,
 
 def vocabulary(index: Index) -> DataFrame:
     """(term, doc, cnt): rows that hold a term and how often it occurs; partial sums before the shuffle."""
-    own = index.rows.select("id", F.explode(F.split(F.trim(F.concat_ws("  ", *(F.trim(c) for c in index.weights))), " +")).alias("term")).where("term <> ''")
+    own = index.rows.select("id", F.explode(F.split(F.concat(*index.weights), " +")).alias("term")).where("term <> ''")
     return own.groupBy("term", "id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("doc"), F.sum("n").alias("cnt"))
 
 

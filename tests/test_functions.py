@@ -67,7 +67,10 @@ def test_padded_and_hits(spark):
     df = spark.createDataFrame([("A b, a b! Ab",), (None,), ("",)], "t string").select(X.padded(F.col("t")).alias("p"))
     rows = df.select("p", X.phrase_hits(F.col("p"), ["a", "b"]).alias("n"), X.phrase_hits(F.col("p"), ["a"], True).alias("m"), X.phrase_hits(F.col("p"), ["b", "a"]).alias("k")).collect()
     assert rows[0].p == " a  b  a  b  ab " and (rows[0].n, rows[0].m, rows[0].k) == (2, 3, 1)
-    assert [r.p for r in rows[1:]] == ["", ""] and not rows[1].n
+    assert [r.p for r in rows[1:]] == ["  ", "  "] and not rows[1].n
+    assert [r.n for r in df.select(X.token_count(F.col("p")).alias("n")).collect()] == [5, 0, 0]
+    again = spark.sql("select 'a a a b a a' as t").select(X.phrase_hits(X.padded(F.col("t")), ["a", "a"]).alias("n"), X.phrase_hits(X.padded(F.col("t")), ["a", "a"], True).alias("m")).first()
+    assert tuple(again) == (3, 3)
 
 
 def test_half_up_and_bytes(spark):
