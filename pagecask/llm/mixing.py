@@ -5,7 +5,7 @@ seeded hash; inverting the Poisson distribution at it gives how often the text
 is used.  A source's mean is set so that its share of all tokens is the target;
 counts stop at the source's cap, which the mean allows for.  Since the same
 uniforms serve every mean, the realised size rises steadily with the mean, and
-two aggregations over a grid of means set it by what is really drawn.
+a few aggregations over grids of means set it by what is really drawn.
 
 Defined results
     rows without a source, of a source without a target, or without tokens are
@@ -27,8 +27,9 @@ from pagecask.llm.tokens import VOCABULARY, count_tokens, vocabulary
 from pagecask.sources.scratch import written
 
 SEED = 1729
-#: Means tried in each of the two aggregations, per source.
-GRID = 41
+#: Means tried in each aggregation, per source, and how far they reach around the best so far.
+GRID = 13
+SPREADS = (0.25, 0.04, 0.007)
 _TWO_53 = float(1 << 53)
 
 
@@ -94,7 +95,7 @@ def distinct_texts(documents: DataFrame, sources: list[str], ranks: bytes, seed:
 
 
 def fit_means(texts: DataFrame, targets: list[tuple[str, float, int]], total: float | None = None) -> dict[str, float]:
-    """The Poisson mean of each source; two or three aggregations of one row each over the texts' sizes."""
+    """The Poisson mean of each source; a few aggregations of one row each over the texts' sizes."""
     have = {r.source: r.n for r in texts.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # a row a target source
     wanted = [(s, share, cap) for s, share, cap in targets if have.get(s) and share > 0 and cap > 0]
     if not wanted:
@@ -103,7 +104,7 @@ def fit_means(texts: DataFrame, targets: list[tuple[str, float, int]], total: fl
     total = min(reach, total) if total else reach
     goal = {s: share * total for s, share, _ in wanted}
     means = {s: mean_for(goal[s] / have[s] * (1 - 1e-12) if goal[s] < cap * have[s] * (1 - 1e-9) else cap, cap) for s, _, cap in wanted}
-    for spread in (0.25, 0.25 / (GRID // 2)):
+    for spread in SPREADS:
         steps = [1 + spread * (g / (GRID // 2) - 1) for g in range(GRID)]
         open_ = [(s, cap) for s, _, cap in wanted if not math.isinf(means[s])]
         if not open_:
