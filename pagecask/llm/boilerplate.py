@@ -10,7 +10,7 @@ of pages.
 Defined results
     null and empty bodies and headings have no furniture; an empty line is no
     furniture; a text of undecided blocks only is kept; at equal distance the
-    block before decides; item numbers count from 1.
+    block after decides, since a heading stands before its text; item numbers count from 1.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pagecask.llm.visual_form import canonical, latin_skeleton
 #: A line of so many words with STOP_DENSITY of them stop words, or ending as a sentence, is the page's own text.
 LONG_WORDS = 12
 STOP_DENSITY = 0.18
+#: Ambiguous blocks have at most so many words; longer ones that are no list of links are text.
+SHORT_WORDS = 7
 #: A block with an end mark and more words than this is a sentence even without stop words.
 SHORT_SENTENCE = 4
 #: Share of a line's words that lie in link-like items from which it is a list of links.
@@ -72,7 +74,7 @@ _LONGEST_ENTRY = max(len(x.split()) for x in MENU)
 # Phrase rules for notices, prompts and legal lines. Their usual wording, by language, from the start of the line.
 _NOTICES = r"""
 (?:this (?:web)?site|we) (?:uses?|stores?|sets?)\b.{0,40}\bcookies\b.* | .{1,60} and our \d* ?partners value your privacy.* | (?:we|.{1,40}) (?:value|respect)s? your privacy.* | by continuing (?:to|you)\b.*
-sign up for (?:our|the)\b.*newsletter.* | subscribe to (?:our|the)\b.* | leave a (?:reply|comment)\b.* | your email address will not be published.* | (?:please )?(?:log|sign) in to (?:comment|reply).* | follow us\b.{0,40} | share this\b.{0,80}
+sign up for (?:our|the)\b.*newsletter.* | subscribe to (?:our|the)\b.* | leave a (?:reply|comment)\b.* | your email address will not be published.* | (?:please )?(?:log|sign) in to (?:comment|reply).* | follow us(?: on .{0,30})? | share this(?: page| article| post)?(?::.*)?
 scripts are off, so .* | some features of this (?:page|site) need javascript.* | enable javascript for .* | (?:please )?(?:enable|allow) (?:javascript|cookies)\b.{0,60} | powered by .{1,80}(?:made with .*)? | (?:©|\(c\)|copyright) ?\d{4}.* | © .*
 .{1,60} speichert daten auf ihrem gerät.* | wir verwenden cookies.* | jetzt unseren newsletter abonnieren.* | (?:melden|abonnieren) sie .{0,40}newsletter.* | alle rechte vorbehalten.*
 .{1,60} respecte votre vie privée.* | nous utilisons des cookies.* | inscrivez-vous à notre .* | tous droits réservés.* | abonnez-vous à .{0,60}
@@ -162,8 +164,8 @@ def first_pass(line: str) -> int:
     stops = sum(w.strip(",.;:()'\"") in STOP_WORDS for w in words) / n
     if low.endswith(_SENTENCE_END) and (stops >= STOP_DENSITY or n > SHORT_SENTENCE):
         return MAIN
-    if n > LONG_WORDS:
-        return MAIN if stops >= STOP_DENSITY else UNDECIDED
+    if n > SHORT_WORDS:
+        return MAIN
     # a subheading: short, without an end mark, with a function word or an elided article
     if n >= 3 and (stops >= STOP_DENSITY or "'" in words[0] or "’" in words[0]):
         return MAIN
@@ -193,7 +195,7 @@ def label_blocks(lines: list[str]) -> list[int]:
             out[k] = MAIN
         elif before is None and after is None:
             out[k] = MAIN
-        elif after is None or before is not None and k - before <= after - k:
+        elif after is None or before is not None and k - before < after - k:
             out[k] = labels[before]
         else:
             out[k] = labels[after]

@@ -14,7 +14,8 @@ def test_blocks():
 
 def test_inheritance():
     long = "The old bridge crosses the river, and nobody has ever counted the people on it."
-    assert B.label_blocks(["Contact", "Xyz", long, "Xyz", "Contact"]) == [1, 1, 0, 0, 1]
+    assert B.label_blocks(["Contact", "Xyz", long, "Xyz", "Contact"]) == [1, 0, 0, 1, 1]
+    assert B.label_blocks(["Contact", "Abc", "Xyz", "Help", long]) == [1, 1, 1, 1, 0]
     assert B.label_blocks(["Xyz", "Abc"]) == [0, 0] and B.label_blocks([""]) == [0] and B.label_blocks([]) == []
 
 
