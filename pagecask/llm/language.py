@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagecask.llm.byte_cnn import BLOCK, REACH, STRIDE, ByteCnn, train
 from pagecask.llm.visual_form import LINE_ENDS, canonical
@@ -34,6 +35,8 @@ MIN_WORDS = 40
 #: A unit decides its language if its blocks are this sure on average and it has so many words; others inherit.
 SURE = 0.72
 UNIT_WORDS = 5
+#: Share of a language's words that must lie in units that decided for it.
+SURE_SHARE = 0.5
 #: Longest unit, in blocks.
 UNIT_BLOCKS = 8
 
@@ -163,14 +166,14 @@ def _readable(text: str) -> str:
 
 
 def segments_of(model: ByteCnn, texts: list[str]) -> dict[str, np.ndarray]:
-    """Segments of many texts at once: text, line_from, line_to, lang (-1: none), confidence, words."""
+    """Segments of many texts at once: text, line_from, line_to, lang (-1: none), confidence, words, sure_words (of units that decided it)."""
     data = [_readable(t).lower().encode() for t in texts]
     size = np.array([len(d) for d in data])
     whole = b"\n".join(data)
     raw = np.frombuffer(whole, np.uint8)
     blocks, start, unit = unit_blocks(whole)
     if not len(blocks):
-        return {k: np.zeros(0, int) for k in ("text", "line_from", "line_to", "lang", "words")} | {"confidence": np.zeros(0)}
+        return {k: np.zeros(0, int) for k in ("text", "line_from", "line_to", "lang", "words", "sure_words")} | {"confidence": np.zeros(0)}
     lp = window_log_probs(model, blocks, unit)
     first = np.append(0, np.flatnonzero(unit[1:] != unit[:-1]) + 1)
     length = np.diff(np.append(first, len(unit)))
@@ -204,6 +207,7 @@ def segments_of(model: ByteCnn, texts: list[str]) -> dict[str, np.ndarray]:
         "line_to": line[run + many - 1],
         "lang": label[run],
         "words": np.add.reduceat(words, run),
+        "sure_words": np.add.reduceat(np.where(sure, words, 0), run),
         "confidence": np.add.reduceat(own, run) / many,
     }
 
@@ -213,7 +217,7 @@ _BATCH_CHARS = 2_000_000
 
 
 def language_segments(texts: DataFrame, model: ByteCnn, key: str, text: str) -> DataFrame:
-    """(key, segment, line_from, line_to, lang, confidence, words) of every text; a map without a shuffle."""
+    """(key, segment, line_from, line_to, lang, confidence, words, sure_words) of every text; a map without a shuffle."""
 
     def one(ids: list, own: list[str]) -> pa.RecordBatch:
         s = segments_of(model, own)
@@ -229,8 +233,9 @@ def language_segments(texts: DataFrame, model: ByteCnn, key: str, text: str) ->
                 pa.array([LANGUAGES[k] for k in s["lang"][keep]], pa.string()),
                 pa.array(s["confidence"][keep], pa.float64()),
                 pa.array(s["words"][keep], pa.int32()),
+                pa.array(s["sure_words"][keep], pa.int32()),
             ],
-            [key, "segment", "line_from", "line_to", "lang", "confidence", "words"],
+            [key, "segment", "line_from", "line_to", "lang", "confidence", "words", "sure_words"],
         )
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +254,7 @@ def language_segments(texts: DataFrame, model: ByteCnn, key: str, text: str) ->
     return (
         texts.select(key, text)
         .where(F.col(text).isNotNull() & (F.col(text) != ""))
-        .mapInArrow(classify, f"{key} long, segment int, line_from int, line_to int, lang string, confidence double, words int")
+        .mapInArrow(classify, f"{key} long, segment int, line_from int, line_to int, lang string, confidence double, words int, sure_words int")
     )
 
 
@@ -263,9 +268,30 @@ def model_for(spark: SparkSession, sf_dir: str) -> ByteCnn:
     return fit(labelled_sample(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def document_languages(segments: DataFrame, key: str) -> DataFrame:
+    """(key, lang, words, share, confidence): the languages of each document, from its segments.
+
+    A language counts if at least half of its words lie in units that decided
+    for it by themselves; filler and code, which no language claims surely,
+    so have none.  The confidence is the mean over the words.
+    """
+    by = segments.groupBy(key, "lang").agg(
+        F.sum("words").alias("words"), F.sum("sure_words").alias("_sure"), (F.sum(F.col("confidence") * F.col("words")) / F.sum("words")).alias("confidence")
+    )
+    kept = by.where(F.col("_sure") >= F.col("words") * SURE_SHARE)
+    share = F.col("words") / F.sum("words").over(Window.partitionBy(key))  # at most a row a language
+    return kept.select(key, "lang", "words", share.alias("share"), "confidence")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     contents = spark.read.parquet(f"{sf_dir}/contents.parquet")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("id").alias("page_id"), stated_language(F.col("lang")).alias("stated"))
-    words = language_segments(contents, model_for(spark, sf_dir), "page_id", "body").groupBy("page_id", "lang").agg(F.sum("words").alias("words"))
-    found = words.where(F.col("words") >= MIN_WORDS).join(pages, "page_id")
+    segments = language_segments(contents, model_for(spark, sf_dir), "page_id", "body")
+    found = document_languages(segments, "page_id").where(F.col("words") >= MIN_WORDS).join(pages, "page_id")
     return found.where(~F.col("lang").eqNullSafe(F.col("stated"))).select("page_id", "lang")
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every body with its language and confidence."""
+    contents = spark.read.parquet(f"{sf_dir}/contents.parquet")
+    return language_segments(contents, model_for(spark, sf_dir), "page_id", "body")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagecask.llm.boilerplate import p3_found
-from pagecask.llm.language import p1_found
+from pagecask.llm.language import p1_found, p1_segments
 from pagecask.llm.mixing import p7_mixed, p7_shares
 from pagecask.llm.near_duplicates import p4_found
 from pagecask.llm.packing import p6_fill, p6_packed
@@ -17,6 +17,7 @@ from pagecask.llm.visual_form import p5_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_segments": p1_segments,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,

@@ -68,6 +68,14 @@ def test_operator(spark, model):
     assert L.segments_of(model, ["wort " * 100_000])["words"].sum() == 100_000
 
 
+def test_filler_has_no_language(spark, model):
+    rng = np.random.default_rng(3)
+    filler = " ".join(rng.choice("lorem ipsum dolor veniam nostrud aliquip exercitation commodo eiusmod labore".split(), 90))
+    df = spark.createDataFrame([(1, filler), (2, "The old bridge crosses the river and the people walk over it in the morning. " * 4)], "k long, body string")
+    got = L.document_languages(L.language_segments(df, model, "k", "body"), "k").collect()
+    assert [(r.k, r.lang, r.words, r.share) for r in got if r.k == 2] == [(2, "en", 60, 1.0)]
+
+
 def test_stated_language(spark):
     labels = {"en": "en", "EN": "en", "en-US": "en", "en_EN": "en", "pt-BR": "pt", "": None, "??": None, "und": None, "unknown": None, None: None, "null": None, "xx": "xx", "en-": None}
     df = spark.createDataFrame([(x,) for x in labels], "l string")
