@@ -49,14 +49,19 @@ _WORD_BYTE[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + li
 
 
 def labelled_sample(documents: DataFrame) -> list[tuple[str, str]]:
-    """(text, language): the documents with the smallest hashes, at most SAMPLE_DOCUMENTS of them."""
+    """(text, language): at most SAMPLE_DOCUMENTS labelled documents, those with the smallest hashes.
+
+    The labels are counted first, so that each task passes on only the hashes
+    below a bound; what reaches the driver does not grow with the data.
+    """
+    labelled = documents.where(F.col("lang").isin(LANGUAGES))
+    n = labelled.count()
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     rows = (
-        documents.where(F.col("lang").isin(LANGUAGES) & (F.length("text") >= 40))
-        .select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-        .orderBy("h", "doc_id")
-        .limit(SAMPLE_DOCUMENTS)
-        .collect()
-    )
+        labelled.select("doc_id", "text", "lang", place.alias("h")).where(F.col("h") < min(1.0, 1.5 * SAMPLE_DOCUMENTS / max(1, n)))
+        .where(F.length("text") >= 40).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", "h", "doc_id")
+        .orderBy("h", "doc_id").limit(SAMPLE_DOCUMENTS).collect()
+    )
     return [(r.text, r.lang) for r in rows]
 
 
