@@ -55,3 +55,14 @@ def integrity(pages: DataFrame, contents: DataFrame, index: Index) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def nearest_rank(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """Percentiles by nearest rank: the smallest value that at least the share of all values do not exceed."""
+    parts = [F.expr(f"percentile_disc({s}) within group (order by `{value}`)").alias(f"p{round(s * 100)}") for s in shares]
+    return df.groupBy(*(by or [])).agg(*parts, F.max(value).alias("max"))
+
+
+def random_rows(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
+    """``n`` rows chosen by a seeded hash of their key: the same ones in every run."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)

@@ -9,6 +9,7 @@ files.  A manifest newer than this code is refused.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def read_manifest(spark: SparkSession, root: str) -> dict | None:
+def read_manifest(spark: SparkSession, root: str, newest: int = FORMAT) -> dict | None:
     jvm, path, fs = _fs(spark, f"{root}/manifest.json")
     if not fs.exists(path):
         return None
@@ -39,8 +40,8 @@ def read_manifest(spark: SparkSession, root: str) -> dict | None:
     finally:
         stream.close()
     manifest = json.loads(text)
-    if manifest["format"] > FORMAT:
-        raise TooNewError(f"format {manifest['format']}, this code knows {FORMAT}")
+    if manifest["format"] > newest:
+        raise TooNewError(f"format {manifest['format']}, this code knows {newest}")
     return manifest
 
 
@@ -55,26 +56,41 @@ def write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
         raise OSError(f"cannot replace {root}/manifest.json")
 
 
-def write_snapshot(state: Archive, root: str, *, extra: dict | None = None) -> int:
+def write_snapshot(state: Archive, root: str, *, extra: dict | None = None, form: int = FORMAT) -> int:
     """The new version's number. ``extra`` is kept in the manifest (checkpoints of streams and imports)."""
     spark = state.pages.sparkSession
-    old = read_manifest(spark, root) or {"version": 0, "extra": {}}
+    old = read_manifest(spark, root, form) or {"version": 0, "extra": {}}
     version = old["version"] + 1
     folder = f"{root}/v{version}"
     state.pages.repartitionByRange(F.col("domain"), F.col("last_visit")).sortWithinPartitions("domain", "last_visit").write.mode("overwrite").parquet(f"{folder}/pages")
     state.contents.write.mode("overwrite").parquet(f"{folder}/contents")
     state.snippets.write.mode("overwrite").parquet(f"{folder}/snippets")
-    write_manifest(spark, root, {"format": FORMAT, "version": version, "extra": old["extra"] | (extra or {})})
+    write_manifest(spark, root, {"format": form, "version": version, "extra": old["extra"] | (extra or {})})
     return version
 
 
-def read_snapshot(spark: SparkSession, root: str) -> Archive | None:
-    manifest = read_manifest(spark, root)
+def read_snapshot(spark: SparkSession, root: str, newest: int = FORMAT) -> Archive | None:
+    manifest = read_manifest(spark, root, newest)
     if manifest is None:
         return None
     return Archive(*(spark.read.parquet(f"{root}/v{manifest['version']}/{t}") for t in TABLES))
 
 
+def migrate(spark: SparkSession, root: str, steps: list[Callable[[Archive], Archive]]) -> int:
+    """Brings an older snapshot to format len(steps), one step after another.
+
+    The manifest changes once, after the last step: if one fails, the old
+    version stays as it was.
+    """
+    manifest = read_manifest(spark, root, newest=len(steps))
+    state = read_snapshot(spark, root, newest=len(steps))
+    for step in steps[manifest["format"] :]:
+        state = step(state)
+    if manifest["format"] < len(steps):
+        write_snapshot(state, root, form=len(steps))
+    return len(steps)
+
+
 def drop_old_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
     """Removes all but the newest ``keep`` versions; a reader of an older one has had a whole version's time."""
     version = read_manifest(spark, root)["version"]

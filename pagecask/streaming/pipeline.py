@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pagecask.functions.text import content_hash
+from pagecask.functions.urls import capture_reason
 from pagecask.operators import archive as A
 from pagecask.operators.reports import integrity
 from pagecask.operators.search import page_index
 from pagecask.sources import snapshot
+from pagecask.sources.html import extract_pages
 from pagecask.streaming.state import PipelineState
 
 WINDOW_MS = 7 * A.DAY_MS
@@ -126,6 +129,45 @@ class Pipeline:
             archive, _ = A.delete_all_except_saved(archive)
         self.save(archive, state)
 
+    def capture_reasons(self, batch: DataFrame) -> DataFrame:
+        """``batch`` (url, html, incognito, permitted, at) with ``gate``: null, or the first reason against a capture."""
+        s = self.state
+        closed = "disabled" if not s.deep_enabled else "no-consent" if not s.allowed else "paused" if s.settings.paused else None
+        if closed:
+            return batch.withColumn("gate", F.lit(closed))
+        own, excluded = capture_reason(F.col("url")), capture_reason(F.col("url"), list(s.excluded))
+        gate = F.when(own.isNotNull(), own).when(F.col("incognito"), "incognito").when(excluded.isNotNull(), excluded).when(~F.col("permitted"), "no-permission")
+        return batch.withColumn("gate", gate)
+
+    def take_pages(self, batch: DataFrame, batch_id: int = 0) -> None:
+        """A micro-batch of loaded pages: gates, extraction, and texts that are new."""
+        open_ = self.capture_reasons(batch).where(F.col("gate").isNull()).select("url", "html", F.col("at").cast("double").alias("at"))
+        texts = extract_pages(open_).where(F.col("reason").isNull())
+        hashed = texts.withColumn("content_hash", content_hash(*(F.col(c) for c in ("title", "headings", "description", "body"))))
+        archive, _ = A.upsert_content(self.archive(), hashed)
+        self.save(archive, self.state)
+
+    def exclude(self, site: str) -> None:
+        """Captures of a site stop, and what was captured of it goes."""
+        state = self.state.excluding(site)
+        archive, _ = A.clear_deep_content(self.archive(), site)
+        self.save(archive, state)
+
+    def refresh_titles(self, visits: DataFrame, minutes: int = 20) -> None:
+        """Reads the latest visits again, for titles that came after the visit."""
+        now = self.now()
+        archive, _, _ = self._import(visits, now - minutes * 60_000, now + 1)
+        self.save(archive, self.state)
+
+    def resume(self, visits: DataFrame) -> str:
+        """After a pause: goes on with the import, or fills the gap."""
+        state = self.state
+        self.save(None, replace(state, settings=replace(state.settings, paused=False)))
+        return self.run_import(visits) if state.history.status != "complete" else self.reconcile(visits)
+
+    def stream_pages(self, source: DataFrame, checkpoint: str, *, once: bool = False) -> StreamingQuery:
+        return self._stream(source, self.take_pages, checkpoint, once)
+
     def stream_visits(self, source: DataFrame, checkpoint: str, *, once: bool = False) -> StreamingQuery:
         return self._stream(source, self.take_visits, checkpoint, once)
 
