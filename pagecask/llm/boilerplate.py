@@ -21,7 +21,6 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagecask.llm.residue import body_fields, residue_fields
 from pagecask.llm.visual_form import canonical, latin_skeleton

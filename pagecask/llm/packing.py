@@ -20,8 +20,6 @@ Defined results
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
