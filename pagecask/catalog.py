@@ -69,7 +69,6 @@ _SITE = "(domain = '{0}' or domain like '%.{0}')"
 _NORM = rf"""
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''),
     '(?i)([?&]){U.TRACKING}=[^&]*', '\1', 'g'), '&+', '&', 'g'), '\?&', '?'), '[?&]+$', '')"""
-_ANY_HIT = "({0})"
 
 
 def _sql_wtf(phrase: str, prefix: bool = False) -> str:
@@ -295,9 +294,6 @@ def expiry_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.plan_removals(table(spark, sf_dir, "pages"), table(spark, sf_dir, "removals"), F.unix_millis(F.col("received_at").cast("timestamp")))
 
 
-_STATE = "id, flags"
-
-
 def _state(change: tuple[A.Archive, DataFrame]) -> DataFrame:
     return change[0].pages.select("id", "flags")
 

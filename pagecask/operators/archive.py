@@ -10,7 +10,6 @@ extremes.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -245,7 +244,7 @@ def clear_deep_content(state: Archive, site: str | None = None) -> tuple[Archive
     return replace(state, pages=_pages(kept), contents=state.contents.join(gone, "page_id", "left_anti")), summary
 
 
-def running_total(df: DataFrame, order: list[Column], value: Column, out: str, buckets: DataFrame | None = None, bucket: str | None = None) -> DataFrame:
+def running_total(df: DataFrame, order: list[Column], value: Column, out: str, bucket: str) -> DataFrame:
     """Running sum of ``value`` in ``order``, without one task holding all rows.
 
     ``bucket`` is a column that rises with the order; sums of whole buckets
@@ -356,6 +355,3 @@ def import_data(state: Archive, pages: DataFrame, snippets: DataFrame) -> tuple[
     )
     return Archive(merged, contents, state.snippets.unionByName(fresh)), summary
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

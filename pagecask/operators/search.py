@@ -171,9 +171,6 @@ def adjacent(terms: list[str], folded: Column) -> Column:
     return folded.rlike("[^\\p{L}\\p{N}]+".join(terms))
 
 
-RESULT = ["kind", "id", "url", "title", "domain", "source", "flags", "timestamp", "visit_count", "score", "approximate", "match_kind", "snippet", "title_highlights", "fragment"]
-
-
 def rank_pages(candidates: DataFrame, contents: DataFrame, q: Query, now: int, *, matched: bool, approximate: bool) -> DataFrame:
     """Scored result rows; excerpts and adjacency for the best few only, whose texts are joined after the cut."""
     terms, open_term = q.terms, len(q.terms) - 1 if q.open_end else -1
