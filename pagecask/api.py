@@ -19,6 +19,7 @@ from pagecask.operators import archive as A
 from pagecask.operators import reports as R
 from pagecask.operators import search as S
 from pagecask.plans.query import parse_query, site_value
+from pagecask.shipping import ship
 from pagecask.sources import exchange, snapshot
 
 QUERY, BATCH, RESULTS = 1000, 5000, 200
@@ -39,6 +40,7 @@ def _need(ok: bool, what: str) -> None:
 class Service:
     def __init__(self, spark: SparkSession, root: str, now: Callable[[], int]) -> None:
         self.spark, self.root, self.now = spark, root, now
+        ship(spark)
 
     # --- plumbing ---
 

@@ -19,6 +19,7 @@ from pagecask.functions.urls import capture_reason
 from pagecask.operators import archive as A
 from pagecask.operators.reports import integrity
 from pagecask.operators.search import page_index
+from pagecask.shipping import ship
 from pagecask.sources import snapshot
 from pagecask.sources.html import extract_pages
 from pagecask.streaming.state import PipelineState
@@ -39,6 +40,7 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, root: str, now: Callable[[], int]) -> None:
         self.spark, self.root, self.now = spark, root, now
+        ship(spark)
 
     @property
     def state(self) -> PipelineState:
