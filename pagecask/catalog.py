@@ -15,6 +15,7 @@ from pagecask.functions import urls as U
 from pagecask.operators import archive as A
 from pagecask.operators import reports as R
 from pagecask.operators import search as S
+from pagecask.operators.ordered import in_ranges, running_total
 from pagecask.operators.snippets import excerpts, highlight_spans
 from pagecask.plans.query import parse_query
 from pagecask.sources.html import extract_pages
@@ -546,15 +547,18 @@ from pages p left join (select q.id, place from q join placed using (id, term))
 def relevance_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hit@1, hit@5 and MRR of finding every page by its rarest title word, latest first.
 
-    A page's place is its row number in its word's list, so no pairs of
-    queries and pages are made.
+    A page's place is its position in its word's list; positions come from one
+    running count over all lists, so neither pairs of queries and pages nor a
+    frequent word's whole list are in one task.
     """
     pages = table(spark, sf_dir, "pages").where("title <> ''")
     own = pages.select("id", "last_visit", F.explode(F.array_distinct(X.tokens(X.fold(F.col("title"))))).alias("term"))
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     query = own.join(df, "term").groupBy("id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("last_visit"), "id"))
-    found = own.withColumn("place", place).select("id", "term", "place").join(query, ["id", "term"]).select("id", "place")
+    order = [F.col("term"), F.desc("last_visit"), F.col("id")]
+    counted = running_total(in_ranges(own, order, "title-words"), order, F.lit(1), "position").select("id", "term", "position")
+    first = counted.groupBy("term").agg(F.min("position").alias("first"))
+    found = counted.join(query, ["id", "term"]).join(first, "term").select("id", (F.col("position") - F.col("first") + 1).alias("place"))
     return S.relevance(pages.join(found, "id", "left").select(F.lit("rarest title word").alias("kind"), "place"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from pagecask.functions.text import clip, half_up, text_bytes
 from pagecask.functions.urls import domain_of, in_site, normalized_url
+from pagecask.operators.ordered import in_ranges, running_total
 from pagecask.operators.search import CONTENT, HISTORY, SAVED, has_flag
 
 DAY_MS = 86_400_000
@@ -244,19 +245,6 @@ def clear_deep_content(state: Archive, site: str | None = None) -> tuple[Archive
     return replace(state, pages=_pages(kept), contents=state.contents.join(gone, "page_id", "left_anti")), summary
 
 
-def running_total(df: DataFrame, order: list[Column], value: Column, out: str, bucket: str) -> DataFrame:
-    """Running sum of ``value`` in ``order``, without one task holding all rows.
-
-    ``bucket`` is a column that rises with the order; sums of whole buckets
-    come first (one row a bucket), then sums inside each.
-    """
-    sums = df.groupBy(bucket).agg(F.sum(value).alias("_sum"))
-    before = F.sum("_sum").over(Window.partitionBy().orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    offset = sums.select(bucket, F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.join(offset, bucket).withColumn(out, inside + F.col("_before")).drop("_before")
-
-
 def cap_plan(state: Archive, max_bytes: int, batch: int = 200, max_batches: int = 50) -> DataFrame:
     """(id, bytes, step): pages to touch so that texts take at most ``max_bytes``; oldest first, whole batches.
 
@@ -265,12 +253,12 @@ def cap_plan(state: Archive, max_bytes: int, batch: int = 200, max_batches: int
     Size is that of the texts, the one size that does not depend on storage.
     """
     sized = state.pages.join(state.contents.select(F.col("page_id").alias("id"), "bytes"), "id", "left").select(
-        "id", "last_visit", "flags", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.floor(F.col("last_visit") / DAY_MS).alias("_day")
+        "id", "last_visit", "flags", F.coalesce("bytes", F.lit(0)).alias("bytes")
     )
     over = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"))
     can = sized.where(has_flag(F.col("flags"), CONTENT) & ~has_flag(F.col("flags"), SAVED))
     order = [F.col("last_visit"), F.col("id")]
-    ranked = running_total(running_total(can, order, F.lit(1), "place", bucket="_day"), order, F.col("bytes"), "freed", bucket="_day")
+    ranked = running_total(running_total(in_ranges(can, order, "cap-order"), order, F.lit(1), "place"), order, F.col("bytes"), "freed")
     ranked = ranked.withColumn("_batch", F.floor((F.col("place") - 1) / batch)).where(F.col("_batch") < max_batches)
     by = ranked.groupBy("_batch").agg(F.max("freed").alias("_freed"))
     before = F.coalesce(F.max("_freed").over(Window.partitionBy().orderBy("_batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
