@@ -416,7 +416,7 @@ def import_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = archive(spark, sf_dir)
     state, _ = A.import_data(A.Archive(a.pages, a.contents, a.snippets.where(F.lit(False))), A.export_pages(a), A.export_snippets(a))
     p = state.pages.agg(F.count("*").alias("pages"), F.count_if(S.has_flag(F.col("flags"), S.SAVED)).alias("saved"))
-    return p.join(F.broadcast(state.snippets.agg(F.count("*").alias("snippets"))))
+    return p.withColumn("snippets", state.snippets.agg(F.count("*").alias("snippets")).scalar())
 
 
 # --- reports -------------------------------------------------------------------------

@@ -89,7 +89,7 @@ def upsert_history(state: Archive, batch: DataFrame, order: Column) -> tuple[Arc
     known = seen.join(old.select("url"), "url", "left_semi").agg(F.count("*").alias("known"))
     counts = seen.agg(F.count("*").alias("addresses"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
     total = batch.agg(F.count("*").alias("total"))
-    summary = counts.join(F.broadcast(known)).join(F.broadcast(total)).select(
+    summary = counts.withColumns({"known": known.scalar(), "total": total.scalar()}).select(
         (F.col("addresses") - F.col("known")).alias("inserted"), (F.col("rows") - F.col("addresses") + F.col("known")).alias("updated"),
         (F.col("total") - F.col("rows")).alias("skipped"),
     )
@@ -144,7 +144,7 @@ def upsert_content(state: Archive, batch: DataFrame, *, save: bool = False) -> t
     texts = _texts(todo).join(ids, "url").select(*CONTENT_COLUMNS)
     contents = state.contents.join(texts, "page_id", "left_anti").select(*CONTENT_COLUMNS).unionByName(texts)
     done = todo.agg(F.count("*").alias("changed"))
-    summary = batch.agg(F.count("*").alias("given")).join(F.broadcast(done)).select("changed", (F.col("given") - F.col("changed")).alias("unchanged_or_skipped"))
+    summary = batch.agg(F.count("*").alias("given")).withColumn("changed", done.scalar()).select("changed", (F.col("given") - F.col("changed")).alias("unchanged_or_skipped"))
     return replace(state, pages=merged, contents=contents), summary
 
 
@@ -262,7 +262,7 @@ def cap_plan(state: Archive, max_bytes: int, batch: int = 200, max_batches: int
     ranked = ranked.withColumn("_batch", F.floor((F.col("place") - 1) / batch)).where(F.col("_batch") < max_batches)
     by = ranked.groupBy("_batch").agg(F.max("freed").alias("_freed"))
     before = F.coalesce(F.max("_freed").over(Window.partitionBy().orderBy("_batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    needed = by.select("_batch", before.alias("_before")).join(F.broadcast(over)).where(F.col("total") - F.col("_before") > max_bytes).select("_batch")
+    needed = by.select("_batch", before.alias("_before")).where(over.scalar() - F.col("_before") > max_bytes).select("_batch")
     return ranked.join(F.broadcast(needed), "_batch").select("id", "bytes", F.lit("trim").alias("step"))
 
 
@@ -338,7 +338,8 @@ def import_data(state: Archive, pages: DataFrame, snippets: DataFrame) -> tuple[
     quotes = new_snippets(snippets).dropDuplicates(["url", "text", "created_at"])
     fresh = quotes.join(state.snippets, ["url", "text", "created_at"], "left_anti").select(*state.snippets.columns)
     counts = raw.agg(F.count("*").alias("pages"))
-    summary = pages.agg(F.count("*").alias("given")).join(F.broadcast(counts)).join(F.broadcast(fresh.agg(F.count("*").alias("snippets")))).select(
+    both = {"pages": counts.scalar(), "snippets": fresh.agg(F.count("*").alias("snippets")).scalar()}
+    summary = pages.agg(F.count("*").alias("given")).withColumns(both).select(
         "pages", "snippets", (F.col("given") - F.col("pages")).alias("skipped")
     )
     return Archive(merged, contents, state.snippets.unionByName(fresh)), summary

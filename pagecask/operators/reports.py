@@ -29,14 +29,14 @@ def archive_stats(pages: DataFrame, contents: DataFrame, snippets: DataFrame) ->
         F.count_if(has_flag(flags, SAVED)).alias("saved"), F.min("first_seen").alias("first_seen"), F.max("last_visit").alias("last_visit"),
     )
     c = contents.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("text_bytes"))
-    return p.join(F.broadcast(c)).join(F.broadcast(snippets.agg(F.count("*").alias("snippets"))))
+    return p.withColumns({"text_bytes": c.scalar(), "snippets": snippets.agg(F.count("*").alias("snippets")).scalar()})
 
 
 def page_info(pages: DataFrame, contents: DataFrame, snippets: DataFrame, url: str) -> DataFrame:
     """One page with the size and beginning of its text and the number of quotes; no row if it is unknown."""
     one = pages.where(F.col("url") == url).join(contents.select(F.col("page_id").alias("id"), "bytes", F.substring("body", 1, PREVIEW).alias("preview")), "id", "left")
     n = snippets.where(F.col("url") == url).agg(F.count("*").alias("snippets"))
-    return one.join(F.broadcast(n)).select("id", "url", "domain", "title", "first_seen", "last_visit", "visit_count", "lang", "flags", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("preview", F.lit("")).alias("preview"), "snippets")
+    return one.withColumn("snippets", n.scalar()).select("id", "url", "domain", "title", "first_seen", "last_visit", "visit_count", "lang", "flags", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("preview", F.lit("")).alias("preview"), "snippets")
 
 
 def integrity(pages: DataFrame, contents: DataFrame, index: Index) -> DataFrame:

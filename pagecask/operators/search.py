@@ -313,7 +313,7 @@ def suggest(vocab: DataFrame, term: str, limit: int = 3, as_prefix: bool = False
         .orderBy(F.desc("doc"), "term").limit(3000)
         .withColumn("distance", F.levenshtein(F.col("term"), F.lit(term), 2)).where("distance >= 0")
     )
-    return near.join(F.broadcast(known)).where("known = 0").select("term", "doc", "distance").orderBy("distance", F.desc("doc"), "term").limit(limit)
+    return near.where(known.scalar() == 0).select("term", "doc", "distance").orderBy("distance", F.desc("doc"), "term").limit(limit)
 
 
 def suggestions(vocab: DataFrame, q: Query) -> list[tuple[str, str]]:
