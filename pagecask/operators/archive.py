@@ -245,12 +245,12 @@ def clear_deep_content(state: Archive, site: str | None = None) -> tuple[Archive
     return replace(state, pages=_pages(kept), contents=state.contents.join(gone, "page_id", "left_anti")), summary
 
 
-def cap_plan(state: Archive, max_bytes: int, batch: int = 200, max_batches: int = 50) -> DataFrame:
-    """(id, bytes, step): pages to touch so that texts take at most ``max_bytes``; oldest first, whole batches.
+def cap_plan(state: Archive, max_bytes: int, batch: int = 200) -> DataFrame:
+    """(id, bytes, step): pages to touch so that texts take at most ``max_bytes``; oldest first, whole batches, as many as it takes.
 
-    Step ``trim`` drops the texts of captured pages that are not saved.  What
-    stays over goes by step ``delete``, the oldest pages that are not saved.
-    Size is that of the texts, the one size that does not depend on storage.
+    Step ``trim`` drops the texts of captured pages that are not saved.  Size is
+    that of the texts, the one size that does not depend on storage; pages
+    without text have none, so nothing is deleted if saved texts alone are over.
     """
     sized = state.pages.join(state.contents.select(F.col("page_id").alias("id"), "bytes"), "id", "left").select(
         "id", "last_visit", "flags", F.coalesce("bytes", F.lit(0)).alias("bytes")
@@ -259,11 +259,11 @@ def cap_plan(state: Archive, max_bytes: int, batch: int = 200, max_batches: int
     can = sized.where(has_flag(F.col("flags"), CONTENT) & ~has_flag(F.col("flags"), SAVED))
     order = [F.col("last_visit"), F.col("id")]
     ranked = running_total(running_total(in_ranges(can, order, "cap-order"), order, F.lit(1), "place"), order, F.col("bytes"), "freed")
-    ranked = ranked.withColumn("_batch", F.floor((F.col("place") - 1) / batch)).where(F.col("_batch") < max_batches)
+    ranked = ranked.withColumn("_batch", F.floor((F.col("place") - 1) / batch))
     by = ranked.groupBy("_batch").agg(F.max("freed").alias("_freed"))
     before = F.coalesce(F.max("_freed").over(Window.partitionBy().orderBy("_batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    needed = by.select("_batch", before.alias("_before")).where(over.scalar() - F.col("_before") > max_bytes).select("_batch")
-    return ranked.join(F.broadcast(needed), "_batch").select("id", "bytes", F.lit("trim").alias("step"))
+    last = by.select("_batch", before.alias("_before")).where(over.scalar() - F.col("_before") > max_bytes).agg(F.max("_batch").alias("last"))
+    return ranked.where(F.col("_batch") <= last.scalar()).select("id", "bytes", F.lit("trim").alias("step"))
 
 
 def enforce_cap(state: Archive, max_bytes: int) -> tuple[Archive, DataFrame]:

@@ -135,6 +135,19 @@ def test_cap(spark):
     assert A.cap_plan(state, 10 * n).count() == 0
 
 
+def test_cap_takes_as_many_batches_as_needed(spark):
+    n = 10_600
+    pages = spark.range(n).selectExpr("id", "cast(id as string) as url", "'d' as domain", "'t' as title", "0L as first_seen", "id as last_visit", "1 as visit_count", "0 as typed_count", "'en' as lang", "if(id % 100 = 0, 7, 3) as flags", "0L as saved_at", "'h' as content_hash", "0L as content_indexed_at")
+    contents = spark.range(n).selectExpr("id as page_id", "'' as headings", "'' as description", "'b' as body", "10L as bytes")
+    state = A.Archive(pages, contents, spark.createDataFrame([], QUOTE))
+    got = {r.id for r in A.cap_plan(state, 10 * (n - 10_100)).select("id").collect()}
+    assert got == set([i for i in range(n) if i % 100][:10_200])
+    out, summary = A.enforce_cap(state, 10)  # saved texts alone are over: all others go, no page does
+    assert out.contents.count() == n // 100 and out.pages.count() == n and summary.first().trimmed_pages == n - n // 100
+    few = A.cap_plan(state, 10 * (n - 301), batch=2)
+    assert few.count() == 302
+
+
 def test_export_import(spark, state, tmp_path):
     from pagecask.sources import exchange
 
