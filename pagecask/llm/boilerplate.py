@@ -1,9 +1,11 @@
 """Main content of pages without the site's furniture (problem 3).
 
 Each line of a body is a block.  The first pass classifies blocks by stop-word
-density, length and link density, and by the wording of notices and prompts;
-the second lets the short blocks that it leaves undecided inherit the label of
-the nearest decided neighbour.  All evidence lies in the page itself, so a
+density, length, link density, and the density of words that address the
+reader or speak of the site; the second lets the short and the addressed
+blocks that it leaves undecided inherit the label of the nearest decided
+neighbour.  Usual menu entries and notices, as lists, add what stands alone
+between paragraphs; ``wording=False`` leaves the lists out.  All evidence lies in the page itself, so a
 page is one row in and its blocks out, without a shuffle, whatever the number
 of pages.
 
@@ -22,8 +24,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pagecask.llm.residue import body_fields, residue_fields
+from pagecask.llm.residue import page_fields, residue_fields
 from pagecask.llm.visual_form import canonical, latin_skeleton
+from pagecask.llm.wording import ADDRESS, STOP_WORDS
 
 #: A line of so many words with STOP_DENSITY of them stop words, or ending as a sentence, is the page's own text.
 LONG_WORDS = 12
@@ -34,17 +37,21 @@ SHORT_WORDS = 7
 SHORT_SENTENCE = 4
 #: Share of a line's words that lie in link-like items from which it is a list of links.
 LINK_DENSITY = 0.75
-
-# Frequent function words of the eight languages.
-STOP_WORDS = frozenset(
-    """the a an of and to in is was on at for with by from that this it as but or not were are be been had has have until so because while
-    der die das den dem des ein eine einer und oder in im am an auf aus bei mit nach von zu zum zur ist war sind nicht wird für bis hinter ohne neben seit
-    le la les un une des du de et ou à au aux en dans sur sous par pour avec sans est était ne pas que qui mais car près
-    el los las una unos y o del al con por para sin es era no que pero porque hasta desde entre su
-    o os as um uma e do da dos das no na nos nas ao à em com por para sem é era não mas porque até
-    de het een en of van in op te aan bij met naar voor uit om is was niet maar want door onder tot zonder
-    ο η το οι τα του της των τον την στο στη στην στον και ή σε από με για χωρίς είναι ήταν δεν αλλά μέχρι κατά μετά πριν πίσω δίπλα κοντά
-    и в во на с со у к по за из от до для без не но что как под над при о об между же бы был была было""".split()
+#: A short line without an end mark and function words is a list of entries if so many of its words are capitalised.
+CAPITAL_DENSITY, CAPITAL_WORDS = 0.5, 14
+#: A line of at most so many words, of which so many address the reader or speak of the site, follows its neighbours; with more it is furniture.
+ADDRESS_DENSITY, TALK_DENSITY, ADDRESS_WORDS = 0.04, 0.15, 30
+#: So many short undecided lines in a row, of at most so many words each, are a menu.
+RUN_LINES, RUN_WORDS = 3, 3
+#: Longest line that a legal sign, an e-mail address or a telephone number makes furniture.
+MARKED_WORDS = 15
+
+# Words with which a site speaks of itself, in the eight languages.
+SITE_TALK = ADDRESS | frozenset(
+    """website site page email e-mail newsletter cookie cookies javascript scripts menu privacy account partners
+    webseite seite datenschutz konto gerät daten privée confidentialité courriel sitio boletín privacidad correo
+    boletim privacidade nieuwsbrief gegevens apparaat ιστότοπος ιδιωτικότητα ιδιωτικότητά ενημερωτικό δελτίο
+    сайт приватность приватности рассылка рассылку файлы""".split()
 )
 
 # Entries of menus, footers and share bars, and titles of side boxes.
@@ -87,7 +94,9 @@ scripts are off, so .* | some features of this (?:page|site) need javascript.* |
 NOTICE = re.compile("|".join(f"(?:{p.strip()})" for line in _NOTICES.strip().split("\n") for p in line.split(" | ")))
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-_ITEMS = re.compile(r"\s+[·|>›»•]\s+|\s{2,}|\s+/\s+")
+_ITEMS = re.compile(r"\s+[·|>›»•]\s+|\s{2,}|\s*/\s*")
+_MARKS = re.compile(r"[©®℗]|\(c\) ?\d{4}|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b(?:tel|fax)\b\W{0,3}\d|(?:^|\s)(?:[a-z0-9-]+\.)+[a-z]{2,}\.?$|\+?\d[\d ()/-]{7,}\d")
+_WRAP = ",.;:()'\"!?…"
 _DATED = re.compile(r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\s|\d{4}-\d{2}-\d{2}\s")
 _LABEL = re.compile(r"([^:;.!?]{2,40}?)\s*:\s+(.+)")
 _ENTRY_TAIL = re.compile(r"\s*\(\d+\)$|\s+\d+$")
@@ -129,55 +138,99 @@ def _link_density(line: str) -> float:
     return linked / total if total else 0.0
 
 
-MAIN, FURNITURE, UNDECIDED = 0, 1, 2
+MAIN, FURNITURE, UNDECIDED, ADDRESSED = 0, 1, 2, 3
 
 
-def first_pass(line: str) -> int:
-    """Label of one block by itself."""
-    low = line.strip().lower()
-    if not low:
-        return UNDECIDED
-    words = low.split()
+def by_density(line: str, low: str, words: list[str]) -> int:
+    """Label of one block by its densities: list items, function words, sentences, link-like items, capitals, address of the reader."""
     n = len(words)
-    if n <= 30 and NOTICE.fullmatch(low):
-        return FURNITURE
     if _BULLET.match(low) and n > 2:
         return MAIN  # list items of the page's own text
-    if n > LONG_WORDS and low.endswith(_SENTENCE_END):
+    if n <= MARKED_WORDS and _MARKS.search(low):
+        return FURNITURE  # legal and contact lines
+    ends = low.endswith(_SENTENCE_END)
+    plain = [w.strip(_WRAP) for w in words]
+    stops = sum(w in STOP_WORDS for w in plain) / n
+    link = _link_density(low) if n <= 30 else 0.0
+    talk = sum(w in SITE_TALK for w in plain) if n <= ADDRESS_WORDS else 0
+    addressed = talk > 0 and sum(w in ADDRESS for w in plain) >= max(1, ADDRESS_DENSITY * n)
+    if talk >= max(2, TALK_DENSITY * n) or addressed and (link > 0 or not ends):
+        return FURNITURE
+    if n > LONG_WORDS and ends and not addressed:
         return MAIN
     if _DATED.match(low) and n <= 8 and not low.endswith("."):
         return FURNITURE  # a dated link to another page
     if all(w.startswith("#") and len(w) > 1 for w in words):
         return FURNITURE  # tags
-    if n <= 40 and _only_menu(low):
-        return FURNITURE
     label = _LABEL.fullmatch(low)
     if label and not low.endswith("."):
         parts = label.group(2).split("; ")
-        if label.group(1).strip() in MENU or len(parts) > 1 and all(len(p.split()) <= 6 for p in parts):
+        if len(parts) > 1 and all(len(p.split()) <= 6 for p in parts):
             return FURNITURE  # a labelled list of links
-    if _link_density(low) >= LINK_DENSITY and n <= 30:
+    if link >= LINK_DENSITY:
         return FURNITURE
     if n <= 10 and _COUNTS.search(low) and not low.endswith("."):
         return FURNITURE  # counters and offers
-    stops = sum(w.strip(",.;:()'\"") in STOP_WORDS for w in words) / n
-    if low.endswith(_SENTENCE_END) and (stops >= STOP_DENSITY or n > SHORT_SENTENCE):
+    if addressed:
+        return ADDRESSED
+    if ends and (stops >= STOP_DENSITY or n > SHORT_SENTENCE):
         return MAIN
+    capitals = sum(w[:1].isupper() for w in line.split() if w[:1].isalpha())
+    if not ends and 3 <= n <= CAPITAL_WORDS and stops < STOP_DENSITY and capitals >= max(3, CAPITAL_DENSITY * n):
+        return FURNITURE  # entries without separators
     if n > SHORT_WORDS:
         return MAIN
     # a subheading: short, without an end mark, with a function word or an elided article
     if n >= 3 and (stops >= STOP_DENSITY or "'" in words[0] or "’" in words[0]):
         return MAIN
-    latin = latin_skeleton(line)
-    if latin != line and (_only_menu(latin.strip().lower()) or NOTICE.fullmatch(latin.strip().lower())):
-        return FURNITURE  # an entry written with look-alikes of another script
     return UNDECIDED
 
 
-def label_blocks(lines: list[str]) -> list[int]:
-    """Both passes: MAIN or FURNITURE for every line."""
-    labels = [first_pass(x) for x in lines]
-    decided = [k for k, x in enumerate(labels) if x != UNDECIDED]
+def by_wording(line: str, low: str, n: int) -> bool:
+    """Whether a block is made of usual menu entries or is a usual notice, in plain letters or look-alikes."""
+    if n > ADDRESS_WORDS:
+        return n <= 40 and _only_menu(low)
+    if NOTICE.fullmatch(low) or _only_menu(low):
+        return True
+    label = _LABEL.fullmatch(low)
+    if label and label.group(1).strip() in MENU and not low.endswith("."):
+        return True
+    latin = latin_skeleton(line)
+    if latin == line:
+        return False
+    latin = latin.strip().lower()
+    return _only_menu(latin) or bool(NOTICE.fullmatch(latin))
+
+
+def first_pass(line: str, wording: bool = True) -> int:
+    """Label of one block by itself: by its densities, and where these leave it short or addressed, by its wording."""
+    low = line.strip().lower()
+    if not low:
+        return UNDECIDED
+    words = low.split()
+    label = by_density(line, low, words)
+    if wording and label != FURNITURE and len(words) <= 40 and not (_BULLET.match(low) and len(words) > 2) and by_wording(line, low, len(words)):
+        return FURNITURE
+    return label
+
+
+def _mark_runs(lines: list[str], labels: list[int]) -> None:
+    """Short undecided lines in a row become a menu; headings stand alone."""
+    k = 0
+    while k < len(labels):
+        e = k
+        while e < len(labels) and labels[e] == UNDECIDED and 0 < len(lines[e].split()) <= RUN_WORDS:
+            e += 1
+        if e - k >= RUN_LINES:
+            labels[k:e] = [FURNITURE] * (e - k)
+        k = max(e, k + 1)
+
+
+def label_blocks(lines: list[str], wording: bool = True) -> list[int]:
+    """Both passes: MAIN or FURNITURE for every line; without ``wording`` by densities and neighbours alone."""
+    labels = [first_pass(x, wording) for x in lines]
+    _mark_runs(lines, labels)
+    decided = [k for k, x in enumerate(labels) if x < UNDECIDED]
     if len(decided) == len(labels):
         return labels
     out = list(labels)
@@ -185,15 +238,16 @@ def label_blocks(lines: list[str]) -> list[int]:
     following = iter(decided)
     after = next(following, None)
     for k, x in enumerate(labels):
-        if x != UNDECIDED:
+        if x < UNDECIDED:
             before = k
             continue
         while after is not None and after < k:
             after = next(following, None)
-        if not lines[k].strip():
-            out[k] = MAIN
-        elif before is None and after is None:
+        if not lines[k].strip() or before is None and after is None:
             out[k] = MAIN
+        elif before is not None and after is not None and k - before == after - k:
+            # a heading stands before its text, a prompt beside the furniture
+            out[k] = max(labels[before], labels[after]) if x == ADDRESSED else labels[after]
         elif after is None or before is not None and k - before < after - k:
             out[k] = labels[before]
         else:
@@ -252,6 +306,6 @@ def main_text(contents: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unusable = residue_fields(body_fields(spark, sf_dir)).select("page_id")
+    unusable = residue_fields(*page_fields(spark, sf_dir)).where("field = 'body'").select("page_id").hint("merge")  # a share of all pages
     contents = spark.read.parquet(f"{sf_dir}/contents.parquet")
     return page_furniture(contents).join(unusable, "page_id", "left_anti")

@@ -11,7 +11,7 @@ from pagecask.llm.language import p1_found, p1_segments
 from pagecask.llm.mixing import p7_mixed, p7_shares
 from pagecask.llm.near_duplicates import p4_found
 from pagecask.llm.packing import p6_fill, p6_packed
-from pagecask.llm.residue import p2_found
+from pagecask.llm.residue import p2_found, p2_reasons
 from pagecask.llm.splitting import p8_pieces
 from pagecask.llm.visual_form import p5_found
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_segments": p1_segments,
     "p2_found": p2_found,
+    "p2_reasons": p2_reasons,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,

@@ -19,6 +19,21 @@ def test_inheritance():
     assert B.label_blocks(["Xyz", "Abc"]) == [0, 0] and B.label_blocks([""]) == [0] and B.label_blocks([]) == []
 
 
+def test_densities_without_the_lists():
+    long = "The old bridge crosses the river, and nobody has ever counted the people who walk over it in the morning."
+    page = [
+        ("Kalo | Vari | Mesa", 1), ("Kalo Vari Mesa Tolo", 1), ("Our newsletter brings you a story every week.", 1), (long, 0), ("The old bridge", 0), (long, 0),
+        ("Deutsch/Français/Nederlands", 1), ("Some Site, Street 4, tel. 00 123 4567", 1), ("© 2024 Some Site", 1), ("Made by Some Site. www.some-site.example", 1), ("Kalo", 1), ("Vari (3)", 1), ("Mesa", 1),
+    ]
+    assert B.label_blocks([x for x, _ in page], wording=False) == [x for _, x in page]
+
+
+def test_addressed_lines_follow_their_neighbours():
+    long = "The old bridge crosses the river, and nobody has ever counted the people who walk over it in the morning."
+    assert B.label_blocks([long, "She told them that we never know what comes.", long]) == [0, 0, 0]
+    assert B.label_blocks(["Kalo | Vari", "Together we tell what nobody has told before.", "Kalo | Vari"]) == [1, 1, 1]
+
+
 def test_operator(spark):
     schema = "page_id long, body string, headings string, item_no string"
     rows = [(1, "Home | News | Help\nThe old bridge crosses the river, and nobody has ever counted the people on it.", "The bridge · Leave a comment · Newsletter", "x"), (2, None, None, None), (3, "", "", ""), (4, "Ｎｅｗｓ | Hom​e | Help", None, None), (None, "Contact", None, None)]
@@ -36,8 +51,8 @@ def test_very_long_body(spark):
 
 
 def test_query_leaves_unusable_pages_out(spark, data):
-    from pagecask.llm.residue import body_fields, residue_fields
+    from pagecask.llm.residue import page_fields, residue_fields
 
     out = B.p3_found(spark, data)
     assert out.columns == ["page_id", "field", "item_no"]
-    assert out.join(residue_fields(body_fields(spark, data)), "page_id").count() == 0
+    assert out.join(residue_fields(*page_fields(spark, data)).where("field = 'body'"), "page_id").count() == 0
