@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagecask.llm.boilerplate import p3_found
 from pagecask.llm.language import p1_found, p1_segments
 from pagecask.llm.mixing import p7_mixed, p7_shares
-from pagecask.llm.near_duplicates import p4_found
+from pagecask.llm.near_duplicates import p4_classes, p4_found
 from pagecask.llm.packing import p6_fill, p6_packed
 from pagecask.llm.residue import p2_found, p2_reasons
 from pagecask.llm.splitting import p8_pieces
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_reasons": p2_reasons,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
