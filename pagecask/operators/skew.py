@@ -12,8 +12,9 @@ PARTS = 32
 def spread_join(many: DataFrame, few: DataFrame, key: str, deal: str, how: str = "inner", parts: int = PARTS) -> DataFrame:
     """``many`` joined with ``few``, which has one row a key: the rows of a key are dealt to ``parts`` tasks by a hash of ``deal``.
 
-    No key's rows are in one task, however many there are.
+    No key's rows are in one task, however many there are; neither side is sent
+    whole to all tasks, since both may grow with the data.
     """
     left = many.withColumn("_part", F.pmod(F.xxhash64(deal), F.lit(parts)).cast("int"))
     right = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return left.join(right, [key, "_part"], how).drop("_part")
+    return left.join(right.hint("merge"), [key, "_part"], how).drop("_part")
