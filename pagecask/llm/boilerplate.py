@@ -149,6 +149,8 @@ def by_density(line: str, low: str, words: list[str]) -> int:
     if n <= MARKED_WORDS and _MARKS.search(low):
         return FURNITURE  # legal and contact lines
     ends = low.endswith(_SENTENCE_END)
+    if ends and n > ADDRESS_WORDS:
+        return MAIN
     plain = [w.strip(_WRAP) for w in words]
     stops = sum(w in STOP_WORDS for w in plain) / n
     link = _link_density(low) if n <= 30 else 0.0
@@ -195,7 +197,7 @@ def by_wording(line: str, low: str, n: int) -> bool:
     label = _LABEL.fullmatch(low)
     if label and label.group(1).strip() in MENU and not low.endswith("."):
         return True
-    latin = latin_skeleton(line)
+    latin = latin_skeleton(line) if n <= LONG_WORDS else line
     if latin == line:
         return False
     latin = latin.strip().lower()
@@ -209,7 +211,9 @@ def first_pass(line: str, wording: bool = True) -> int:
         return UNDECIDED
     words = low.split()
     label = by_density(line, low, words)
-    if wording and label != FURNITURE and len(words) <= 40 and not (_BULLET.match(low) and len(words) > 2) and by_wording(line, low, len(words)):
+    if not wording or label == FURNITURE or label == MAIN and (len(words) > LONG_WORDS or _BULLET.match(low)):
+        return label
+    if by_wording(line, low, len(words)):
         return FURNITURE
     return label
 
