@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from pagecask.functions.text import fold_text
 from pagecask.functions.urls import normalize_url
 from pagecask.operators import archive as A
+from pagecask.operators import index as I
 from pagecask.operators import reports as R
 from pagecask.operators import search as S
 from pagecask.plans.query import parse_query, site_value
 from pagecask.shipping import ship
 from pagecask.sources import exchange, snapshot
+from pagecask.streaming.pipeline import TRIES, addresses
 
 QUERY, BATCH, RESULTS = 1000, 5000, 200
 VISITS = "url string, title string, last_visit_time double, visit_count long, typed_count long"
@@ -38,6 +40,8 @@ def _need(ok: bool, what: str) -> None:
 
 
 class Service:
+    """Each change reads and writes the parts of the archive that hold its addresses; changes that choose by other columns read all pages."""
+
     def __init__(self, spark: SparkSession, root: str, now: Callable[[], int]) -> None:
         self.spark, self.root, self.now = spark, root, now
         ship(spark)
@@ -53,16 +57,28 @@ class Service:
             raise BadRequest(str(e)) from e
         return f(**params)
 
-    def _state(self) -> A.Archive:
-        state = snapshot.read_snapshot(self.spark, self.root)
-        _need(state is not None, "no archive here")
-        return state
+    def _open(self, parts: dict | None = None) -> snapshot.Opened:
+        opened = snapshot.open_snapshot(self.spark, self.root, parts=parts)
+        _need(opened is not None, "no archive here")
+        return opened
 
-    def _commit(self, change: tuple[A.Archive, DataFrame]) -> dict:
-        state, summary = change
-        done = summary.first().asDict()
-        snapshot.write_snapshot(state, self.root)
-        return done
+    def _state(self) -> A.Archive:
+        return self._open().archive
+
+    def _change(self, make: Callable[[A.Archive], tuple[A.Archive, DataFrame]], urls: DataFrame | None = None, contents: bool = True) -> dict:
+        """Writes what ``make`` makes of the archive, or of the parts that hold ``urls``; begun again if another writer was first."""
+        with snapshot.writer_lock(self.root):
+            for left in range(TRIES - 1, -1, -1):
+                base = self._open() if urls is None else snapshot.open_for(self.spark, self.root, addresses(urls), contents)
+                state, summary = make(base.archive)
+                done = summary.first().asDict()
+                try:
+                    snapshot.write_snapshot(state, self.root, base=base)
+                    return done
+                except snapshot.ConflictError:
+                    if not left:
+                        raise
+        return {}
 
     def _rows(self, rows: list[dict], schema: str) -> DataFrame:
         _need(len(rows) <= BATCH, f"at most {BATCH} rows a call")
@@ -76,76 +92,95 @@ class Service:
 
     def upsert_history(self, rows: list[dict]) -> dict:
         batch = self._rows([r | {"seq": k} for k, r in enumerate(rows)], VISITS + ", seq long")
-        return self._commit(A.upsert_history(self._state(), batch, F.col("seq")))
+        return self._change(lambda a: A.upsert_history(a, batch, F.col("seq")), batch, contents=False)
 
     def upsert_content(self, page: dict) -> dict:
-        return self._commit(A.upsert_content(self._state(), self._rows([page], TEXTS)))
+        batch = self._rows([page], TEXTS)
+        return self._change(lambda a: A.upsert_content(a, batch), batch)
 
     def save_page(self, page: dict) -> dict:
-        return self._commit(A.upsert_content(self._state(), self._rows([page], TEXTS), save=True))
+        batch = self._rows([page], TEXTS)
+        return self._change(lambda a: A.upsert_content(a, batch, save=True), batch)
 
     def add_snippet(self, quote: dict) -> dict:
         _need(0 < len(quote.get("text") or "") <= 100_000, "a quote has 1 to 100,000 characters")
-        fresh = A.new_snippets(self._rows([quote], QUOTES)).first()
-        if fresh is None:
+        batch = self._rows([quote], QUOTES)
+        fresh = A.new_snippets(batch)
+        row = fresh.first()
+        if row is None:
             return {"skipped": True}
-        state = self._state()
-        snapshot.write_snapshot(A.add_snippets(state, self._rows([quote], QUOTES)), self.root)
-        return {"id": fresh.id, "truncated": fresh.truncated}
+        done = fresh.select("id", "truncated")
+        return self._change_snippets(lambda a: (A.add_snippets(a, batch), done), [row.id])
 
     def unsave_page(self, url: str) -> dict:
-        return self._commit(A.unsave(self._state(), self._rows([{"url": url}], "url string")))
+        urls = self._rows([{"url": url}], "url string")
+        return self._change(lambda a: A.unsave(a, urls), urls)
 
     def delete_snippet(self, id: int) -> dict:
-        state = self._state()
-        known = state.snippets.where(F.col("id") == id).count() > 0
-        if known:
-            snapshot.write_snapshot(A.delete_snippets(state, self._rows([{"id": id}], "id long")), self.root)
-        return {"deleted": known}
+        ids = self._rows([{"id": id}], "id long")
+        return self._change_snippets(lambda a: (A.delete_snippets(a, ids), a.snippets.where(F.col("id") == id).agg((F.count("*") > 0).alias("deleted"))), [id])
+
+    def _change_snippets(self, make: Callable[[A.Archive], tuple[A.Archive, DataFrame]], ids: list[int]) -> dict:
+        """As ``_change``, for the parts that hold the quotes ``ids``."""
+        parts = {"snippets": snapshot.parts_of(self._rows([{"id": i} for i in ids], "id long"))}
+        with snapshot.writer_lock(self.root):
+            base = self._open(parts)
+            state, summary = make(base.archive)
+            done = summary.first().asDict()
+            snapshot.write_snapshot(state, self.root, base=base)
+            return done
 
     def clear_deep_content(self, domain: str | None = None) -> dict:
-        return self._commit(A.clear_deep_content(self._state(), self._site(domain) if domain else None))
+        return self._change(lambda a: A.clear_deep_content(a, self._site(domain) if domain else None))
 
     def delete_urls(self, urls: list[str]) -> dict:
-        return self._commit(A.delete_urls(self._state(), self._rows([{"url": u} for u in urls], "url string")))
+        rows = self._rows([{"url": u} for u in urls], "url string")
+        return self._change(lambda a: A.delete_urls(a, rows), rows)
 
     def delete_domain(self, domain: str, include_saved: bool = False) -> dict:
-        return self._commit(A.delete_domain(self._state(), self._site(domain), include_saved))
+        return self._change(lambda a: A.delete_domain(a, self._site(domain), include_saved))
 
     def delete_range(self, start: int, end: int) -> dict:
-        return self._commit(A.delete_range(self._state(), start, end))
+        return self._change(lambda a: A.delete_range(a, start, end))
 
     def delete_all_except_saved(self) -> dict:
-        return self._commit(A.delete_all_except_saved(self._state()))
+        return self._change(lambda a: A.delete_all_except_saved(a))
 
     def delete_everything(self) -> dict:
-        return self._commit(A.delete_everything(self._state()))
+        return self._change(lambda a: A.delete_everything(a))
 
     def apply_retention(self, months: int | None) -> dict:
         _need(months is None or months >= 1, "months are at least 1")
-        return self._commit(A.apply_retention(self._state(), months, self.now()))
+        return self._change(lambda a: A.apply_retention(a, months, self.now()))
 
     def enforce_cap(self, max_bytes: int) -> dict:
         _need(max_bytes >= 0, "a cap is not negative")
-        return self._commit(A.enforce_cap(self._state(), max_bytes))
+        return self._change(lambda a: A.enforce_cap(a, max_bytes))
 
-    def maintenance(self, bytes_per_file: int = 128 << 20, keep: int = 2) -> dict:
-        """Rewrites the texts in files of an even size and drops old versions."""
-        state = self._state()
-        size = state.contents.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-        snapshot.write_snapshot(A.Archive(state.pages, snapshot.compacted(state.contents, bytes_per_file, size), state.snippets), self.root)
-        return {"dropped": snapshot.drop_old_versions(self.spark, self.root, keep)}
+    def maintenance(self, most_files: int = 8, parts: int = 4, merge_at: int = snapshot.MERGE_AT, keep: int = 2) -> dict:
+        """One bounded step: compacts the parts with most files, merges indexes of many segments, drops old versions."""
+        _need(most_files >= 1 and parts >= 1 and merge_at >= 2 and keep >= 1, "maintenance parameters are at least 1, merge_at 2")
+        compacted = snapshot.compact(self.spark, self.root, most_files, parts)
+        merged = snapshot.merge_indexes(self.spark, self.root, merge_at)
+        return {"compacted": compacted, "merged": merged, "dropped": snapshot.drop_old_versions(self.spark, self.root, keep)}
 
     # --- reads ---
 
-    def search(self, query: str, limit: int = 50, tz_minutes: int = 0) -> DataFrame:
+    def _index(self, name: str, opened: snapshot.Opened | None = None) -> I.Index:
+        return snapshot.read_index(self.spark, (opened or self._open()).manifest, name)
+
+    def respond(self, query: str, limit: int = 50, tz_minutes: int = 0) -> S.Found:
+        """Results, suggestions, the filters understood, and the time taken."""
         _need(len(query) <= QUERY and 1 <= limit <= RESULTS and abs(tz_minutes) <= 840, "query, limit or time zone out of range")
-        s, now = self._state(), self.now()
-        return S.search(s.pages, s.contents, s.snippets, parse_query(query, now, tz_minutes), now, limit)
+        opened, now = self._open(), self.now()
+        a = opened.archive
+        return S.find(a.pages, a.contents, a.snippets, parse_query(query, now, tz_minutes), now, limit, self._index("pages", opened), self._index("snippets", opened))
+
+    def search(self, query: str, limit: int = 50, tz_minutes: int = 0) -> DataFrame:
+        return self.respond(query, limit, tz_minutes).results
 
     def suggest(self, term: str, limit: int = 3) -> list[str]:
-        s = self._state()
-        return [r.term for r in S.suggest(S.vocabulary(S.page_index(s.pages, s.contents)), fold_text(term), limit).collect()]
+        return [r.term for r in S.suggest(self._index("pages").vocabulary, fold_text(term), limit).collect()]
 
     def last_visits(self, urls: list[str]) -> DataFrame:
         return A.last_visits(self._state().pages, self._rows([{"url": u} for u in urls], "url string"))
@@ -165,14 +200,14 @@ class Service:
 
     def integrity_check(self) -> dict:
         s = self._state()
-        return {r.check: r.problems for r in R.integrity(s.pages, s.contents, S.page_index(s.pages, s.contents)).collect()}
+        return {r.check: r.problems for r in R.integrity(s.pages, s.contents, self._index("pages")).collect()}
 
     def export_data(self, folder: str, scope: str = "all") -> None:
         _need(scope in ("all", "saved"), "scope is all or saved")
         exchange.write_export(self._state(), folder, scope)
 
     def import_data(self, folder: str) -> dict:
-        return self._commit(exchange.import_export(self._state(), folder))
+        return self._change(lambda a: exchange.import_export(a, folder))
 
     # --- compositions ---
 

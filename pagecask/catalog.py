@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pagecask.functions import display as D
 from pagecask.functions import text as X
 from pagecask.functions import urls as U
 from pagecask.operators import archive as A
+from pagecask.operators import index as I
 from pagecask.operators import reports as R
 from pagecask.operators import search as S
 from pagecask.operators.ordered import in_ranges, running_total
@@ -73,7 +73,7 @@ _NORM = rf"""
 
 
 def _sql_wtf(phrase: str, prefix: bool = False) -> str:
-    return " + ".join(f"{w} * {_hits(c, phrase, prefix)}" for c, w in S.PAGE_WEIGHTS.items())
+    return " + ".join(f"{w} * {_hits(c, phrase, prefix)}" for c, w in I.PAGE_WEIGHTS.items())
 
 
 def _sql_bm25(phrases: list[tuple[str, bool]], every: bool = True) -> str:
@@ -106,14 +106,29 @@ def fold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("id", folded.alias("folded"), F.size(X.tokens(folded)).cast("long").alias("n_tokens"))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> S.Index:
-    return S.page_index(table(spark, sf_dir, "pages"), table(spark, sf_dir, "contents"))
+_KEPT: dict[tuple[str, str], tuple[I.Index, I.Index]] = {}
 
 
-def _matching(spark: SparkSession, sf_dir: str, phrases: S.Phrases, every: bool) -> DataFrame:
-    index = _index(spark, sf_dir)
-    each = [S.weighted_hits(index, p, x) > 0 for p, x in phrases]
-    return index.rows.where(reduce(lambda a, b: (a & b) if every else (a | b), each)).select("id")
+def build_indexes(spark: SparkSession, sf_dir: str) -> tuple[I.Index, I.Index]:
+    """Indexes of the pages and of the quotes of an archive."""
+    a = archive(spark, sf_dir)
+    return I.page_index(a.pages, a.contents), I.snippet_index(a.snippets)
+
+
+def kept_indexes(spark: SparkSession, sf_dir: str) -> tuple[I.Index, I.Index]:
+    """The same, written once a session in the shared folder and read by every query after."""
+    key = (spark.sparkContext.applicationId + shared_folder(spark), sf_dir)
+    if key not in _KEPT:
+        _KEPT[key] = build_indexes(spark, sf_dir)
+    return _KEPT[key]
+
+
+def _index(spark: SparkSession, sf_dir: str) -> I.Index:
+    return kept_indexes(spark, sf_dir)[0]
+
+
+def _matching(spark: SparkSession, sf_dir: str, phrases: I.Phrases, every: bool) -> DataFrame:
+    return I.matching_ids(_index(spark, sf_dir), phrases, every)
 
 
 _W = lambda p, x=False: f"({_sql_wtf(p, x)}) > 0"
@@ -143,14 +158,13 @@ def match_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"with {_PAGE_INDEX} select id from page_index where {_W('museum')} and not ({_W('bridge')} or {_W('old  town')})")
 def exclude_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, index = parse_query('"museum" -bridge -"old town"', NOW), _index(spark, sf_dir)
-    hit = index.rows.where(S.weighted_hits(index, ["museum"], False) > 0).select("id")
-    return hit.join(index.rows.where(S.excluded_by(index, q.excluded)).select("id"), "id", "left_anti")
+    return I.matching_ids(index, S.all_phrases(q), True).join(S.excluded_ids(index, q), "id", "left_anti")
 
 
-@_query(f"select id from pages where contains({_FOLD.format('title')}, 'distant lant') or contains({_FOLD.format('url')}, 'distant lant')")
+@_query(f"select id from pages where contains({_FOLD.format('title')}, 'distant lant') or contains({_FOLD.format('url')}, 'distant lant') order by last_visit desc, id limit 20")
 def trigram_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probe = "distant lant"
-    return table(spark, sf_dir, "pages").where(X.fold(F.coalesce("title", F.lit(""))).contains(probe) | X.fold(F.col("url")).contains(probe)).select("id")
+    """The latest twenty pages with a part of a title or address."""
+    return S.substring_candidates(table(spark, sf_dir, "pages"), _index(spark, sf_dir), parse_query("distant lant", NOW)).select("id")
 
 
 @_query(f"with {_sql_bm25([('lantern', False), ('library', True)])} select f.id, round(strength, 6) as strength from found f join pages p using (id) order by f.strength desc, last_visit desc, f.id limit 200")
@@ -187,7 +201,8 @@ def _results(df: DataFrame) -> DataFrame:
 
 def run_search(spark: SparkSession, sf_dir: str, line: str, limit: int = 50) -> DataFrame:
     a = archive(spark, sf_dir)
-    return S.search(a.pages, a.contents, a.snippets, parse_query(line, NOW, TZ), NOW, limit)
+    pages, snippets = kept_indexes(spark, sf_dir)
+    return S.search(a.pages, a.contents, a.snippets, parse_query(line, NOW, TZ), NOW, limit, pages, snippets)
 
 
 @_query()
@@ -219,7 +234,7 @@ s as (select count(*) as n, avg(length) as mean, count(*) filter (where w > 0) a
 select id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * w * 2.2 / (w + 1.2 * (0.25 + 0.75 * length / mean)), 6) as strength from h, s where w > 0""")
 def snippet_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted BM25 of every quote with a word that begins with ``lantern``."""
-    found = S.bm25_matches(S.snippet_index(table(spark, sf_dir, "snippets")), [(["lantern"], True)], True)
+    found = S.bm25_matches(kept_indexes(spark, sf_dir)[1], [(["lantern"], True)], True)
     return found.select("id", F.round("strength", 6).alias("strength"))
 
 
@@ -229,7 +244,7 @@ near as (select term, doc from v where starts_with(term, 'l') and length(term) b
 select term, doc, levenshtein(term, 'lanterrn') as distance from near where levenshtein(term, 'lanterrn') <= 2
   and not exists (select 1 from v where term = 'lanterrn') order by 3, doc desc, term limit 3""")
 def suggest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.suggest(S.vocabulary(_index(spark, sf_dir)), "lanterrn", 3)
+    out = S.suggest(_index(spark, sf_dir).vocabulary, "lanterrn", 3)
     return out.select("term", "doc", F.col("distance").cast("long").alias("distance"))
 
 
@@ -355,20 +370,48 @@ def clear_deep_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.pages.select("id", "flags", "content_hash")
 
 
-def _half_of_text(contents: DataFrame) -> int:
-    return int(contents.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // 2)
+_PAGE_BYTES = "strlen(url) + strlen(domain) + coalesce(strlen(title), 0) + 64"
+
 
+def _sql_cap(cap: str) -> str:
+    """Both steps of the cap in SQL; ``cap`` from the sums t (saved texts, all texts, pages)."""
 
-@_query(f"""with t as (select sum(bytes) as total, sum(bytes) // 2 as cap from contents),
-c as (select p.id, c.bytes, row_number() over w as place, sum(c.bytes) over (w rows unbounded preceding) as freed from pages p left join contents c on c.page_id = p.id
-  where flags & 2 <> 0 and flags & 4 = 0 window w as (order by last_visit, id)),
-b as (select (place - 1) // 200 as batch, max(freed) as freed from c group by 1),
-n as (select batch from (select batch, coalesce(max(freed) over (order by batch rows between unbounded preceding and 1 preceding), 0) as prior from b), t where total - prior > cap and batch < 50)
-select id, coalesce(bytes, 0) as bytes from c where (place - 1) // 200 in (select batch from n)""")
+    def step(name: str, rows: str, over: str) -> str:
+        return f"""{name}_c as (select id, bytes, row_number() over w as place, sum(bytes) over (w rows unbounded preceding) as freed from ({rows}) window w as (order by last_visit, id)),
+{name}_b as (select (place - 1) // 200 as batch, max(freed) as freed from {name}_c group by 1),
+{name}_n as (select batch from (select batch, coalesce(max(freed) over (order by batch rows between unbounded preceding and 1 preceding), 0) as prior from {name}_b), k where {over} > prior),
+{name} as (select id, bytes from {name}_c where (place - 1) // 200 in (select batch from {name}_n))"""
+
+    texts = "select p.id, last_visit, coalesce(bytes, 0) as bytes from pages p left join contents c on c.page_id = p.id where flags & 2 <> 0 and flags & 4 = 0"
+    pages = f"select id, last_visit, {_PAGE_BYTES} as bytes from pages where flags & 4 = 0"
+    return f"""with t as (select sum(coalesce(bytes, 0)) as texts, sum(case when flags & 4 <> 0 then coalesce(bytes, 0) else 0 end) as saved, sum({_PAGE_BYTES}) as pages from pages p left join contents c on c.page_id = p.id),
+k as (select texts + pages as total, {cap} as cap from t),
+{step('trim', texts, 'total - cap')},
+{step('del', pages, 'total - cap - (select coalesce(sum(bytes), 0) from trim)')}
+select id, bytes, 'trim' as step from trim union all select id, bytes, 'delete' from del"""
+
+
+def _archive_bytes(a: A.Archive) -> dict[str, int]:
+    """Bytes of saved texts, of all texts, and of pages."""
+    sized = a.pages.join(a.contents.select(F.col("page_id").alias("id"), "bytes"), "id", "left")
+    text = F.coalesce("bytes", F.lit(0))
+    return sized.agg(F.sum(text).alias("texts"), F.sum(F.when(S.has_flag(F.col("flags"), S.SAVED), text).otherwise(0)).alias("saved"), F.sum(A.page_bytes()).alias("pages")).first().asDict()
+
+
+@_query(_sql_cap("(texts + pages) // 2"))
 def cap_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose text goes if the texts may take half of what they do."""
-    state = archive(spark, sf_dir)
-    return A.cap_plan(state, _half_of_text(state.contents)).select("id", "bytes")
+    """What goes if the archive may take half of what it does."""
+    a = archive(spark, sf_dir)
+    size = _archive_bytes(a)
+    return A.cap_plan(a, (size["texts"] + size["pages"]) // 2).select("id", "bytes", "step")
+
+
+@_query(_sql_cap("saved + pages // 2"))
+def cap_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes if only the saved texts and half of the pages have room: all other texts, then the oldest pages."""
+    a = archive(spark, sf_dir)
+    size = _archive_bytes(a)
+    return A.cap_plan(a, size["saved"] + size["pages"] // 2).select("id", "bytes", "step")
 
 
 @_query("""select url, sha256(coalesce(title, '') || chr(10) || coalesce(headings, '') || chr(10) || coalesce(description, '') || chr(10) || coalesce(body, '')) as content_hash
@@ -443,7 +486,7 @@ def page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""select 'contents_without_page' as "check", count(*) as problems from contents where page_id not in (select id from pages)
-union all select 'pages_not_indexed', 0 union all select 'indexed_without_page', 0
+union all select 'pages_not_indexed', 0 union all select 'indexed_without_page', 0 union all select 'postings_against_lengths', 0 union all select 'vocabulary_against_postings', 0
 union all select 'repeated_urls', count(*) from (select url from pages group by url having count(*) > 1)
 union all select 'content_flag_without_text', count(*) from pages where flags & 2 <> 0 and id not in (select page_id from contents)""")
 def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:

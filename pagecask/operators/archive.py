@@ -19,6 +19,7 @@ from pagecask.functions.text import clip, half_up, text_bytes
 from pagecask.functions.urls import domain_of, in_site, normalized_url
 from pagecask.operators.ordered import in_ranges, running_total
 from pagecask.operators.search import CONTENT, HISTORY, SAVED, has_flag
+from pagecask.sources.scratch import written
 
 DAY_MS = 86_400_000
 TITLE, BODY, HEADINGS, DESCRIPTION, SNIPPET, LANG = 2000, 50_000, 5000, 1000, 5000, 35
@@ -169,8 +170,9 @@ def delete_snippets(state: Archive, ids: DataFrame) -> Archive:
 # --- removal -------------------------------------------------------------------
 
 
-def _without_orphans(pages: DataFrame, contents: DataFrame) -> DataFrame:
-    return contents.join(pages.select(F.col("id").alias("page_id")), "page_id", "left_semi")
+def _without(contents: DataFrame, gone: DataFrame) -> DataFrame:
+    """Texts but those of the pages that go; ``gone`` may know a part of the archive only."""
+    return contents.join(gone.select(F.col("id").alias("page_id")), "page_id", "left_anti")
 
 
 def remove_history(state: Archive, chosen: Column) -> tuple[Archive, DataFrame]:
@@ -178,8 +180,7 @@ def remove_history(state: Archive, chosen: Column) -> tuple[Archive, DataFrame]:
     saved, picked = has_flag(F.col("flags"), SAVED), F.coalesce(chosen, F.lit(False))
     kept = state.pages.where(~(picked & ~saved)).withColumn("flags", F.when(picked & saved, _clear(F.col("flags"), HISTORY)).otherwise(F.col("flags")).cast("int"))
     summary = state.pages.where(picked).agg(F.count_if(~saved).alias("deleted_pages"), F.count_if(saved).alias("kept_saved"))
-    pages = _pages(kept)
-    return replace(state, pages=pages, contents=_without_orphans(pages, state.contents)), summary
+    return replace(state, pages=_pages(kept), contents=_without(state.contents, state.pages.where(picked & ~saved))), summary
 
 
 def delete_urls(state: Archive, urls: DataFrame) -> tuple[Archive, DataFrame]:
@@ -195,8 +196,7 @@ def delete_domain(state: Archive, site: str, include_saved: bool = False) -> tup
     if not include_saved:
         return remove_history(state, own)
     summary = state.pages.agg(F.count_if(own).alias("deleted_pages"), F.lit(0).cast("long").alias("kept_saved"))
-    pages = state.pages.where(~own)
-    return Archive(pages, _without_orphans(pages, state.contents), state.snippets.where(~own)), summary
+    return Archive(state.pages.where(~own), _without(state.contents, state.pages.where(own)), state.snippets.where(~own)), summary
 
 
 def delete_range(state: Archive, start: int, end: int) -> tuple[Archive, DataFrame]:
@@ -245,35 +245,68 @@ def clear_deep_content(state: Archive, site: str | None = None) -> tuple[Archive
     return replace(state, pages=_pages(kept), contents=state.contents.join(gone, "page_id", "left_anti")), summary
 
 
-def cap_plan(state: Archive, max_bytes: int, batch: int = 200) -> DataFrame:
-    """(id, bytes, step): pages to touch so that texts take at most ``max_bytes``; oldest first, whole batches, as many as it takes.
+#: What a page takes beside its address, site and title: its numbers.
+ROW_BYTES = 64
 
-    Step ``trim`` drops the texts of captured pages that are not saved.  Size is
-    that of the texts, the one size that does not depend on storage; pages
-    without text have none, so nothing is deleted if saved texts alone are over.
-    """
-    sized = state.pages.join(state.contents.select(F.col("page_id").alias("id"), "bytes"), "id", "left").select(
-        "id", "last_visit", "flags", F.coalesce("bytes", F.lit(0)).alias("bytes")
-    )
-    over = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"))
-    can = sized.where(has_flag(F.col("flags"), CONTENT) & ~has_flag(F.col("flags"), SAVED))
+
+def page_bytes() -> Column:
+    return text_bytes(F.col("url"), F.col("domain"), F.col("title")) + ROW_BYTES
+
+
+def _oldest_batches(rows: DataFrame, over: Column, batch: int, name: str) -> DataFrame:
+    """(id, bytes): of ``rows`` (id, last_visit, bytes) the oldest, in whole batches, until ``over`` bytes are freed or none is left."""
     order = [F.col("last_visit"), F.col("id")]
-    ranked = running_total(running_total(in_ranges(can, order, "cap-order"), order, F.lit(1), "place"), order, F.col("bytes"), "freed")
+    ranked = running_total(running_total(in_ranges(rows, order, name), order, F.lit(1), "place"), order, F.col("bytes"), "freed")
     ranked = ranked.withColumn("_batch", F.floor((F.col("place") - 1) / batch))
     by = ranked.groupBy("_batch").agg(F.max("freed").alias("_freed"))
-    before = F.coalesce(F.max("_freed").over(Window.partitionBy().orderBy("_batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = by.select("_batch", before.alias("_before")).where(over.scalar() - F.col("_before") > max_bytes).agg(F.max("_batch").alias("last"))
-    return ranked.where(F.col("_batch") <= last.scalar()).select("id", "bytes", F.lit("trim").alias("step"))
+    by = in_ranges(by, [F.col("_batch")], f"{name}-batches")
+    prior = F.lag("_freed").over(Window.partitionBy("_range").orderBy("_batch"))
+    edges = by.groupBy("_range").agg(F.max("_freed").alias("_edge"))  # a row a range
+    before = F.max("_edge").over(Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = edges.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    needed = by.join(starts, "_range").select("_batch", F.coalesce(prior, "_start").alias("_before")).where(over > F.col("_before")).agg(F.max("_batch").alias("last"))
+    return ranked.where(F.col("_batch") <= needed.scalar()).select("id", "bytes")
+
+
+def cap_plan(state: Archive, max_bytes: int, batch: int = 200) -> DataFrame:
+    """(id, bytes, step): pages to touch so that the archive takes at most ``max_bytes``; oldest first, whole batches, as many as it takes.
+
+    Step ``trim`` drops the texts of captured pages that are not saved.  If that
+    is not enough, step ``delete`` removes pages that are not saved.  Size is
+    logical, the one that does not depend on storage: the bytes of the texts,
+    and of a page its address, site, title and ROW_BYTES.  Saved pages and their
+    texts stay, so an archive of saved pages may stay over its cap; the summary
+    of ``enforce_cap`` says by how much.
+    """
+    texts = state.contents.select(F.col("page_id").alias("id"), F.col("bytes").alias("text")).hint("merge")
+    sized = written(
+        state.pages.join(texts, "id", "left").select(
+            "id", "last_visit", "flags", F.coalesce("text", F.lit(0)).alias("text"), page_bytes().alias("page")
+        ), "cap-sizes",
+    )
+    total = sized.agg(F.coalesce(F.sum(F.col("text") + F.col("page")), F.lit(0)).alias("total"))
+    free = ~has_flag(F.col("flags"), SAVED)
+    can = sized.where(has_flag(F.col("flags"), CONTENT) & free).select("id", "last_visit", F.col("text").alias("bytes"))
+    trim = written(_oldest_batches(can, total.scalar() - max_bytes, batch, "cap-texts"), "cap-trim")
+    freed = trim.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("freed"))
+    pages = sized.where(free).select("id", "last_visit", F.col("page").alias("bytes"))
+    delete = _oldest_batches(pages, total.scalar() - freed.scalar() - max_bytes, batch, "cap-pages")
+    return trim.withColumn("step", F.lit("trim")).unionByName(delete.withColumn("step", F.lit("delete")))
 
 
 def enforce_cap(state: Archive, max_bytes: int) -> tuple[Archive, DataFrame]:
-    """Trims by ``cap_plan``; texts and their hash go, the time of capture stays."""
-    plan = cap_plan(state, max_bytes)
-    marked = state.pages.join(plan.select("id", F.lit(True).alias("_trim")), "id", "left")
-    trim = F.coalesce("_trim", F.lit(False))
-    pages = marked.withColumns({"content_hash": F.when(~trim, F.col("content_hash")), "flags": F.when(trim, _clear(F.col("flags"), CONTENT)).otherwise(F.col("flags")).cast("int")})
-    summary = plan.agg(F.count("*").alias("trimmed_pages"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("freed_bytes"))
-    contents = state.contents.join(plan.select(F.col("id").alias("page_id")), "page_id", "left_anti")
+    """Trims and deletes by ``cap_plan``; trimmed pages lose text and hash, the time of capture stays."""
+    plan = written(cap_plan(state, max_bytes), "cap-plan")
+    steps = plan.groupBy("id").agg(F.bool_or(F.col("step") == "trim").alias("_trim"), F.bool_or(F.col("step") == "delete").alias("_delete"))
+    marked = state.pages.join(steps.hint("merge"), "id", "left")
+    trim, gone = F.coalesce("_trim", F.lit(False)), F.coalesce("_delete", F.lit(False))
+    pages = marked.where(~gone).withColumns({"content_hash": F.when(~trim, F.col("content_hash")), "flags": F.when(trim, _clear(F.col("flags"), CONTENT)).otherwise(F.col("flags")).cast("int")})
+    contents = _without(state.contents, plan.select("id"))
+    left = pages.agg(F.coalesce(F.sum(page_bytes()), F.lit(0)).alias("n")).scalar() + contents.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).scalar()
+    step = F.col("step")
+    summary = plan.agg(
+        F.count_if(step == "trim").alias("trimmed_pages"), F.count_if(step == "delete").alias("deleted_pages"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("freed_bytes"),
+    ).withColumn("over_bytes", F.greatest(F.lit(0), left - max_bytes))
     return replace(state, pages=_pages(pages), contents=contents), summary
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagecask.operators.search import CONTENT, HISTORY, SAVED, Index, has_flag
+from pagecask.operators.index import Index
+from pagecask.operators.search import CONTENT, HISTORY, SAVED, has_flag
 
 PREVIEW = 600
 
@@ -40,13 +41,18 @@ def page_info(pages: DataFrame, contents: DataFrame, snippets: DataFrame, url: s
 
 
 def integrity(pages: DataFrame, contents: DataFrame, index: Index) -> DataFrame:
-    """Counts that must be zero: contents without a page, pages without an index row and the other way round, repeated keys."""
+    """Counts that must be zero: contents without a page, pages that the kept index does not have and the other way round, postings
+    that do not add up to a record's length, words whose counts are not those of the postings, repeated keys."""
     ids = pages.select("id")
-    rows = index.rows.select("id")
+    rows = index.docs.select("id")
+    lengths = index.postings.groupBy("id").agg(F.sum(F.size("positions")).alias("n")).join(index.docs, "id", "full_outer")
+    words = index.postings.groupBy(F.col("token").alias("term")).agg(F.count("*").alias("n")).join(index.vocabulary, "term", "full_outer")
     checks = {
         "contents_without_page": contents.select(F.col("page_id").alias("id")).join(ids, "id", "left_anti"),
         "pages_not_indexed": ids.join(rows, "id", "left_anti"),
         "indexed_without_page": rows.join(ids, "id", "left_anti"),
+        "postings_against_lengths": lengths.where("coalesce(n, 0) <> coalesce(length, -1)"),
+        "vocabulary_against_postings": words.where("coalesce(n, 0) <> coalesce(doc, -1)"),
         "repeated_urls": pages.groupBy("url").count().where("count > 1"),
         "content_flag_without_text": pages.where(has_flag(F.col("flags"), CONTENT)).select("id").join(contents.select(F.col("page_id").alias("id")), "id", "left_anti"),
     }

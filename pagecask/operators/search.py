@@ -1,14 +1,16 @@
 """Ranked search: match, weighted BM25, candidates, features, relaxation, spelling.
 
-A query is compiled on the driver to column expressions over the folded,
-padded fields; filters reach the scan, candidates are cut by
-TakeOrderedAndProject, and texts are fetched again only for the few rows that
-are shown.  Corpus statistics are one aggregation over the unfiltered index.
+A query reads the postings of its words from the inverted index
+(``operators.index``); filters reach the scan of pages, candidates are cut by
+TakeOrderedAndProject, and texts are read only for the few rows that are shown.
+What is cut to a fixed number of rows is held on the driver, so that later
+steps know its ids and its size.
 """
 
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,58 +18,37 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagecask.functions.text import clip, fold, padded, phrase_hits, token_count, tokens
+from pagecask.functions.text import clip, fold, tokens
 from pagecask.functions.urls import in_any_site
+from pagecask.operators.index import Index, Phrases, matching_ids, page_index, phrase_weights, snippet_index
 from pagecask.operators.snippets import excerpts, highlight_spans
 from pagecask.plans.query import DAY_MS, Query
 from pagecask.sources.scratch import written
 
 HISTORY, CONTENT, SAVED = 1, 2, 4
-PAGE_WEIGHTS = {"title": 10.0, "headings": 4.0, "description": 3.0, "body": 1.0}
-SNIPPET_WEIGHTS = {"text": 5.0, "page_title": 2.0}
 K1, B = 1.2, 0.75
 CANDIDATES, RELAXED, SUBSTRING = 200, 40, 20
 EXCERPTS, RELAXED_EXCERPTS = 50, 10
 RELAX_BELOW = 5
 TAU_DAYS = 45
 W_BM25, W_TITLE, W_RECENT, W_VISITS, W_SAVED, W_PHRASE = 1.0, 0.35, 0.25, 0.08, 0.2, 0.2
-
-
-@dataclass(frozen=True)
-class Index:
-    """A padded index and what it weighs: ``id`` and one padded column a field."""
-
-    rows: DataFrame
-    weights: dict[str, float]
+#: Values of one list that a Parquet scan compares with its statistics one by one.
+PUSHED_VALUES = 10
 
 
 def has_flag(flags: Column, bit: int) -> Column:
     return flags.bitwiseAND(bit) != 0
 
 
-def page_index(pages: DataFrame, contents: DataFrame) -> Index:
-    """Derived table: every page with its fields folded and padded, and its number of tokens.
-
-    Both tables grow alike, so the join is by shuffle whatever their size; the
-    folding after it is then spread over all partitions.
-    """
-    texts = contents.select(F.col("page_id").alias("id"), "headings", "description", "body").hint("merge")
-    joined = pages.select("id", "title").join(texts, "id", "left")
-    rows = joined.select("id", *(padded(F.col(c)).alias(c) for c in PAGE_WEIGHTS))
-    return Index(_with_length(rows, list(PAGE_WEIGHTS)), PAGE_WEIGHTS)
-
-
-def snippet_index(snippets: DataFrame) -> Index:
-    rows = snippets.select("id", *(padded(F.col(c)).alias(c) for c in SNIPPET_WEIGHTS))
-    return Index(_with_length(rows, list(SNIPPET_WEIGHTS)), SNIPPET_WEIGHTS)
-
-
-def _with_length(rows: DataFrame, fields: list[str]) -> DataFrame:
-    n = reduce(lambda a, b: a + b, (token_count(F.col(c)) for c in fields))
-    return rows.withColumn("length", n)
+def pinned(df: DataFrame) -> DataFrame:
+    """``df``, which is cut to a fixed number of rows, computed once and held by the driver."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-Phrases = list[tuple[list[str], bool]]
+def picked(column: Column, values: list) -> Column:
+    """Whether a column is one of a few values, in lists so short that a scan skips what cannot hold them."""
+    lists = [values[k : k + PUSHED_VALUES] for k in range(0, len(values), PUSHED_VALUES)]
+    return reduce(lambda a, b: a | b, (column.isin(x) for x in lists), F.lit(False))
 
 
 def all_phrases(q: Query) -> Phrases:
@@ -79,38 +60,32 @@ def any_words(q: Query) -> Phrases:
     return [([t], False) for t in dict.fromkeys(q.terms) if len(t) >= 3]
 
 
-def weighted_hits(index: Index, phrase: list[str], prefix: bool) -> Column:
-    return reduce(lambda a, b: a + b, (F.lit(w) * phrase_hits(F.col(c), phrase, prefix) for c, w in index.weights.items()))
-
-
-def excluded_by(index: Index, excluded: tuple[tuple[str, ...], ...]) -> Column:
-    """Whether a row of the index holds one of the phrases."""
-    hits = [phrase_hits(F.col(c), list(p)) > 0 for p in excluded for c in index.weights]
-    return reduce(lambda a, b: a | b, hits, F.lit(False))
+def excluded_ids(index: Index, q: Query) -> DataFrame:
+    """(id) of the records that hold a phrase that the query excludes."""
+    return matching_ids(index, [(list(p), False) for p in q.excluded], False)
 
 
 def bm25_groups(index: Index, groups: list[tuple[Phrases, bool]], excluded: tuple[tuple[str, ...], ...] = ()) -> list[DataFrame]:
-    """For each (phrases, every): (id, strength) of the rows that match all of its phrases, or any.
+    """For each (phrases, every): (id, strength) of the records that match all of its phrases, or any.
 
-    The statistics are those of the whole index; they are observed while the
-    matches of all groups are written, so the texts are read and folded once.
+    The statistics are those of the whole index: totals are kept with it, and
+    the frequencies of the phrases are observed while the matches of all groups
+    are written, so the postings of each word are read once.
     """
     names = [[f"w{g}_{k}" for k in range(len(phrases))] for g, (phrases, _) in enumerate(groups)]
     flat = [(n, p, x) for own, (phrases, _) in zip(names, groups, strict=True) for n, (p, x) in zip(own, phrases, strict=True)]
-    hits = index.rows.select(
-        "id", "length", *(weighted_hits(index, p, prefix).alias(n) for n, p, prefix in flat),
-        (excluded_by(index, excluded) if excluded else F.lit(False)).alias("out"),
-    )
+    outs = [(f"x{k}", list(p), False) for k, p in enumerate(excluded)]
+    hits = phrase_weights(index, [(p, x) for _, p, x in flat + outs], [n for n, _, _ in flat + outs])
     seen = Observation()
-    counted = hits.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum("length").alias("tokens"), *(F.count_if(F.col(n) > 0).alias(n) for n, _, _ in flat))
+    counted = hits.observe(seen, *(F.count_if(F.col(n) > 0).alias(n) for n, _, _ in flat))
     wanted = [reduce(lambda a, b: (a & b) if every else (a | b), (F.col(n) > 0 for n in own)) for own, (_, every) in zip(names, groups, strict=True)]  # noqa: B023
-    found = written(counted.where(~F.col("out") & reduce(lambda a, b: a | b, wanted)).drop("out"), "matches")
+    out = reduce(lambda a, b: a | b, (F.col(n) > 0 for n, _, _ in outs), F.lit(False))
+    found = written(counted.where(~out & reduce(lambda a, b: a | b, wanted)).drop(*(n for n, _, _ in outs)), "matches")
     stats = seen.get
-    n_rows = stats["rows"]
-    mean = (stats["tokens"] or 0) / n_rows if n_rows else 0
+    mean = index.total / index.rows if index.rows else 0
 
     def part(n: str) -> Column:
-        idf = max(math.log((n_rows - stats[n] + 0.5) / (stats[n] + 0.5)), 1e-6)
+        idf = max(math.log((index.rows - stats[n] + 0.5) / (stats[n] + 0.5)), 1e-6)
         norm = K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0))
         return F.lit(idf) * F.col(n) * (K1 + 1) / (F.col(n) + norm)
 
@@ -121,6 +96,10 @@ def bm25_matches(index: Index, phrases: Phrases, every: bool, excluded: tuple[tu
     return bm25_groups(index, [(phrases, every)], excluded)[0]
 
 
+def filters_rows(q: Query) -> bool:
+    return bool(q.sites or q.not_sites or q.after is not None or q.before is not None or q.saved)
+
+
 def page_filters(q: Query, domain: Column, at: Column, flags: Column | None) -> Column:
     keep = F.lit(True)
     if q.sites:
@@ -172,19 +151,19 @@ def adjacent(terms: list[str], folded: Column) -> Column:
 
 
 def rank_pages(candidates: DataFrame, contents: DataFrame, q: Query, now: int, *, matched: bool, approximate: bool) -> DataFrame:
-    """Scored result rows; excerpts and adjacency for the best few only, whose texts are joined after the cut."""
+    """Scored result rows of ``candidates`` (CANDIDATES rows at most); excerpts and adjacency for the best few only, whose texts are read by id."""
     terms, open_term = q.terms, len(q.terms) - 1 if q.open_end else -1
     norm = strength_norm(F.col("strength")) if matched else F.lit(0.0)
     title = fold(F.coalesce("title", F.lit("")))
-    candidates = candidates.cache()  # CANDIDATES rows at most, used twice
     pre = candidates.withColumn(
         "pre", base_score(norm, title_url_hit(terms, title, F.lower("url")), F.col("last_visit"), F.col("visit_count"), has_flag(F.col("flags"), SAVED), now)
     ).withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("pre"), F.desc("last_visit"), "url")))
     if matched:
-        shown = F.col("place") <= (RELAXED_EXCERPTS if approximate else EXCERPTS)
-        texts = contents.select(F.col("page_id").alias("id"), "headings", "description", "body")
-        wanted = texts.join(F.broadcast(pre.where(shown).select("id")), "id", "left_semi")  # EXCERPTS ids at most
-        best = pre.where(shown).join(F.broadcast(wanted), "id", "left")
+        pre = pinned(pre)
+        most = RELAXED_EXCERPTS if approximate else EXCERPTS
+        ids = [r.id for r in pre.where(F.col("place") <= most).select("id").collect()]
+        texts = contents.where(picked(F.col("page_id"), ids)).select(F.col("page_id").alias("id"), "headings", "description", "body")
+        best = pre.where(F.col("place") <= most).join(F.broadcast(texts), "id", "left")  # EXCERPTS texts at most
         own = [excerpts(F.col(c), terms, open_term) for c in ("body", "description", "headings")]
         best = best.withColumns({"e0": own[0], "e1": own[1], "e2": own[2]})
         phrase = (
@@ -192,7 +171,7 @@ def rank_pages(candidates: DataFrame, contents: DataFrame, q: Query, now: int, *
         )
         pick = F.when(F.col("e0.text").isNotNull(), F.col("e0")).when(F.col("e1.text").isNotNull(), F.col("e1")).when(F.col("e2.text").isNotNull(), F.col("e2"))
         extra = best.select("id", pick.alias("snippet"), F.coalesce(phrase, F.lit(False)).alias("phrase"))
-        pre = pre.join(extra, "id", "left").withColumn("title_highlights", highlight_spans(F.col("title"), terms, open_term))
+        pre = pre.join(F.broadcast(extra), "id", "left").withColumn("title_highlights", highlight_spans(F.col("title"), terms, open_term))
     else:
         pre = pre.withColumns({"snippet": F.lit(None).cast("struct<text:string,highlights:array<struct<start:int,end:int>>>"), "phrase": F.lit(False), "title_highlights": F.lit(None).cast("array<struct<start:int,end:int>>")})
     score = F.col("pre") + F.when(F.coalesce("phrase", F.lit(False)), W_PHRASE).otherwise(0.0)
@@ -207,40 +186,55 @@ def rank_pages(candidates: DataFrame, contents: DataFrame, q: Query, now: int, *
     )
 
 
+def _best_matches(matches: DataFrame, most: int) -> DataFrame:
+    """Those of which, by strength alone, ``most`` can be chosen; equal ones are all kept."""
+    least = matches.orderBy(F.desc("strength")).limit(most).agg(F.min("strength").alias("least"))
+    return matches.where(F.col("strength") >= least.scalar())
+
+
 def page_candidates(pages: DataFrame, index: Index, q: Query, *, matches: DataFrame | None, most: int = CANDIDATES) -> DataFrame:
     """The best of ``matches`` under the filters; without them the latest pages."""
     kept = pages.where(page_filters(q, F.col("domain"), F.col("last_visit"), F.col("flags")))
     if matches is None:
         if q.excluded:
-            out = index.rows.where(excluded_by(index, q.excluded)).select("id")
-            kept = kept.join(out, "id", "left_anti")
+            kept = kept.join(excluded_ids(index, q), "id", "left_anti")
         return kept.withColumn("strength", F.lit(0.0)).orderBy(F.desc("last_visit"), "id").limit(most)
+    if not filters_rows(q):
+        matches = _best_matches(matches, most)
     return kept.join(matches, "id").orderBy(F.desc("strength"), F.desc("last_visit"), "id").limit(most)
 
 
+def substring_matches(pages: DataFrame, probe: str) -> DataFrame:
+    """Pages whose folded title or address contains ``probe``."""
+    return pages.where(fold(F.coalesce("title", F.lit(""))).contains(probe) | fold(F.col("url")).contains(probe))
+
+
 def substring_candidates(pages: DataFrame, index: Index, q: Query) -> DataFrame | None:
     """Pages whose folded title or address contains the words as one string; the latest twenty."""
     probe = " ".join(q.terms)
     if len(probe.replace(" ", "")) < 3:
         return None
-    kept = pages.where(page_filters(q, F.col("domain"), F.col("last_visit"), F.col("flags")))
-    kept = kept.where(fold(F.coalesce("title", F.lit(""))).contains(probe) | fold(F.col("url")).contains(probe))
+    kept = substring_matches(pages.where(page_filters(q, F.col("domain"), F.col("last_visit"), F.col("flags"))), probe)
     if q.excluded:
-        kept = kept.join(index.rows.where(excluded_by(index, q.excluded)).select("id"), "id", "left_anti")
+        kept = kept.join(excluded_ids(index, q), "id", "left_anti")
     return kept.withColumn("strength", F.lit(0.0)).orderBy(F.desc("last_visit"), "id").limit(SUBSTRING)
 
 
-def search_snippets(snippets: DataFrame, index: Index, q: Query, now: int) -> DataFrame:
-    terms, open_term = q.terms, len(q.terms) - 1 if q.open_end else -1
+def snippet_candidates(snippets: DataFrame, index: Index, q: Query) -> DataFrame:
+    """The best matching quotes under the filters; without words the latest ones."""
     kept = snippets.where(page_filters(q, F.col("domain"), F.col("created_at"), None))
-    matched = bool(q.phrases)
-    if matched:
+    if q.phrases:
         kept = kept.join(bm25_matches(index, all_phrases(q), True, q.excluded), "id")
-        kept = kept.orderBy(F.desc("strength"), F.desc("created_at"), "id").limit(CANDIDATES)
-    else:
-        if q.excluded:
-            kept = kept.join(index.rows.where(excluded_by(index, q.excluded)).select("id"), "id", "left_anti")
-        kept = kept.withColumn("strength", F.lit(0.0)).orderBy(F.desc("created_at"), "id").limit(CANDIDATES)
+        return kept.orderBy(F.desc("strength"), F.desc("created_at"), "id").limit(CANDIDATES)
+    if q.excluded:
+        kept = kept.join(excluded_ids(index, q), "id", "left_anti")
+    return kept.withColumn("strength", F.lit(0.0)).orderBy(F.desc("created_at"), "id").limit(CANDIDATES)
+
+
+def rank_snippets(kept: DataFrame, q: Query, now: int) -> DataFrame:
+    """Scored result rows of candidates (CANDIDATES rows at most)."""
+    terms, open_term = q.terms, len(q.terms) - 1 if q.open_end else -1
+    matched = bool(q.phrases)
     norm = strength_norm(F.col("strength")) if matched else F.lit(0.0)
     head = F.struct(clip(F.col("text"), 400).alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("highlights"))
     if matched:
@@ -262,47 +256,74 @@ def ordered(results: DataFrame, limit: int) -> DataFrame:
     return results.orderBy("approximate", F.desc("score"), F.desc("timestamp"), "url", "id").limit(max(1, min(200, limit)))
 
 
-def search(pages: DataFrame, contents: DataFrame, snippets: DataFrame, q: Query, now: int, limit: int = 50) -> DataFrame:
-    """Results in order. A query without criteria has none; fewer than five exact ones are topped up by looser matches."""
-    pi = page_index(pages, contents)
+@dataclass(frozen=True)
+class Found:
+    """Results in order, and words that the archive has instead of some of the query's."""
+
+    results: DataFrame
+    suggestions: list[tuple[str, str]]
+    took_ms: int
+    filters: dict
+
+
+def find(
+    pages: DataFrame, contents: DataFrame, snippets: DataFrame, q: Query, now: int, limit: int = 50,
+    page_idx: Index | None = None, snippet_idx: Index | None = None,
+) -> Found:
+    """A whole search over kept indexes, or over ones made for it.
+
+    A query without criteria has no results; fewer than five exact ones are
+    topped up by looser matches, then words are suggested.
+    """
+    began = time.monotonic()
+    filters = {
+        "sites": list(q.sites), "exclude_sites": list(q.not_sites), "after": q.after, "before": q.before, "is_saved": q.saved, "is_snippet": q.snippets,
+    }
+
+    def done(results: DataFrame, words: list[tuple[str, str]] | None = None) -> Found:
+        return Found(ordered(results, limit), words or [], round((time.monotonic() - began) * 1000), filters)
+
     if not q.asks:
-        nothing = page_candidates(pages.limit(0), pi, Query(saved=True), matches=None)
-        return ordered(rank_pages(nothing, contents, Query(saved=True), now, matched=False, approximate=False), limit)
+        nothing = pages.limit(0).withColumn("strength", F.lit(0.0))
+        return done(rank_pages(nothing, contents, Query(saved=True), now, matched=False, approximate=False))
     with_pages, words = not q.snippets or q.saved, any_words(q)
-    parts, loose_matches = [], None
+    parts, loose_matches, have = [], None, 0
+    pi = (page_idx or page_index(pages, contents)) if with_pages and (q.phrases or q.excluded) else None
     if with_pages and q.phrases:
         exact_matches, *rest = bm25_groups(pi, [(all_phrases(q), True), *([(words, False)] if words else [])], q.excluded)
         loose_matches = rest[0] if rest else None
-        parts.append(rank_pages(page_candidates(pages, pi, q, matches=exact_matches), contents, q, now, matched=True, approximate=False))
+        chosen = pinned(page_candidates(pages, pi, q, matches=exact_matches))
+        have += chosen.count()
+        parts.append(rank_pages(chosen, contents, q, now, matched=True, approximate=False))
     elif with_pages:
         parts.append(rank_pages(page_candidates(pages, pi, q, matches=None), contents, q, now, matched=False, approximate=False))
     if q.snippets or not q.saved:
-        parts.append(search_snippets(snippets, snippet_index(snippets), q, now))
+        si = (snippet_idx or snippet_index(snippets)) if q.phrases or q.excluded else None
+        quotes = pinned(snippet_candidates(snippets, si, q))
+        have += quotes.count()
+        parts.append(rank_snippets(quotes, q, now))
     exact = reduce(DataFrame.unionByName, parts)
-    if not q.phrases or not with_pages:
-        return ordered(exact, limit)
-    exact = exact.cache()  # at most 400 rows; it is counted, then shown
-    have = exact.count()
-    if have >= RELAX_BELOW:
-        return ordered(exact, limit)
-    loose, more = [], 0
+    if not q.phrases or not with_pages or have >= RELAX_BELOW:
+        return done(exact)
+    exact = pinned(exact)  # fewer than RELAX_BELOW rows
+    loose = []
     if loose_matches is not None:
-        found = page_candidates(pages, pi, q, matches=loose_matches, most=RELAXED)
-        loose.append(rank_pages(found, contents, q, now, matched=True, approximate=True).withColumn("turn", F.lit(0)).cache())
-        more = loose[0].count()
-    if have + more < RELAX_BELOW and (found := substring_candidates(pages, pi, q)) is not None:
-        loose.append(rank_pages(found, contents, q, now, matched=True, approximate=True).withColumn("turn", F.lit(1)))
+        found = pinned(page_candidates(pages, pi, q, matches=loose_matches, most=RELAXED))
+        have += found.count()
+        loose.append(rank_pages(found, contents, q, now, matched=True, approximate=True).withColumn("turn", F.lit(0)))
+    if have < RELAX_BELOW and (found := substring_candidates(pages, pi, q)) is not None:
+        loose.append(rank_pages(pinned(found), contents, q, now, matched=True, approximate=True).withColumn("turn", F.lit(1)))
+    instead = suggestions(pi.vocabulary, q)
     if not loose:
-        return ordered(exact, limit)
+        return done(exact, instead)
     first = F.row_number().over(Window.partitionBy("kind", "id").orderBy("turn"))
     fresh = reduce(DataFrame.unionByName, loose).withColumn("_first", first).where("_first = 1").drop("_first", "turn")
-    return ordered(exact.unionByName(fresh.join(exact, ["kind", "id"], "left_anti")), limit)
+    return done(exact.unionByName(fresh.join(exact, ["kind", "id"], "left_anti")), instead)
 
 
-def vocabulary(index: Index) -> DataFrame:
-    """(term, doc, cnt): rows that hold a term and how often it occurs; partial sums before the shuffle."""
-    own = index.rows.select("id", F.explode(F.split(F.concat(*index.weights), " +")).alias("term")).where("term <> ''")
-    return own.groupBy("term", "id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("doc"), F.sum("n").alias("cnt"))
+def search(*args, **kwargs) -> DataFrame:
+    """The results of ``find``."""
+    return find(*args, **kwargs).results
 
 
 def suggest(vocab: DataFrame, term: str, limit: int = 3, as_prefix: bool = False) -> DataFrame:
@@ -332,8 +353,12 @@ def reciprocal_rank(place: Column) -> Column:
 
 
 def relevance(places: DataFrame) -> DataFrame:
-    """hit@1, hit@5 and MRR by kind of query; ``place`` is the rank of the wanted page or null."""
-    return places.groupBy("kind").agg(
+    """hit@1, hit@5, MRR and the share of queries with a right suggestion, by kind of query and in total.
+
+    ``place`` is the rank of the wanted page or null, ``suggested`` whether the word meant was suggested.
+    """
+    return places.unionByName(places.withColumn("kind", F.lit("total"))).groupBy("kind").agg(
         F.count("*").alias("n"), F.avg((F.coalesce("place", F.lit(math.inf)) <= 1).cast("int")).alias("hit1"),
         F.avg((F.coalesce("place", F.lit(math.inf)) <= 5).cast("int")).alias("hit5"), F.avg(reciprocal_rank(F.col("place"))).alias("mrr"),
+        F.avg(F.coalesce("suggested", F.lit(False)).cast("int")).alias("suggestion_rate"),
     )

@@ -8,17 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoSharedFolderError(RuntimeError):
+    """A cluster's session names no folder that all its machines share."""
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder of this machine only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a temporary folder of this machine serves a session that
+    runs on this machine alone, as in tests; on a cluster it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise NoSharedFolderError("set spark.checkpoint.dir to a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="pagecask-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, with its lineage cut, and safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

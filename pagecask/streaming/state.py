@@ -49,6 +49,9 @@ class PipelineState:
     deep_enabled: bool = False
     excluded: tuple[str, ...] = ()
     settings: Settings = field(default_factory=Settings)
+    reconcile_at: int | None = None  # when the daily steps and a refresh of titles are due
+    maintain_at: int | None = None
+    titles_at: int | None = None
 
     @property
     def allowed(self) -> bool:
@@ -76,6 +79,7 @@ class PipelineState:
             return PipelineState(
                 raw.get("consent"), ImportState(**raw.get("history", {})), raw.get("last_reconcile_at"), bool(raw.get("reconcile_due")), raw.get("last_maintenance_at"),
                 tuple(last) if last else None, bool(raw.get("deep_enabled")), tuple(raw.get("excluded", ())), Settings(**raw.get("settings", {})),
+                raw.get("reconcile_at"), raw.get("maintain_at"), raw.get("titles_at"),
             )
         except (ValueError, TypeError, AttributeError):
             return PipelineState()

@@ -25,6 +25,8 @@ def test_a_day_with_the_service(spark, root, tmp_path):
     assert quote["truncated"] is False
     assert [(r.kind, r.url[-1]) for r in s.call("search", query="river").collect()] == [("page", "2")]
     assert s.call("suggest", term="rivver") == ["river"]
+    told = s.call("respond", query="rivver site:b.example")
+    assert told.suggestions == [("rivver", "river")] and told.filters["sites"] == ["b.example"] and told.took_ms >= 0
     assert s.call("stats")["saved"] == 1 and s.call("page_info", url="https://a.example/1#x")["snippets"] == 1
     assert not any(s.call("integrity_check").values())
     s.call("export_data", folder=str(tmp_path / "e"))
@@ -32,12 +34,13 @@ def test_a_day_with_the_service(spark, root, tmp_path):
     assert s.call("import_data", folder=str(tmp_path / "e"))["pages"] == 2
     assert s.call("delete_domain", domain="www.a.example") == {"deleted_pages": 1, "kept_saved": 0}
     assert s.call("unsave_page", url="https://b.example/2") == {"saved_flag": 0, "page": 1}
-    assert s.call("maintenance")["dropped"]
+    done = s.call("maintenance", merge_at=2)
+    assert done["merged"] and done["dropped"] and not any(s.call("integrity_check").values())
 
 
 def test_bad_requests(spark, root):
     s = Service(spark, root, lambda: NOW)
-    for method, params in (("nothing", {}), ("_commit", {"change": 1}), ("search", {"query": "x" * 2000}), ("search", {}), ("delete_domain", {"domain": "no site"}), ("add_snippet", {"quote": {"url": "https://a.example/", "text": ""}}), ("apply_retention", {"months": 0}), ("export_data", {"folder": "x", "scope": "y"})):
+    for method, params in (("nothing", {}), ("_change", {"make": 1}), ("search", {"query": "x" * 2000}), ("search", {}), ("delete_domain", {"domain": "no site"}), ("add_snippet", {"quote": {"url": "https://a.example/", "text": ""}}), ("apply_retention", {"months": 0}), ("export_data", {"folder": "x", "scope": "y"})):
         with pytest.raises(BadRequest):
             s.call(method, **params)
 

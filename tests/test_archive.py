@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from pagecask.operators import archive as A
 from pagecask.operators import reports as R
-from pagecask.operators.search import page_index
+from pagecask.operators.index import page_index
 
 NOW = 1_791_028_800_000
 DAY = 86_400_000
@@ -117,35 +117,47 @@ def test_removal_plan(spark, state):
     assert got == {"https://a.example/1": "delete", "https://a.example/3": "expired", "https://x.example/": "unknown", "https://b.example/6": "delete"}
 
 
-def test_cap(spark):
-    n = 950
-    pages = spark.createDataFrame([page(i, 7 if i % 10 == 0 else 3, n - i) for i in range(n)], PAGE)
-    contents = spark.createDataFrame([(i, "", "", "b", 10) for i in range(n)], CONTENT)
-    state = A.Archive(pages, contents, spark.createDataFrame([], QUOTE))
-    cap = 10 * (n - 250)
-    left, old = 10 * n, [i for i in range(n) if i % 10]
-    gone: set[int] = set()
-    while left > cap:  # whole steps of 200
-        step = old[:200]
-        old, left = old[200:], left - 10 * len(step)
-        gone |= set(step)
+def cap_state(spark, n, keep):
+    pages = spark.range(n).selectExpr(
+        "id", "'u123' as url", "'d' as domain", "'t' as title", "0L as first_seen", "id as last_visit", "1L as visit_count", "0L as typed_count", "'en' as lang",
+        f"if(id % {keep} = 0, 7, 3) as flags", "0L as saved_at", "'h' as content_hash", "0L as content_indexed_at",
+    )
+    contents = spark.range(n).selectExpr("id as page_id", "'' as headings", "'' as description", "'b' as body", "10L as bytes")
+    return A.Archive(pages, contents, spark.createDataFrame([], QUOTE))
+
+
+def cap_by_hand(n, keep, cap, batch=200):
+    left, trim, gone = 80 * n, [], []
+    old = [i for i in range(n) if i % keep]
+    for size, out in ((10, trim), (70, gone)):
+        todo = list(old)
+        while left > cap and todo:  # whole steps, the oldest first
+            out += todo[:batch]
+            left -= size * len(todo[:batch])
+            todo = todo[batch:]
+    return set(trim), set(gone), max(0, left - cap)
+
+
+@pytest.mark.parametrize("cap", [80 * 950, 80 * 950 - 2500, 71 * 950, 30 * 950, 100])
+def test_cap(spark, cap):
+    n, state = 950, cap_state(spark, 950, 10)
+    trim, gone, over = cap_by_hand(n, 10, cap)
     out, summary = A.enforce_cap(state, cap)
-    assert {r.id for r in out.pages.where("flags & 2 = 0").collect()} == gone and tuple(summary.first()) == (len(gone), 10 * len(gone))
-    assert out.contents.count() == n - len(gone) and out.pages.where("content_indexed_at is null").count() == 0
-    assert A.cap_plan(state, 10 * n).count() == 0
+    left = {r.id: r for r in out.pages.collect()}
+    assert set(left) == set(range(n)) - gone and {i for i, r in left.items() if not r.flags & 2} == trim - gone
+    assert tuple(summary.first()) == (len(trim), len(gone), 10 * len(trim) + 70 * len(gone), over)
+    assert {r.page_id for r in out.contents.collect()} == set(range(n)) - trim - gone and all(r.content_indexed_at == 0 for r in left.values())
 
 
 def test_cap_takes_as_many_batches_as_needed(spark):
     n = 10_600
-    pages = spark.range(n).selectExpr("id", "cast(id as string) as url", "'d' as domain", "'t' as title", "0L as first_seen", "id as last_visit", "1 as visit_count", "0 as typed_count", "'en' as lang", "if(id % 100 = 0, 7, 3) as flags", "0L as saved_at", "'h' as content_hash", "0L as content_indexed_at")
-    contents = spark.range(n).selectExpr("id as page_id", "'' as headings", "'' as description", "'b' as body", "10L as bytes")
-    state = A.Archive(pages, contents, spark.createDataFrame([], QUOTE))
-    got = {r.id for r in A.cap_plan(state, 10 * (n - 10_100)).select("id").collect()}
-    assert got == set([i for i in range(n) if i % 100][:10_200])
-    out, summary = A.enforce_cap(state, 10)  # saved texts alone are over: all others go, no page does
-    assert out.contents.count() == n // 100 and out.pages.count() == n and summary.first().trimmed_pages == n - n // 100
-    few = A.cap_plan(state, 10 * (n - 301), batch=2)
-    assert few.count() == 302
+    state = cap_state(spark, n, 100)
+    for cap in (80 * n - 10 * 10_100, 72 * n - 70 * 10_050):
+        trim, gone, _ = cap_by_hand(n, 100, cap)
+        plan = A.cap_plan(state, cap)
+        got = {step: {r.id for r in plan.where(F.col("step") == step).collect()} for step in ("trim", "delete")}
+        assert got == {"trim": trim, "delete": gone} and len(trim) > 10_000
+    assert A.cap_plan(state, 80 * n - 301 * 10, batch=2).count() == 302
 
 
 def test_export_import(spark, state, tmp_path):

@@ -22,6 +22,11 @@ CONTENTS = [
 SNIPPETS = [(7, "https://a.example/one", "a.example", "Old bridge in town", "a quote about the bridge", ":~:text=x", False, NOW - DAY)]
 
 
+@pytest.fixture(scope="module")
+def indexes(tables):
+    return {"page_idx": S.page_index(*tables[:2]), "snippet_idx": S.snippet_index(tables[2])}
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     pages = spark.createDataFrame(PAGES, "id long, url string, domain string, title string, last_visit long, visit_count long, flags int")
@@ -30,52 +35,58 @@ def tables(spark):
     return pages, contents, snippets
 
 
-def run(tables, line, limit=50):
-    return [(r.kind, r.id) for r in S.search(*tables, parse_query(line, NOW), NOW, limit).collect()]
+@pytest.fixture()
+def run(tables, indexes):
+    return lambda line, limit=50: [(r.kind, r.id) for r in S.search(*tables, parse_query(line, NOW), NOW, limit, **indexes).collect()]
+
+
+@pytest.fixture()
+def rows_of(tables, indexes):
+    return lambda line: S.search(*tables, parse_query(line, NOW), NOW, **indexes).collect()
 
 
-def test_all_words_in_any_field(tables):
-    found = run(tables, "bread recipes")
+def test_all_words_in_any_field(run):
+    found = run("bread recipes")
     assert found[0] == ("page", 2)
 
 
-def test_prefix_of_the_last_word_only(tables):
-    assert ("page", 1) in [(r.kind, r.id) for r in S.search(*tables, parse_query("old brid", NOW), NOW).collect() if not r.approximate]
-    assert not [r for r in S.search(*tables, parse_query("brid old", NOW), NOW).collect() if not r.approximate]
-    exact = [r for r in S.search(*tables, parse_query('"brid"', NOW), NOW).collect() if not r.approximate]
+def test_prefix_of_the_last_word_only(rows_of):
+    assert ("page", 1) in [(r.kind, r.id) for r in rows_of("old brid") if not r.approximate]
+    assert not [r for r in rows_of("brid old") if not r.approximate]
+    exact = [r for r in rows_of('"brid"') if not r.approximate]
     assert not exact
 
 
-def test_accents_and_sites(tables):
-    assert run(tables, "γεφυρα")[0] == ("page", 3)
-    assert set(run(tables, "site:a.example")) == {("page", 1), ("page", 3), ("snippet", 7)}
-    assert set(run(tables, "site:a.example -site:sub.a.example")) == {("page", 1), ("snippet", 7)}
+def test_accents_and_sites(run):
+    assert run("γεφυρα")[0] == ("page", 3)
+    assert set(run("site:a.example")) == {("page", 1), ("page", 3), ("snippet", 7)}
+    assert set(run("site:a.example -site:sub.a.example")) == {("page", 1), ("snippet", 7)}
 
 
-def test_exclusion_and_tiers(tables):
-    assert ("page", 2) not in run(tables, "bridge -bread")
-    assert run(tables, "is:snippet bridge") == [("snippet", 7)]
-    assert run(tables, "is:saved") == [("page", 3)]
-    assert run(tables, "-bridge") == []
+def test_exclusion_and_tiers(run):
+    assert ("page", 2) not in run("bridge -bread")
+    assert run("is:snippet bridge") == [("snippet", 7)]
+    assert run("is:saved") == [("page", 3)]
+    assert run("-bridge") == []
 
 
-def test_dates(tables):
-    assert ("page", 4) not in run(tables, "when:year") and ("page", 4) in run(tables, "before:1y")
+def test_dates(run):
+    assert ("page", 4) not in run("when:year") and ("page", 4) in run("before:1y")
 
 
-def test_relaxed_results_come_after_exact_ones(tables):
-    rows = S.search(*tables, parse_query("river recipes", NOW), NOW).collect()
+def test_relaxed_results_come_after_exact_ones(rows_of):
+    rows = rows_of("river recipes")
     assert rows and all(r.approximate for r in rows)
-    rows = S.search(*tables, parse_query("crosses", NOW), NOW).collect()
+    rows = rows_of("crosses")
     assert not rows[0].approximate and rows[0].snippet.text.startswith("The old bridge")
 
 
-def test_substring_search_is_the_last_resort(tables):
-    assert ("page", 1) in run(tables, "ridg")
+def test_substring_search_is_the_last_resort(run):
+    assert ("page", 1) in run("ridg")
 
 
-def test_bm25_formula(tables):
-    index = S.page_index(*tables[:2])
+def test_bm25_formula(indexes):
+    index = indexes["page_idx"]
     rows = {r.id: r.strength for r in S.bm25_matches(index, [(["bread"], False)], True).collect()}
     lengths = {1: 4 + 1 + 0 + 10, 2: 1 + 0 + 3 + 8, 3: 3, 4: 0}
     mean = sum(lengths.values()) / 4
@@ -89,16 +100,17 @@ def test_empty_archive(spark, tables):
     assert S.search(*empty, parse_query("bridge", NOW), NOW).collect() == []
 
 
-def test_suggestions(tables):
-    vocab = S.vocabulary(S.page_index(*tables[:2]))
+def test_suggestions(indexes):
+    vocab = indexes["page_idx"].vocabulary
     assert S.suggestions(vocab, parse_query("brigde", NOW)) == [("brigde", "bridge")]
     assert S.suggestions(vocab, parse_query("brid", NOW)) == [] and S.suggestions(vocab, parse_query("xyz", NOW)) == []
 
 
 def test_relevance(spark):
-    rows = spark.createDataFrame([("t", 1), ("t", 4), ("t", None), ("u", 2)], "kind string, place int")
-    got = {r.kind: (r.n, r.hit1, r.hit5, r.mrr) for r in S.relevance(rows).collect()}
-    assert got["t"] == (3, pytest.approx(1 / 3), pytest.approx(2 / 3), pytest.approx((1 + 0.25) / 3)) and got["u"][3] == 0.5
+    rows = spark.createDataFrame([("t", 1, None), ("t", 4, True), ("t", None, False), ("u", 2, None)], "kind string, place int, suggested boolean")
+    got = {r.kind: (r.n, r.hit1, r.hit5, r.mrr, r.suggestion_rate) for r in S.relevance(rows).collect()}
+    assert got["t"] == (3, pytest.approx(1 / 3), pytest.approx(2 / 3), pytest.approx((1 + 0.25) / 3), pytest.approx(1 / 3)) and got["u"][3] == 0.5
+    assert got["total"][:2] == (4, 0.25)
 
 
 def test_excerpt():
