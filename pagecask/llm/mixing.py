@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,18 +67,15 @@ def thresholds(mean: float, cap: int) -> list[float]:
     return [poisson_cdf(mean, j) for j in range(cap)]
 
 
-def _uses(u: Column, mean: float, cap: int) -> Column:
-    out = F.lit(0)
-    for t in thresholds(mean, cap):
-        out = out + F.when(u >= F.lit(t), 1).otherwise(0)
-    return out
+def _with_uses(texts: DataFrame, means: list[tuple[str, int, float, int]]) -> DataFrame:
+    """``texts`` with ``trial`` and how often each is used in it; ``means``: source, trial, mean, cap.
 
-
-def _per_source(source: Column, values: dict[str, Column], default: Column) -> Column:
-    out = None
-    for name, value in values.items():
-        out = F.when(source == name, value) if out is None else out.when(source == name, value)
-    return out.otherwise(default) if out is not None else default
+    The thresholds are a small table (a row a source and trial), so the plan
+    does not grow with the sources, trials or repeats.
+    """
+    rows = [(s, g, thresholds(mean, cap)) for s, g, mean, cap in means]
+    table = texts.sparkSession.createDataFrame(rows, "source string, trial int, _at array<double>")
+    return texts.join(F.broadcast(table), "source").withColumn("_uses", F.size(F.filter("_at", lambda t: F.col("u") >= t))).drop("_at")
 
 
 def distinct_texts(documents: DataFrame, sources: list[str], ranks: bytes, seed: int = SEED) -> DataFrame:
@@ -109,14 +106,11 @@ def fit_means(texts: DataFrame, targets: list[tuple[str, float, int]], total: fl
         open_ = [(s, cap) for s, _, cap in wanted if not math.isinf(means[s])]
         if not open_:
             break
-        sums = [
-            F.sum(F.when(F.col("source") == s, F.col("tokens") * _uses(F.col("u"), means[s] * x, cap))).alias(f"s{i}_{g}")
-            for i, (s, cap) in enumerate(open_)
-            for g, x in enumerate(steps)
-        ]
-        got = texts.agg(*sums).first()
-        for i, (s, _) in enumerate(open_):
-            best = min(range(GRID), key=lambda g: (abs((got[f"s{i}_{g}"] or 0) - goal[s]), abs(g - GRID // 2)))
+        trials = [(s, g, means[s] * x, cap) for s, cap in open_ for g, x in enumerate(steps)]
+        drawn = _with_uses(texts, trials).groupBy("source", "trial").agg(F.sum(F.col("tokens") * F.col("_uses")).alias("n"))
+        got = {(r.source, r.trial): r.n for r in drawn.collect()}  # a row a source and trial
+        for s, _ in open_:
+            best = min(range(GRID), key=lambda g: (abs((got.get((s, g)) or 0) - goal[s]), abs(g - GRID // 2)))  # noqa: B023
             means[s] *= steps[best]
     return means
 
@@ -125,8 +119,7 @@ def mix(texts: DataFrame, targets: list[tuple[str, float, int]], total: float |
     """(position, source, doc_id, repeat, tokens): every use of every text, in a global random order by ``position``."""
     means = fit_means(texts, targets, total)
     caps = {s: cap for s, _, cap in targets}
-    uses = _per_source(F.col("source"), {s: _uses(F.col("u"), m, caps[s]) for s, m in means.items()}, F.lit(0))
-    drawn = texts.withColumn("_uses", uses).where("_uses > 0").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
+    drawn = _with_uses(texts, [(s, 0, m, caps[s]) for s, m in means.items()]).where("_uses > 0").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
     position = F.xxhash64(F.lit(seed + 1), "source", "doc_id", "repeat")
     return drawn.select(position.alias("position"), "source", "doc_id", "repeat", "tokens").orderBy("position", "source", "doc_id", "repeat")
 

@@ -6,9 +6,10 @@ again and again, the fullest containers of one with the emptiest of the other.
 The sums come out nearly equal, so with k containers of total size just under
 k times the capacity all are nearly full; k rises until none is over.
 
-Items are dealt to buckets of about BUCKET_ITEMS by a hash of their row number,
-so a bucket's size does not grow with the data and no key can be hot; each
-bucket leaves at most a few containers partly empty.
+Items are dealt to buckets of about BUCKET_ITEMS by a hash of their key, text
+and, among repeated rows, ordinal, so a bucket's size does not grow with the
+data, no key can be hot, and the containers do not depend on how the files are
+laid out; each bucket leaves at most a few containers partly empty.
 
 Defined results
     an item above the capacity is cut: its whole multiples fill containers
@@ -94,7 +95,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack_documents(documents: DataFrame, key: str, tokens: str, capacity: int) -> DataFrame:
-    """(container, key, part, from_token, tokens): ``documents`` has key, a row number ``_row`` and the tokens of each."""
+    """(container, key, part, from_token, tokens): ``documents`` has key, ``_row``, a name of the row that no other has, and the tokens of each."""
     n = F.col(tokens).cast("long")
     full, rest = F.floor(n / capacity), n % capacity
     items = documents.where(n > 0).select("_row", F.col(key), full.alias("_full"), rest.alias("_rest"))
@@ -128,8 +129,16 @@ def pack_documents(documents: DataFrame, key: str, tokens: str, capacity: int) -
 
 def counted_documents(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    counted = count_tokens(documents, "text", "tokens", vocabulary(path))
-    return written(counted.withColumn("_row", F.monotonically_increasing_id()), "token-counts")
+    counted = count_tokens(documents.withColumn("_text", F.xxhash64("text")), "text", "tokens", vocabulary(path))
+    return written(with_row_names(counted), "token-counts")
+
+
+def with_row_names(counted: DataFrame) -> DataFrame:
+    """(doc_id, tokens, _row): repeated rows (doc_id, _text, tokens) are counted map-side and numbered, without a window over a key."""
+    each = counted.groupBy("doc_id", "_text", "tokens").agg(F.count("*").alias("_n"))
+    numbered = each.withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    name = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("_text"), F.col("_no").cast("string"))
+    return numbered.select("doc_id", "tokens", name.alias("_row"))
 
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:

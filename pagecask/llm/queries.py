@@ -13,7 +13,7 @@ from pagecask.llm.near_duplicates import p4_classes, p4_found
 from pagecask.llm.packing import p6_fill, p6_packed
 from pagecask.llm.residue import p2_found, p2_reasons
 from pagecask.llm.splitting import p8_pieces
-from pagecask.llm.visual_form import p5_found
+from pagecask.llm.visual_form import p5_forms, p5_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_classes": p4_classes,
     "p5_found": p5_found,
+    "p5_forms": p5_forms,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
     "p7_mixed": p7_mixed,

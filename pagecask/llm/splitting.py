@@ -10,7 +10,7 @@ the first begins ``overlap`` tokens before the cut.
 Defined results
     null and empty texts give no piece; a text within the limit is one piece;
     pieces without their overlaps, put together, are the text; an overlap
-    above half the limit counts as half; a text without white space is cut between tokens, never inside a character; a piece's
+    above half the limit is refused, since pieces would hardly advance; a text without white space is cut between tokens, never inside a character; a piece's
     tokens are those of its own text, and are at most the limit.
 """
 
@@ -80,15 +80,20 @@ def rolling(ids: np.ndarray, ranks: bytes) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def cuts(ids: np.ndarray, limit: int, overlap: int, ranks: bytes) -> list[int]:
-    """Token positions at which pieces begin, their overlap not counted; the first is 0."""
-    overlap = min(overlap, limit // 2)
+class OverlapError(ValueError):
+    """An overlap of more than half the limit."""
+
+
+def cuts(ids: np.ndarray, limit: int, overlap: int, ranks: bytes, level: np.ndarray | None = None, h: np.ndarray | None = None) -> list[int]:
+    """Token positions at which pieces begin, their overlap not counted; the first is 0. ``level`` and ``h`` are those of the tokens, if known."""
+    if overlap > limit // 2:
+        raise OverlapError(f"overlap {overlap} with limit {limit}")
     out = [0]
     n = len(ids)
     if n <= limit:
         return out
-    level = boundaries(ids, ranks)
-    h = rolling(ids, ranks)
+    level = boundaries(ids, ranks) if level is None else level
+    h = rolling(ids, ranks) if h is None else h
     # sizes as if every piece had an overlap, so that they don't depend on the place in the text
     most = limit - overlap
     least = max(1, int(most * SMALLEST))
@@ -118,7 +123,7 @@ def cuts(ids: np.ndarray, limit: int, overlap: int, ranks: bytes) -> list[int]:
     return out
 
 
-def pieces(text: str, limit: int, overlap: int, ranks: bytes, ids: np.ndarray | None = None) -> list[tuple[int, int, int, int, str]]:
+def pieces(text: str, limit: int, overlap: int, ranks: bytes, ids: np.ndarray | None = None, level: np.ndarray | None = None, h: np.ndarray | None = None) -> list[tuple[int, int, int, int, str]]:
     """(begin, new_from, end, tokens, piece): characters begin..end are the piece, of which those before new_from are the overlap."""
     enc = encoding(ranks)
     if ids is None:
@@ -127,16 +132,15 @@ def pieces(text: str, limit: int, overlap: int, ranks: bytes, ids: np.ndarray |
         return []
     if len(ids) <= limit:
         return [(0, 0, len(text), len(ids), text)]
-    overlap = min(overlap, limit // 2)
     raw = text.encode("utf-8", "replace")
-    begins = cuts(ids, limit, overlap, ranks)
+    level = boundaries(ids, ranks) if level is None else level
+    begins = cuts(ids, limit, overlap, ranks, level, h)
     ends = [*begins[1:], len(ids)]
     inside = _token_table(ranks)[5]
     offset = np.append(0, np.cumsum(_token_table(ranks)[0][ids]))
     ascii_ = len(raw) == len(text)
     lead = None if ascii_ else np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
     char = (lambda b: int(b)) if ascii_ else (lambda b: int(lead[b]))
-    level = boundaries(ids, ranks)
     out: list[tuple[int, int, int, int, str]] = []
     for k, (a, e) in enumerate(zip(begins, ends, strict=True)):
         start = a if k == 0 else max(0, a - overlap)
@@ -160,6 +164,10 @@ def pieces(text: str, limit: int, overlap: int, ranks: bytes, ids: np.ndarray |
 
 def split_texts(documents: DataFrame, key: str, text: str, settings: list[tuple[str, int, int]], ranks: bytes) -> DataFrame:
     """Pieces of every text under every (limit_name, limit, overlap); a map, a text is tokenized once for all of them."""
+    for _, limit, overlap in settings:
+        if overlap > limit // 2:
+            raise OverlapError(f"overlap {overlap} with limit {limit}")
+    least = min((limit for _, limit, _ in settings), default=0)
     share = documents.sparkSession.sparkContext.broadcast(ranks)
     names = ["limit_name", key, "piece_no", "char_from", "new_from", "char_to", "tokens", "piece"]
 
@@ -175,8 +183,10 @@ def split_texts(documents: DataFrame, key: str, text: str, settings: list[tuple[
             rows, size = [], 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array(enc.encode_ordinary(t), int)
+                long_ = len(ids) > least
+                level, h = (boundaries(ids, table), rolling(ids, table)) if long_ else (None, None)
                 for name, limit, overlap in settings:
-                    for no, (a, new, b, n, piece) in enumerate(pieces(t, limit, overlap, table, ids)):
+                    for no, (a, new, b, n, piece) in enumerate(pieces(t, limit, overlap, table, ids, level, h)):
                         rows.append((name, i, no + 1, a, new, b, n, piece))
                         size += len(piece)
                 if size > 4_000_000:

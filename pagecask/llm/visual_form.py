@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pagecask.operators.skew import paired_members, pairs_within, spread_join
 from pagecask.sources.scratch import written
 
 # Letters that look the same, in the order Latin, Greek, Cyrillic; "-" where the script has none.
@@ -193,8 +194,8 @@ def _spans(chars) -> str:
 
 
 @lru_cache(1)
-def _script_patterns() -> tuple[list[re.Pattern], re.Pattern, re.Pattern]:
-    """Runs of each script's unambiguous letters; two scripts side by side; words of ambiguous letters only."""
+def _script_patterns() -> tuple[list[re.Pattern], re.Pattern, re.Pattern, re.Pattern]:
+    """Runs of each script's unambiguous letters; two scripts side by side; words of ambiguous letters only; letters of other scripts."""
     by: dict[int, list[str]] = {LATIN: [], GREEK: [], CYRILLIC: [], -1: []}
     blocks: dict[int, list[str]] = {LATIN: [], GREEK: [], CYRILLIC: []}
     for o in [*range(0x41, 0x530), *range(0x1E00, 0x2000)]:
@@ -209,7 +210,8 @@ def _script_patterns() -> tuple[list[re.Pattern], re.Pattern, re.Pattern]:
     mixed = "|".join(f"{a}{b}|{b}{a}" for a, b in pairs)
     ambiguous = [c for c in by[-1] if decompositions().get(c, c)[:1] in _CLASS]
     runs = [re.compile(f"[{_spans(by[s])}]+") for s in (LATIN, GREEK, CYRILLIC)]
-    return runs, re.compile(mixed), re.compile(rf"(?<![^\W\d_])[{_spans(ambiguous)}]+(?![^\W\d_])")
+    other = re.compile(rf"[^\W\d_{_spans([c for own in blocks.values() for c in own])}]")
+    return runs, re.compile(mixed), re.compile(rf"(?<![^\W\d_])[{_spans(ambiguous)}]+(?![^\W\d_])"), other
 
 
 def _one_script(text: str) -> bool:
@@ -245,8 +247,8 @@ def canonical(text: str | None) -> str | None:
     if not _needs_work().search(text) and "\t" not in text and "\r" not in text:
         if _one_script(text):
             return text
-        runs, mixed, ambiguous = _script_patterns()
-        if not mixed.search(text):  # only words of ambiguous letters can change
+        runs, mixed, ambiguous, other = _script_patterns()
+        if not mixed.search(text) and not other.search(text):  # only words of ambiguous letters can change
             votes = Counter({s: n for s, run in enumerate(runs) if (n := sum(map(len, run.findall(text))))})
             overall = _best(votes) if votes else LATIN
             return ambiguous.sub(lambda m: _rebuilt(m.group(0), overall), text)
@@ -304,18 +306,25 @@ def mapping_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame
     return F.broadcast(parts), F.broadcast(letters), F.broadcast(whole)
 
 
+#: Characters that one task explodes, about.
+CHARS_IN_TASK = 400_000
+
+
 def canonical_forms(df: DataFrame, key: str, text: str, out: str = "form") -> DataFrame:
     """(key, out) for every row of ``df`` whose text is not null; ``key`` must be unique.
 
-    One shuffle, on ``key``; everything after it (marks, scripts, rebuilding)
-    stays in that partitioning.  A text is one cell of the input, so the rows
-    exploded from it are bounded by it.
+    One shuffle, on ``key``, to as many tasks as the number of characters asks
+    for; everything after it (marks, scripts, rebuilding) stays in that
+    partitioning.  A text is one cell of the input, so the rows exploded from it
+    are bounded by it.
     """
     parts, letters, whole = mapping_tables(df.sparkSession)
+    chars_in = df.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n")).first().n
+    tasks = 1 + chars_in // CHARS_IN_TASK
     chars = (
         df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
         .where(F.col("_t").isNotNull())
-        .repartition("_k")
+        .repartition(tasks, "_k")
         .select("_k", F.posexplode_outer(F.expr("regexp_extract_all(_t, '(?s).', 0)")).alias("_pos", "_ch"))
     )
     split = (
@@ -420,39 +429,68 @@ def look_profile(text: Column) -> Column:
     return F.xxhash64(F.translate(text, *_stable_keys()))
 
 
+def _string_key() -> Column:
+    """A key of a string of a field that no other string has."""
+    return F.unhex(F.md5(F.concat_ws("|", F.base64(F.encode("field", "UTF-8")), "text")))
+
+
 def lookalike_pairs(texts: DataFrame) -> DataFrame:
     """(field, id_a, id_b): ids of a field whose texts differ as strings but have one form.
 
     ``texts``: field, id (unique in a field), text.  Null and empty texts make
-    no pair; equal strings make no pair.  Every text is profiled; only texts
-    that share their profile with a different string are exploded, once per
-    distinct string.
+    no pair; equal strings make no pair; rows that repeat make a pair once.
+    Every text is profiled; only texts that share their profile with a
+    different string are exploded, once per distinct string.  Strings of one
+    form are paired, then expanded to the rows that have them, a large group a
+    part at a time.
     """
     rows = texts.where(F.col("text").isNotNull() & (F.col("text") != "")).select("field", "id", "text")
-    keyed = rows.select("field", "id", look_profile(F.col("text")).alias("_p"), F.xxhash64("field", "text").alias("_h"))
+    keyed = rows.select("field", "id", look_profile(F.col("text")).alias("_p"), _string_key().alias("_h"))
     keyed = written(keyed, "look-profiles")
     kinds = keyed.groupBy("field", "_p", "_h").agg(F.min("id").alias("_rep"))
     shared = kinds.groupBy("field", "_p").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi")).where("_lo <> _hi")
     reps = kinds.join(shared.select("field", "_p"), ["field", "_p"], "left_semi")
-    wanted = rows.join(reps.select("field", F.col("_rep").alias("id"), "_h"), ["field", "id"]).select("_h", "text")
+    wanted = rows.join(reps.select("field", F.col("_rep").alias("id"), "_h"), ["field", "id"]).where(F.col("_h") == _string_key())
+    wanted = written(wanted.select("_h", "text").dropDuplicates(["_h"]), "look-texts")
     forms = written(canonical_forms(wanted, "_h", "text").select("_h", F.md5("form").alias("_form")), "look-forms")
-    members = keyed.select("field", "id", "_h").join(forms, "_h")
-    variants = members.select("field", "_form", "_h").distinct()
-    a = variants.select("field", "_form", F.col("_h").alias("_ha"))
-    b = variants.select("field", "_form", F.col("_h").alias("_hb"))
-    unlike = a.join(b, ["field", "_form"]).where("_ha < _hb").select("field", "_ha", "_hb")  # strings of one form, not rows
-    rows_a = members.select("field", F.col("_h").alias("_ha"), F.col("id").alias("_x"))
-    rows_b = members.select("field", F.col("_h").alias("_hb"), F.col("id").alias("_y"))
-    pairs = unlike.join(rows_a, ["field", "_ha"]).join(rows_b, ["field", "_hb"])
-    return pairs.select("field", F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b"))
+    members = keyed.join(forms, "_h").select(F.col("_h").alias("group"), "id", "field", "_form").distinct()
+    strings = members.select(F.concat_ws("|", "field", "_form").alias("group"), F.col("group").alias("id")).distinct()
+    unlike = pairs_within(strings).select("a", "b")  # strings of one form, not rows
+    pairs = paired_members(unlike, members.select("group", "id"))
+    named = members.select(F.col("group").alias("a"), "field").distinct()
+    pairs = pairs.join(named.hint("merge"), "a").where("x <> y")
+    return pairs.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def one_form(texts: DataFrame) -> DataFrame:
+    """(field, id, form) of every row of ``texts`` (field, id, text): equal look is equal ``form``; null texts have none.
+
+    A text of printable ASCII and line feeds is its own form by definition; all
+    others are exploded, once per distinct string.
+    """
+    rows = texts.select("field", "id", "text").where(F.col("text").isNotNull())
+    plain = F.col("text").rlike(r"\A[\n\x20-\x7E]*\z")
+    own = rows.where(plain).select("field", "id", F.col("text").alias("form"))
+    odd = rows.where(~plain).select("field", "id", "text", F.unhex(F.md5("text")).alias("_h"))
+    forms = canonical_forms(written(odd.groupBy("_h").agg(F.any_value("text").alias("text")), "odd-texts"), "_h", "text")
+    return own.unionByName(spread_join(odd.select("field", "id", "_h"), forms, "_h", "id", parts=4).select("field", "id", "form"))
+
+
+def archive_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, id, text) of all titles, bodies and quotes."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    texts = (
+    return (
         read("pages")
         .select(F.lit("title").alias("field"), F.col("id"), F.col("title").alias("text"))
         .unionByName(read("contents").select(F.lit("body").alias("field"), F.col("page_id").alias("id"), F.col("body").alias("text")))
         .unionByName(read("snippets").select(F.lit("snippet").alias("field"), "id", "text"))
     )
-    return lookalike_pairs(texts)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(archive_texts(spark, sf_dir))
+
+
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title, body and quote in its one form."""
+    return one_form(archive_texts(spark, sf_dir))

@@ -1,7 +1,10 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pagecask.llm import mixing as M
 from pagecask.llm import packing as P
@@ -37,7 +40,7 @@ def test_nearly_equal_loads():
 
 def test_pack_documents(spark):
     rows = [(1, 5000, "x"), (2, 300, "x"), (3, 0, "x"), (4, None, "x"), (5, 512, "x"), (5, 512, "x"), (6, 1, None)]
-    df = spark.createDataFrame(rows, "doc_id long, tokens int, container string").selectExpr("*", "monotonically_increasing_id() as _row")
+    df = spark.createDataFrame(rows, "doc_id long, tokens int, container string").selectExpr("*", "uuid() as _row")
     got = P.pack_documents(df, "doc_id", "tokens", 512).collect()
     assert all(sum(x.tokens for x in got if x.container == c) <= 512 for c in {x.container for x in got})
     assert sum(x.tokens for x in got) == 5000 + 300 + 1024 + 1 and sorted(x.from_token for x in got if x.doc_id == 1) == list(range(0, 5000, 512))
@@ -85,7 +88,31 @@ def test_shares_query(spark, data, ranks):
 TEXTS = ["", "short", "One sentence here. Another one there! " * 80, "para one line.\n\npara two line.\r\n\r\n" * 90, "a" * 5000, "слово " * 900, "😀" * 700, "\n" * 3000, " " * 3000, "x" * 50 + "\n" * 700 + "y" * 900, "mixed 😀 τέλος.\tкод{}; " * 200]
 
 
-@pytest.mark.parametrize("limit,overlap", [(64, 8), (256, 32), (32, 31), (16, 40)])
+def test_an_overlap_above_half_the_limit_is_refused(ranks, spark):
+    with pytest.raises(S.OverlapError):
+        S.pieces("word " * 200, 16, 9, ranks)
+    with pytest.raises(S.OverlapError):
+        S.split_texts(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "doc_id", "text", [("x", 16, 9)], ranks)
+
+
+def test_containers_do_not_depend_on_the_layout(spark, ranks):
+    rng = random.Random(6)
+    rows = [(k % 900, "word " * rng.randrange(1, 90)) for k in range(1000)] + [(1, "same")] * 40 + [(None, "none"), (None, None), (2, "long " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def packed(d):
+        counted = P.with_row_names(K.count_tokens(d.withColumn("_text", F.xxhash64("text")), "text", "tokens", ranks))
+        return sorted(map(tuple, P.pack_documents(counted, "doc_id", "tokens", 256).collect()), key=repr)
+
+    one = packed(df)
+    assert one == packed(df.orderBy(F.desc("text")).repartition(7)) and sum(r[1] == 1 for r in one) == 42
+    loads = {}
+    for c, _, _, _, n in one:
+        loads[c] = loads.get(c, 0) + n
+    assert max(loads.values()) <= 256
+
+
+@pytest.mark.parametrize("limit,overlap", [(64, 8), (256, 32), (32, 16), (17, 8)])
 def test_round_trip_and_limit(ranks, limit, overlap):
     enc = K.encoding(ranks)
     for text in TEXTS:

@@ -1,7 +1,7 @@
 import itertools
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -25,6 +25,11 @@ def test_different_look(pair):
     assert V.canonical(pair[0]) != V.canonical(pair[1])
 
 
+def test_words_with_letters_of_other_scripts():
+    for text in ("ᅡоᅡ", "字о字 и Москва", "ᅡоᅡ λόγος"):
+        assert V.canonical(text) == V._rebuilt(text, None)
+
+
 def test_real_words_keep_their_script():
     for text in ("Москва и море", "Ο λόγος του", "plain English with a лодка", "Ελληνικά and English"):
         assert V.canonical(text) == text
@@ -38,8 +43,8 @@ def test_form_is_a_fixed_point(text):
     assert V.canonical(form) == form
 
 
-@settings(max_examples=12, deadline=None)
-@given(st.lists(st.text(st.sampled_from(ALPHABET), max_size=25), min_size=1, max_size=30))
+@settings(max_examples=8, deadline=None, phases=(Phase.explicit, Phase.reuse, Phase.generate))  # a smaller example is not worth its time on Spark
+@given(st.lists(st.text(st.sampled_from(ALPHABET), max_size=25), min_size=20, max_size=60))
 def test_operator_agrees_with_its_definition(spark, texts):
     rows = [(k, t) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "k long, t string")
@@ -75,3 +80,29 @@ def test_a_third_of_all_rows_are_one_string(spark):
 
 def test_query(spark, data):
     assert V.p5_found(spark, data).columns == ["field", "id_a", "id_b"]
+
+
+def test_one_form_of_every_text(spark):
+    texts = [*SAME, *SAME.values(), *(x for pair in DIFFERENT for x in pair), None, "", "plain\nlines", "tab\there", "Ｈｅｌｌｏ　ｗｏｒｌｄ " * 3000]
+    rows = [("title", k, t, "clash", 1) for k, t in enumerate([*texts, *texts])]
+    got = {r.id: r.form for r in V.one_form(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: V.canonical(t) for _, k, t, *_ in rows if t is not None}
+    assert V.one_form(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_string_that_a_third_of_all_rows_have(spark, monkeypatch):
+    from pagecask.operators import skew
+
+    monkeypatch.setattr(skew.paired_members, "__defaults__", (7,))
+    rows = [("title", k, "Home" if k % 3 == 0 else "Ｈｏｍｅ" if k % 31 == 1 else f"word {k}", None, None) for k in range(150)]
+    got = [tuple(r) for r in V.lookalike_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_pairs_within_large_groups(spark):
+    from pagecask.operators.skew import pairs_within
+
+    rows = [(k % 2 * 7, k) for k in range(90)] + [(3, 100)]
+    got = [tuple(r) for r in pairs_within(spark.createDataFrame(rows, "group long, id long"), per=8).collect()]
+    want = {(g, a, b) for (g, a), (h, b) in itertools.product(rows, rows) if g == h and a < b}
+    assert len(got) == len(set(got)) and set(got) == want
