@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagecask.functions import display as D
 from pagecask.functions import text as X
@@ -19,7 +18,8 @@ from pagecask.operators.ordered import in_ranges, running_total
 from pagecask.operators.snippets import excerpts, highlight_spans
 from pagecask.plans.query import parse_query
 from pagecask.sources.html import extract_pages
-from pagecask.sources.scratch import shared_folder
+from pagecask.sources import snapshot
+from pagecask.sources.scratch import scratch_path, shared_folder
 
 #: The moment all queries are asked at, and the user's minutes east of UTC.
 NOW, TZ = 1_791_028_800_000, 180
@@ -196,6 +196,10 @@ def rank_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(df: DataFrame) -> DataFrame:
+    return df.select("kind", "id", "url", "source", F.round("score", 6).alias("score"), "approximate", "match_kind")
+
+
+def _excerpts(df: DataFrame) -> DataFrame:
     return df.select("kind", "id", "url", "source", F.round("score", 6).alias("score"), "approximate", "match_kind", F.col("snippet.text").alias("excerpt"), F.size("snippet.highlights").alias("n_highlights"))
 
 
@@ -205,18 +209,82 @@ def run_search(spark: SparkSession, sf_dir: str, line: str, limit: int = 50) ->
     return S.search(a.pages, a.contents, a.snippets, parse_query(line, NOW, TZ), NOW, limit, pages, snippets)
 
 
-@_query()
+def _sql_strength(names: list[str]) -> str:
+    return " + ".join(f"greatest(ln((n_rows - df_{n} + 0.5) / (df_{n} + 0.5)), 1e-6) * {n} * 2.2 / ({n} + 1.2 * (0.25 + 0.75 * length / mean))" for n in names)
+
+
+def _sql_hit(terms: list[str], title: str, url: str) -> str:
+    """1 if each term begins a token of title or address, 0.5 if some do; texts already folded."""
+    hay = rf"list_concat(regexp_extract_all({title}, '[\p{{L}}\p{{N}}]+'), regexp_extract_all({url}, '[\p{{L}}\p{{N}}]+'))"
+    n = " + ".join(f"(len([x for x in {hay} if starts_with(x, '{t}')]) > 0)::int" for t in terms)
+    return f"(case when {n} = {len(terms)} then 1 when {n} > 0 then 0.5 else 0 end)"
+
+
+def _sql_rank(tag: str, where: str, names: list[str], phrases: list[str], terms: list[str], most: int, shown: int, approximate: bool) -> str:
+    """CTEs that rank the pages of ``hits`` that satisfy ``where``; the result is the table ``tag``."""
+    words = r"[^\p{L}\p{N}]+".join(terms)
+    shows = " or ".join(f"contains({f}, ' {t} ')" for f in ("w_body", "w_description", "w_headings") for t in terms[:-1])
+    shows = " or ".join(filter(None, [shows, *(f"contains({f}, ' {terms[-1]}')" for f in ("w_body", "w_description", "w_headings"))]))
+    near = f"(coalesce(body, '') <> '' and (regexp_matches(substring({_FOLD.format('body')}, 1, 20000), '{words}') or regexp_matches({_FOLD.format('title')}, '{words}')))"
+    return f"""{tag}_c as (select h.id, {_sql_strength(names)} as strength, p.url, p.title, p.domain, p.last_visit, p.visit_count, p.flags from hits h, stats s, pages p where p.id = h.id and {where}
+  order by strength desc, p.last_visit desc, h.id limit {most}),
+{tag}_f as (select *, strength / max(strength) over () + 0.35 * {_sql_hit(terms, _FOLD.format('title'), 'lower(url)')} + 0.25 * exp(-greatest(0, {NOW} - last_visit) / ({DAY} * 45.0))
+  + 0.08 * ln(1 + greatest(0, visit_count)) + (case when flags & 4 != 0 then 0.2 else 0 end) as pre from {tag}_c),
+{tag}_p as (select *, row_number() over (order by pre desc, last_visit desc, url) as place from {tag}_f),
+{tag} as (select 'page' as kind, f.id, f.url, case when flags & 4 <> 0 then 'saved' when flags & 2 <> 0 then 'deep' else 'history' end as source,
+  (pre + (case when place <= {shown} and {len(terms) > 1} and {near} then 0.2 else 0 end)) * {0.5 if approximate else 1.0} as score, {approximate} as approximate,
+  case when place <= {shown} and ({shows}) then 'content' else 'title-url' end as match_kind, last_visit as ts
+  from {tag}_p f left join contents c on c.page_id = f.id left join (select id as w_id, headings as w_headings, description as w_description, body as w_body from page_index) w on w.w_id = f.id)"""
+
+
+def _sql_hits(phrases: dict[str, tuple[str, bool]]) -> str:
+    cols = ", ".join(f"{_sql_wtf(p, x)} as {n}" for n, (p, x) in phrases.items())
+    dfs = ", ".join(f"count(*) filter (where {n} > 0) as df_{n}" for n in phrases)
+    return f"""{_PAGE_INDEX},
+hits as (select id, {_LENGTH} as length, {cols} from page_index),
+stats as (select count(*) as n_rows, avg(length) as mean, {dfs} from hits)"""
+
+
+def _sql_quotes(phrases: dict[str, tuple[str, bool]], terms: list[str], excluded: list[str]) -> str:
+    """CTE ``quotes``: ranked quotes that hold all phrases."""
+    w = ", ".join(f"5.0 * {_hits('a', p, x)} + 2.0 * {_hits('b', p, x)} as {n}" for n, (p, x) in phrases.items())
+    dfs = ", ".join(f"count(*) filter (where {n} > 0) as df_{n}" for n in phrases)
+    out = " + ".join([f"{_hits('a', e)} + {_hits('b', e)}" for e in excluded] or ["0"])
+    fold_title, fold_url = _FOLD.format("page_title"), _FOLD.format("url")
+    return f"""q_t as (select *, {_pad('text')} as a, {_pad('page_title')} as b from snippets),
+q_h as (select *, len(string_split(trim(a), '  ')) - (a = '')::int + len(string_split(trim(b), '  ')) - (b = '')::int as length, {w}, {out} as out from q_t),
+q_s as (select count(*) as n_rows, avg(length) as mean, {dfs} from q_h),
+q_c as (select *, {_sql_strength(list(phrases))} as strength from q_h, q_s where {' and '.join(f'{n} > 0' for n in phrases)} and out = 0 order by strength desc, created_at desc, id limit 200),
+quotes as (select 'snippet' as kind, id, url, 'snippet' as source, strength / max(strength) over () + 0.35 * {_sql_hit(terms, fold_title, fold_url)}
+  + 0.25 * exp(-greatest(0, {NOW} - created_at) / ({DAY} * 45.0)) + 0.2 as score, false as approximate, 'content' as match_kind, created_at as ts from q_c)"""
+
+
+_BEST = "select kind, id, url, source, round(score, 6) as score, approximate, match_kind from ({0}) order by approximate, score desc, ts desc, url, id limit 50"
+_EXACT = {"w0": ("of  the", False), "w1": ("la", True), "x0": ("orchard", False)}
+
+
+@_query(f"""with {_sql_hits(_EXACT)}, {_sql_rank('exact', 'w0 > 0 and w1 > 0 and x0 = 0', ['w0', 'w1'], [], ['of', 'the', 'la'], 200, 50, False)},
+{_sql_quotes(dict(list(_EXACT.items())[:2]), ['of', 'the', 'la'], ['orchard'])} {_BEST.format('select * from exact union all select * from quotes')}""")
 def search_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole search: pages and quotes, ranked together, with excerpts."""
-    return _results(run_search(spark, sf_dir, '"wooden bridge" library -orchard'))
+    """The whole search: pages and quotes that hold a phrase and a beginning, and not a word, ranked together."""
+    return _results(run_search(spark, sf_dir, '"of the" la -orchard'))
 
 
-@_query()
+_LOOSE = {"w0": ("katrefaforum", False), "w1": ("lanterrn", False), "w2": ("βιβλιοθηκη", False)}
+
+
+@_query(f"""with {_sql_hits(_LOOSE)}, {_sql_rank('loose', 'w0 + w1 + w2 > 0', list(_LOOSE), [], ['katrefaforum', 'lanterrn', 'βιβλιοθηκη'], 40, 10, True)} {_BEST.format('select * from loose')}""")
 def search_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query without enough exact results, topped up by looser ones."""
+    """A query without exact results, answered by pages that hold any of its words."""
     return _results(run_search(spark, sf_dir, "katrefaforum lanterrn βιβλιοθηκη"))
 
 
+@_query()
+def search_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search with its excerpts and highlights."""
+    return _excerpts(run_search(spark, sf_dir, '"of the" la -orchard'))
+
+
 @_query(f"""with c as (select * from pages where flags & 4 != 0 and last_visit >= {NOW - 90 * DAY} order by last_visit desc, id limit 200)
 select id, round(0.25 * exp(-greatest(0, {NOW} - last_visit) / ({DAY} * 45.0)) + 0.08 * ln(1 + greatest(0, visit_count)) + 0.2, 6) as score from c""")
 def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,14 +489,66 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("url", X.content_hash(*(F.col(c) for c in ("title", "headings", "description", "body"))).alias("content_hash"))
 
 
-@_query("""with d as (select url, text, sha256(text) as h, captured_at, row_number() over (partition by url order by captured_at desc, doc_id) as k from documents)
-select d.url, d.h as content_hash from d where k = 1 and not exists (select 1 from pages p where p.url = d.url and p.content_hash = d.h and p.flags & 2 <> 0)""")
+def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as captured texts."""
+    return table(spark, sf_dir, "documents").select(
+        "url", "title", F.lit("").alias("headings"), F.lit("").alias("description"), F.col("text").alias("body"), "lang", F.sha2("text", 256).alias("content_hash"),
+        F.unix_millis(F.col("captured_at").cast("timestamp")).cast("double").alias("at"),
+    )
+
+
+_CAPTURED = f"""d as (select u, arg_max(h, k) as h, arg_max(t, k) as t, arg_max(l, k) as l, max(epoch_us(captured_at) // 1000) as at_ms, arg_max(b, k) as b
+  from (select {_NORM} as u, sha256(text) as h, substring(coalesce(title, ''), 1, 2000) as t, coalesce(lang, '') as l, substring(text, 1, 50000) as b, captured_at, struct_pack(c := captured_at, d := doc_id) as k from documents where {_VALID}) group by u),
+todo as (select d.* from d where not exists (select 1 from pages p where p.url = d.u and p.content_hash = d.h and p.flags & 2 <> 0))"""
+
+
+@_query(f"""with {_CAPTURED} select coalesce(p.url, u) as url, case when t <> '' then t else coalesce(p.title, '') end as title, case when u is null then p.flags else coalesce(p.flags, 0) | 2 end as flags,
+  case when u is null then coalesce(p.lang, '') else substring(l, 1, 35) end as lang, case when u is null then p.content_hash else h end as content_hash, case when u is null then p.content_indexed_at else at_ms end as content_indexed_at,
+  coalesce(p.visit_count, 0) as visit_count from pages p full join todo on p.url = todo.u""")
 def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured documents whose text the archive does not have yet."""
-    d = table(spark, sf_dir, "documents")
-    last = d.withColumn("k", F.row_number().over(Window.partitionBy("url").orderBy(F.desc("captured_at"), "doc_id"))).where("k = 1")
-    known = table(spark, sf_dir, "pages").where(S.has_flag(F.col("flags"), S.CONTENT)).select("url", "content_hash")
-    return last.select("url", F.sha2("text", 256).alias("content_hash")).join(known, ["url", "content_hash"], "left_anti")
+    """The pages after every document was captured; texts whose hash is known change nothing."""
+    state, _ = A.upsert_content(archive(spark, sf_dir), _captured(spark, sf_dir))
+    return state.pages.select("url", "title", "flags", F.coalesce("lang", F.lit("")).alias("lang"), "content_hash", "content_indexed_at", "visit_count")
+
+
+@_query(f"""with {_CAPTURED}, after as (select coalesce(p.url, u) as url, case when t <> '' then t else coalesce(p.title, '') end as title, u, p.id as old, b from pages p full join todo on p.url = todo.u),
+texts as (select a.url, a.title, coalesce(case when u is null then c.headings else '' end, '') as headings, coalesce(case when u is null then c.description else '' end, '') as description, case when u is null then c.body else b end as body
+  from after a left join contents c on c.page_id = a.old),
+w as (select url, unnest(list_concat({_TOKENS.format('title')}, {_TOKENS.format('headings')}, {_TOKENS.format('description')}, {_TOKENS.format('body')})) as term from texts)
+select term, count(distinct url) as doc, count(*) as cnt from w group by term""")
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of a kept index after all documents were captured: a first segment, and one for what changed."""
+    root = scratch_path(spark, "index-update")
+    snapshot.write_snapshot(archive(spark, sf_dir), root)
+    base = snapshot.open_snapshot(spark, root)
+    state, _ = A.upsert_content(base.archive, _captured(spark, sf_dir))
+    snapshot.write_snapshot(state, root, base=base)
+    return snapshot.read_index(spark, snapshot.read_manifest(spark, root), "pages").vocabulary
+
+
+@_query(f"""select {_NORM} as url, regexp_extract({_NORM}, '^https?://([^/:?#]*)', 1) as domain, substring(coalesce(title, ''), 1, 2000) as page_title, substring(text, 1, 5000) as text, length(text) > 5000 as truncated,
+  epoch_us(captured_at) // 1000 as created_at from documents where {_VALID} and text <> ''""")
+def add_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as quotes."""
+    batch = table(spark, sf_dir, "documents").select("url", F.col("title").alias("page_title"), "text", F.lit(None).cast("string").alias("fragment"), F.unix_millis(F.col("captured_at").cast("timestamp")).cast("double").alias("created_at"))
+    a = archive(spark, sf_dir)
+    empty = A.Archive(a.pages, a.contents, a.snippets.where(F.lit(False)))
+    return A.add_snippets(empty, batch).snippets.select("url", "domain", "page_title", "text", "truncated", "created_at")
+
+
+@_query("select id, url, text from snippets where not truncated and id not in (select min(id) from snippets group by url, text, created_at having count(*) > 1)")
+def delete_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes left after those that were cut and one of each that was imported twice are deleted."""
+    a = archive(spark, sf_dir)
+    twice = a.snippets.groupBy("url", "text", "created_at").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("id")
+    return A.delete_snippets(a, a.snippets.where("truncated").select("id").unionByName(twice)).snippets.select("id", "url", "text")
+
+
+@_query("select 0 as pages, 0 as texts, 0 as quotes, count(*) as deleted_pages, 0 as kept_saved from pages")
+def delete_everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, summary = A.delete_everything(archive(spark, sf_dir))
+    n = lambda df: df.agg(F.count("*").alias("n")).scalar()
+    return summary.select(n(state.pages).alias("pages"), n(state.contents).alias("texts"), n(state.snippets).alias("quotes"), "deleted_pages", "kept_saved")
 
 
 @_query(f"""with b as (select distinct {_NORM} as u from (select url from pages where id in (select page_id from contents where headings <> '')))
@@ -462,9 +582,33 @@ def import_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("snippets", state.snippets.agg(F.count("*").alias("snippets")).scalar())
 
 
+@_query(f"""with g as (select {_NORM} as u, min(first_seen) as first_seen, max(last_visit) as last_visit, max(visit_count) as visit_count, max(typed_count) as typed_count, bit_or(flags) as flags from pages group by 1)
+select u as url, first_seen, last_visit, visit_count, typed_count, flags from g""")
+def import_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive exported as JSON and read into an empty one."""
+    from pagecask.sources import exchange
+
+    a, folder = archive(spark, sf_dir), scratch_path(spark, "export")
+    exchange.write_export(a, folder)
+    none = F.lit(False)
+    state, _ = exchange.import_export(A.Archive(a.pages.where(none), a.contents.where(none), a.snippets.where(none)), folder)
+    return state.pages.select("url", "first_seen", "last_visit", "visit_count", "typed_count", "flags")
+
+
 # --- reports -------------------------------------------------------------------------
 
 
+@_query("select page_id, bytes from contents")
+def content_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-8 bytes of the three texts, counted again."""
+    return table(spark, sf_dir, "contents").select("page_id", X.text_bytes(F.col("headings"), F.col("description"), F.col("body")).alias("bytes"))
+
+
+@_query("select domain, quantile_disc(visit_count, 0.5) as p50, quantile_disc(visit_count, 0.95) as p95, max(visit_count) as max from pages group by domain")
+def visit_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.nearest_rank(table(spark, sf_dir, "pages"), "visit_count", [0.5, 0.95], ["domain"])
+
+
 @_query("""select domain, count(*) as pages, count(*) filter (where flags & 4 <> 0) as saved, count(*) filter (where flags & 2 <> 0) as with_content, coalesce(sum(bytes), 0) as bytes,
   max(greatest(last_visit, coalesce(content_indexed_at, 0))) as last_activity from pages p left join contents c on c.page_id = p.id group by domain""")
 def domain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,9 +646,78 @@ def reconcile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy(start.cast("long").alias("window_start")).agg(F.count("*").alias("rows"), F.count_if(ok).alias("processed"), F.count_distinct("url").alias("urls"))
 
 
-@_query(r"""select id, case when not regexp_matches(domain, '\.') or regexp_matches(domain, '^[0-9.]+$') then 'ineligible' when regexp_replace(domain, '^www\.', '') = 'katrefaforum.example' or domain like '%.katrefaforum.example' then 'excluded' end as reason from pages""")
+_INELIGIBLE = r"not regexp_matches(domain, '\.') or regexp_matches(domain, '^[0-9.]+$') or regexp_matches(domain, '\.(local|localdomain|internal|lan|home|corp)$')"
+_GATE = rf"""case when {_INELIGIBLE} then 'ineligible' when id % 7 = 0 then 'incognito' when regexp_replace(domain, '^www\.', '') = 'katrefaforum.example' or domain like '%.katrefaforum.example' then 'excluded'
+  when id % 5 = 0 then 'no-permission' end"""
+
+
+@_query(f"""select 'open' as mode, id, {_GATE} as gate from pages union all select 'off', id, 'disabled' from pages union all select 'paused', id, 'paused' from pages union all select 'revoked', id, 'no-consent' from pages""")
 def capture_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("id", U.capture_reason(F.col("url"), ["katrefaforum.example"]).alias("reason"))
+    """The first reason against capturing each page, by the state of the pipeline."""
+    from dataclasses import replace
+
+    from pagecask.streaming.pipeline import capture_gates as gates
+    from pagecask.streaming.state import PipelineState
+
+    open_ = replace(PipelineState().granted().excluding("katrefaforum.example"), deep_enabled=True)
+    states = {"open": open_, "off": replace(open_, deep_enabled=False), "paused": replace(open_, settings=replace(open_.settings, paused=True)), "revoked": open_.revoked()}
+    batch = table(spark, sf_dir, "pages").select("id", "url", (F.col("id") % 7 == 0).alias("incognito"), (F.col("id") % 5 != 0).alias("permitted"))
+    parts = [gates(state, batch).select(F.lit(mode).alias("mode"), "id", "gate") for mode, state in states.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _pipeline(spark: SparkSession, state: A.Archive, name: str, window_ms: int | None = None, **told):
+    """A pipeline over a new snapshot of ``state``."""
+    from dataclasses import replace
+
+    from pagecask.streaming.pipeline import WINDOW_MS, Pipeline
+    from pagecask.streaming.state import PipelineState
+
+    root = scratch_path(spark, name)
+    snapshot.write_snapshot(state, root, extra={"state": replace(PipelineState().granted(), **told).dumps()})
+    return Pipeline(spark, root, lambda: NOW, window_ms or WINDOW_MS)
+
+
+_UPSERTED = "url, title, first_seen, last_visit, visit_count, typed_count, flags"
+
+
+def _sql_upserted(where: str) -> str:
+    """History merged into the pages, of the visits that satisfy ``where``."""
+    return f"""with v as (select *, {_NORM} as u, {_SEQ} as seq from visit_items where {_VALID} and {where}),
+s as (select u, arg_min(floor(last_visit_time + 0.5)::bigint, seq) as first_at, max(floor(last_visit_time + 0.5)::bigint) as last_at, arg_max(coalesce(visit_count, 1), seq) as visits,
+  arg_max(coalesce(typed_count, 0), seq) as typed, arg_max(substring(title, 1, 2000), seq) filter (where coalesce(title, '') <> '') as t from v group by u)
+select coalesce(p.url, s.u) as url, case when s.t is not null then s.t when p.url is null then '' else p.title end as title, coalesce(p.first_seen, s.first_at) as first_seen,
+  greatest(p.last_visit, s.last_at) as last_visit, case when s.u is not null then s.visits else p.visit_count end as visit_count,
+  case when s.u is not null then s.typed else p.typed_count end as typed_count, case when s.u is not null then coalesce(p.flags, 0) | 1 else p.flags end as flags
+from pages p full join s on p.url = s.u"""
+
+
+_SINCE = NOW - 30 * DAY
+
+
+@_query(_sql_upserted(f"last_visit_time >= {_SINCE - DAY} and last_visit_time < {NOW + 1}"))
+def reconcile_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages after a reconcile a month after the last one: visits from a day before it on are read again."""
+    from pagecask.streaming.state import ImportState
+
+    pipe = _pipeline(spark, archive(spark, sf_dir), "reconcile", history=ImportState(status="complete"), last_reconcile_at=_SINCE)
+    assert pipe.reconcile(table(spark, sf_dir, "visit_items")) == "done"
+    return pipe.archive().pages.select(*_UPSERTED.split(", "))
+
+
+_WINDOW = 180 * DAY
+
+
+@_query(f"""with v as (select {_NORM} as u, floor(last_visit_time + 0.5)::bigint as t_ms, title, coalesce(visit_count, 1) as vc, coalesce(typed_count, 0) as tc,
+  struct_pack(w := ceil(({NOW + 1} - last_visit_time) / {_WINDOW})::bigint, s := {_SEQ}) as k from visit_items where {_VALID} and last_visit_time < {NOW + 1})
+select v.u as url, coalesce(arg_max(substring(title, 1, 2000), k) filter (where coalesce(title, '') <> ''), '') as title, arg_min(t_ms, k) as first_seen, max(t_ms) as last_visit, arg_max(vc, k) as visit_count, arg_max(tc, k) as typed_count, 1 as flags
+from v group by v.u""")
+def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of an archive that was empty before the import, half a year at a time, newest first."""
+    a, none = archive(spark, sf_dir), F.lit(False)
+    pipe = _pipeline(spark, A.Archive(a.pages.where(none), a.contents.where(none), a.snippets.where(none)), "backfill", _WINDOW)
+    assert pipe.run_import(table(spark, sf_dir, "visit_items")) == "complete"
+    return pipe.archive().pages.select(*_UPSERTED.split(", "))
 
 
 # --- display, extraction, live visits, relevance ---------------------------------------
@@ -548,45 +761,55 @@ def _as_html(pages: DataFrame, contents: DataFrame) -> DataFrame:
     ).alias("html"))
 
 
-@_query()
+_BLANK = r"[\x00-\x20\x7f-\xa0\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
+
+
+def _sql_clean(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_BLANK}+', ' ', 'g'))"
+
+
+@_query(f"""with t as (select p.id, {_sql_clean("replace(coalesce(headings, ''), ' · ', ' ') || ' ' || coalesce(body, '')")} as x, {_sql_clean("coalesce(title, '')")} as title,
+  {_sql_clean("coalesce(description, '')")} as description, {_sql_clean("coalesce(headings, '')")} as headings, coalesce(lang, '') as lang from pages p join contents c on c.page_id = p.id),
+w as (select id, unnest(string_split(x, ' ')) as w, generate_subscripts(string_split(x, ' '), 1) as k from t),
+r as (select *, k - row_number() over (partition by id, w order by k) as run from w),
+n as (select id, w, min(k) as k, count(*) as n from r group by id, w, run),
+b as (select id, string_agg(case when n >= 4 and length(w) <= 40 then w else array_to_string(list_transform(range(n), lambda i: w), ' ') end, ' ' order by k) as body from n group by id)
+select id, case when length(body) < 200 then 'too-little-text' end as reason, case when length(body) >= 200 then substring(title, 1, 500) end as title, case when length(body) >= 200 then substring(description, 1, 1000) end as description,
+  case when length(body) >= 200 then substring(headings, 1, 5000) end as headings, case when length(body) >= 200 then substring(body, 1, 50000) end as body, case when length(body) >= 200 then substring(lang, 1, 35) end as lang,
+  length(body) > 50000 as truncated from t join b using (id)""")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored page written as HTML and extracted again."""
     return extract_pages(_as_html(table(spark, sf_dir, "pages"), table(spark, sf_dir, "contents")))
 
 
-@_query()
+_MARKS = "len([x for x in {0} if x = 'wooden' or starts_with(x, 'lantern')])"
+
+
+@_query(f"select id, {_MARKS.format(_TOKENS.format('body'))} > 0 as has_excerpt, least(50, {_MARKS.format(_TOKENS.format('title'))}) as n_title_highlights from pages join contents on page_id = id")
 def snippet_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts and title highlights of every page for one query."""
+    """Whether every page has an excerpt for one query, and the marks of its title."""
     q = parse_query("wooden lantern", NOW)
     joined = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "contents").withColumnRenamed("page_id", "id"), "id")
     e = joined.select("id", excerpts(F.col("body"), q.terms, len(q.terms) - 1).alias("e"), highlight_spans(F.col("title"), q.terms, len(q.terms) - 1).alias("marks"))
-    return e.select("id", F.col("e.text").alias("excerpt"), F.size("e.highlights").alias("n_highlights"), F.size("marks").alias("n_title_highlights"))
+    return e.select("id", F.col("e.text").isNotNull().alias("has_excerpt"), F.size("marks").cast("long").alias("n_title_highlights"))
 
 
-@_query(f"""select url, max(floor(last_visit_time + 0.5)::bigint) as last_visit, count(*) as visits from (select {_NORM} as url, last_visit_time from visit_items where {_VALID}) group by url""")
+@_query(_sql_upserted("true"))
 def visit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All visits through Structured Streaming: every micro-batch is merged by address and added to the table so far."""
-    import uuid
-
+    """The pages after all visits came through Structured Streaming, a micro-batch at a time."""
     from pagecask.streaming.pipeline import VISIT_SCHEMA
 
-    root = f"{shared_folder(spark)}/visit-stream-{uuid.uuid4().hex}"
+    pipe = _pipeline(spark, archive(spark, sf_dir), "visit-stream")
     source = spark.readStream.schema(VISIT_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/visit_items.parquet*")
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        merged = batch.withColumn("url", U.normalized_url(F.col("url"))).where(F.col("url").isNotNull())
-        merged.groupBy("url").agg(F.max(X.half_up(F.col("last_visit_time"))).alias("last_visit"), F.count("*").alias("visits")).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-
-    query = source.writeStream.foreachBatch(add).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{root}/out").groupBy("url").agg(F.max("last_visit").alias("last_visit"), F.sum("visits").alias("visits"))
+    pipe.stream_visits(source, f"{pipe.root}-checkpoint", once=True).awaitTermination()
+    return pipe.archive().pages.select(*_UPSERTED.split(", "))
 
 
 @_query(f"""with own as (select id, last_visit, unnest(list_distinct({_TOKENS.format('title')})) as term from pages where title <> ''),
 df as (select term, count(*) as df from own group by term), q as (select id, arg_min(term, struct_pack(d := df, t := term)) as term from own join df using (term) group by id),
 placed as (select id, term, row_number() over (partition by term order by last_visit desc, id) as place from own)
-select 'rarest title word' as kind, count(*) as n, avg((coalesce(place, 1e9) <= 1)::int) as hit1, avg((coalesce(place, 1e9) <= 5)::int) as hit5, avg(coalesce(1.0 / place, 0)) as mrr
-from pages p left join (select q.id, place from q join placed using (id, term)) f using (id) where title <> ''""")
+select kind, count(*) as n, avg((coalesce(place, 1e9) <= 1)::int) as hit1, avg((coalesce(place, 1e9) <= 5)::int) as hit5, avg(coalesce(1.0 / place, 0)) as mrr, 0.0::double as suggestion_rate
+from pages p left join (select q.id, place from q join placed using (id, term)) f using (id), (values ('rarest title word'), ('total')) k(kind) where title <> '' group by kind""")
 def relevance_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hit@1, hit@5 and MRR of finding every page by its rarest title word, latest first.
 
@@ -602,8 +825,8 @@ def relevance_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = running_total(in_ranges(own, order, "title-words"), order, F.lit(1), "position").select("id", "term", "position")
     first = counted.groupBy("term").agg(F.min("position").alias("first"))
     found = counted.join(query, ["id", "term"]).join(first, "term").select("id", (F.col("position") - F.col("first") + 1).alias("place"))
-    return S.relevance(pages.join(found, "id", "left").select(F.lit("rarest title word").alias("kind"), "place"))
+    return S.relevance(pages.join(found, "id", "left").select(F.lit("rarest title word").alias("kind"), "place", F.lit(False).alias("suggested")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(run_search(spark, sf_dir, "wooden lantern"))
+    return _excerpts(run_search(spark, sf_dir, "wooden lantern"))

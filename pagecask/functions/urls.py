@@ -130,7 +130,7 @@ def capture_reason(url: Column, excluded: list[str] | None = None) -> Column:
     host = F.lower(F.regexp_extract(url, r"^(?i:https?)://(?:[^@/?#]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
     public = (
         url.rlike(r"^(?i:https?)://") & ~url.rlike(r"^[^/]+//[^/?#]*@") & host.rlike(r"\.") & ~host.rlike(r"^\[") & ~host.rlike(r"^[0-9.]+$")
-        & ~host.rlike(r"(?:^|\.)(?:localhost|local|internal|intranet|lan|home|corp|test|localdomain)$") & ~host.rlike(r"\.home\.arpa$")
+        & ~host.rlike(r"\.(?:local|localdomain|internal|lan|home|corp)$")  # fixed values: names of private networks
     )
     bare = F.regexp_replace(host, r"^www\.", "")
     reason = F.when(~F.coalesce(public, F.lit(False)), "ineligible")

@@ -18,6 +18,16 @@ LEAST_TEXT = 200
 # Elements without content of the page, elements that end a line, elements without an end tag.
 SKIPPED = set("script style noscript template iframe object embed svg canvas video audio nav aside footer header form select option button input textarea dialog".split())
 BLOCKS = set("p div section article main li ul ol tr table h1 h2 h3 h4 h5 h6 blockquote pre br figure figcaption dd dt dl summary details".split())
+# Elements that an open element is ended by, and the ancestors beyond which this does not reach.
+ENDS = {
+    "p": set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
+    "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"}, "head": {"body"},
+}
+SCOPES = {
+    "p": {"button", "table", "td", "th", "object", "template", "html"}, "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
+    "thead": {"table"}, "tbody": {"table"}, "option": {"select", "datalist"}, "optgroup": {"select"}, "head": {"html"},
+}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f​-‏ -‮⁠-⁯﻿]")
 _REPEATED = re.compile(r"(^|\s)(\S{1,40})(?:\s+\2){3,}(?=\s|$)")
@@ -61,8 +71,26 @@ class _Reader(HTMLParser):
         if self.inside:
             self.texts[True].append(text)
 
+    def _end_implied(self, tag: str) -> None:
+        """Ends the open elements that ``tag`` ends without an end tag of theirs."""
+        again = True
+        while again:
+            again = False
+            for open_, ended_by in ENDS.items():
+                if tag not in ended_by:
+                    continue
+                for k in range(len(self.stack) - 1, -1, -1):
+                    name = self.stack[k][0]
+                    if name == open_:
+                        del self.stack[k:]
+                        again = True
+                        break
+                    if name in SCOPES[open_]:
+                        break
+
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         attrs = dict(attributes)
+        self._end_implied(tag)
         if tag == "html":
             self.lang = self.lang or (attrs.get("lang") or "")
         elif tag == "meta":

@@ -61,11 +61,21 @@ def addresses(batch: DataFrame, column: str = "url") -> DataFrame:
     return batch.select(normalized_url(F.col(column)).alias("url")).where(F.col("url").isNotNull())
 
 
+def capture_gates(state: PipelineState, batch: DataFrame) -> DataFrame:
+    """``batch`` (url, html, incognito, permitted, at) with ``gate``: null, or the first reason against a capture."""
+    closed = "disabled" if not state.deep_enabled else "no-consent" if not state.allowed else "paused" if state.settings.paused else None
+    if closed:
+        return batch.withColumn("gate", F.lit(closed))
+    own, excluded = capture_reason(F.col("url")), capture_reason(F.col("url"), list(state.excluded))
+    gate = F.when(own.isNotNull(), own).when(F.col("incognito"), "incognito").when(excluded.isNotNull(), excluded).when(~F.col("permitted"), "no-permission")
+    return batch.withColumn("gate", gate)
+
+
 class Pipeline:
-    """One writer over one snapshot folder."""
+    """One writer over one snapshot folder; the import goes by windows of ``window_ms``."""
 
-    def __init__(self, spark: SparkSession, root: str, now: Callable[[], int]) -> None:
-        self.spark, self.root, self.now = spark, root, now
+    def __init__(self, spark: SparkSession, root: str, now: Callable[[], int], window_ms: int = WINDOW_MS) -> None:
+        self.spark, self.root, self.now, self.window_ms = spark, root, now, window_ms
         ship(spark)
 
     @property
@@ -112,7 +122,7 @@ class Pipeline:
         while h.next_end > h.range_start:
             if stop():
                 return "stopped"
-            start = max(h.range_start, h.next_end - WINDOW_MS)
+            start = max(h.range_start, h.next_end - self.window_ms)
             archive, base, processed, skipped = self._import(visits, start, h.next_end)
             h = replace(h, next_end=start, processed=h.processed + processed, skipped=h.skipped + skipped, windows=h.windows + 1)
             state = replace(state, history=h)
@@ -171,14 +181,7 @@ class Pipeline:
         self.save(archive, state, base)
 
     def capture_reasons(self, batch: DataFrame) -> DataFrame:
-        """``batch`` (url, html, incognito, permitted, at) with ``gate``: null, or the first reason against a capture."""
-        s = self.state
-        closed = "disabled" if not s.deep_enabled else "no-consent" if not s.allowed else "paused" if s.settings.paused else None
-        if closed:
-            return batch.withColumn("gate", F.lit(closed))
-        own, excluded = capture_reason(F.col("url")), capture_reason(F.col("url"), list(s.excluded))
-        gate = F.when(own.isNotNull(), own).when(F.col("incognito"), "incognito").when(excluded.isNotNull(), excluded).when(~F.col("permitted"), "no-permission")
-        return batch.withColumn("gate", gate)
+        return capture_gates(self.state, batch)
 
     @retried
     def take_pages(self, batch: DataFrame, batch_id: int = 0) -> None:

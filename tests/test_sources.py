@@ -21,6 +21,17 @@ def test_extract():
     assert got == {"reason": None, "title": "A title", "description": "Said", "headings": "One · Two three", "body": "One First Two three text more", "lang": "el", "truncated": False}
 
 
+def test_elements_that_end_without_an_end_tag():
+    body = lambda html: extract(html, least=0)["body"]
+    assert body("<p hidden>secret<p>visible text") == "visible text"
+    assert body("<ul><li hidden>no<li>yes<ul><li hidden>no<li>inner</ul><li>last</ul>after") == "yes inner last after"
+    assert body("<table><tr><td hidden>no<td>yes<tr hidden><td>no<tr><td>more</table>") == "yes more"
+    assert body("<dl><dt hidden>no<dd>yes<dt>term</dl>") == "yes term"
+    assert body("<p hidden>no<div>yes</div>") == "yes" and body("<div hidden><p>no<p>no</div>yes") == "yes"
+    assert body("<p hidden><table><tr><td><p>cell</table>") == "cell"
+    assert body("<head><title>t</title><body>yes") == "yes"
+
+
 def test_reasons():
     assert extract(None)["reason"] == "too-little-text" and extract("<p>a", content_type="application/pdf")["reason"] == "not-html"
     assert extract('<input type="password"><p>x')["reason"] == "password-field" and extract('<input autocomplete="cc-number">')["reason"] == "payment-field"
