@@ -19,7 +19,7 @@ from pagecask.operators.snippets import excerpts, highlight_spans
 from pagecask.plans.query import parse_query
 from pagecask.sources.html import extract_pages
 from pagecask.sources import snapshot
-from pagecask.sources.scratch import scratch_path, shared_folder
+from pagecask.sources.scratch import scratch_path, shared_folder, written
 
 #: The moment all queries are asked at, and the user's minutes east of UTC.
 NOW, TZ = 1_791_028_800_000, 180
@@ -828,5 +828,17 @@ def relevance_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.relevance(pages.join(found, "id", "left").select(F.lit("rarest title word").alias("kind"), "place", F.lit(False).alias("suggested")))
 
 
+@_query()
+def relevance_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hit@1, hit@5, MRR and suggestion rate of whole searches, by seven kinds of query, over the synthetic archive."""
+    from pagecask.operators import evaluation
+    from pagecask.sources import synthetic
+
+    pages, contents = (written(t, "corpus") for t in synthetic.corpus(spark, 1000, NOW))
+    quotes = table(spark, sf_dir, "snippets").where(F.lit(False))
+    asked = evaluation.labelled_queries(pages, contents, 2)
+    return evaluation.evaluate(pages, contents, quotes, asked, NOW, I.page_index(pages, contents), I.snippet_index(quotes))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _excerpts(run_search(spark, sf_dir, "wooden lantern"))

@@ -11,10 +11,14 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,6 +29,7 @@ from pagecask.operators.snippets import excerpts, highlight_spans
 from pagecask.plans.query import DAY_MS, Query
 from pagecask.sources.scratch import written
 
+T = TypeVar("T")
 HISTORY, CONTENT, SAVED = 1, 2, 4
 K1, B = 1.2, 0.75
 CANDIDATES, RELAXED, SUBSTRING = 200, 40, 20
@@ -40,9 +45,16 @@ def has_flag(flags: Column, bit: int) -> Column:
     return flags.bitwiseAND(bit) != 0
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """``df``, which is cut to a fixed number of rows, computed once and held by the driver."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+def held(df: DataFrame) -> tuple[DataFrame, list[Row]]:
+    """``df``, which is cut to a fixed number of rows, computed once and held by the driver; and its rows."""
+    rows = df.collect()
+    return df.sparkSession.createDataFrame(rows, df.schema), rows
+
+
+def at_once(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
+    """The results of steps that need not wait for each other."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
 
 
 def picked(column: Column, values: list) -> Column:
@@ -159,9 +171,9 @@ def rank_pages(candidates: DataFrame, contents: DataFrame, q: Query, now: int, *
         "pre", base_score(norm, title_url_hit(terms, title, F.lower("url")), F.col("last_visit"), F.col("visit_count"), has_flag(F.col("flags"), SAVED), now)
     ).withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("pre"), F.desc("last_visit"), "url")))
     if matched:
-        pre = pinned(pre)
+        pre, rows = held(pre)
         most = RELAXED_EXCERPTS if approximate else EXCERPTS
-        ids = [r.id for r in pre.where(F.col("place") <= most).select("id").collect()]
+        ids = [r.id for r in rows if r.place <= most]
         texts = contents.where(picked(F.col("page_id"), ids)).select(F.col("page_id").alias("id"), "headings", "description", "body")
         best = pre.where(F.col("place") <= most).join(F.broadcast(texts), "id", "left")  # EXCERPTS texts at most
         own = [excerpts(F.col(c), terms, open_term) for c in ("body", "description", "headings")]
@@ -286,34 +298,43 @@ def find(
     if not q.asks:
         nothing = pages.limit(0).withColumn("strength", F.lit(0.0))
         return done(rank_pages(nothing, contents, Query(saved=True), now, matched=False, approximate=False))
-    with_pages, words = not q.snippets or q.saved, any_words(q)
-    parts, loose_matches, have = [], None, 0
-    pi = (page_idx or page_index(pages, contents)) if with_pages and (q.phrases or q.excluded) else None
-    if with_pages and q.phrases:
-        exact_matches, *rest = bm25_groups(pi, [(all_phrases(q), True), *([(words, False)] if words else [])], q.excluded)
-        loose_matches = rest[0] if rest else None
-        chosen = pinned(page_candidates(pages, pi, q, matches=exact_matches))
-        have += chosen.count()
-        parts.append(rank_pages(chosen, contents, q, now, matched=True, approximate=False))
-    elif with_pages:
-        parts.append(rank_pages(page_candidates(pages, pi, q, matches=None), contents, q, now, matched=False, approximate=False))
-    if q.snippets or not q.saved:
-        si = (snippet_idx or snippet_index(snippets)) if q.phrases or q.excluded else None
-        quotes = pinned(snippet_candidates(snippets, si, q))
-        have += quotes.count()
-        parts.append(rank_snippets(quotes, q, now))
-    exact = reduce(DataFrame.unionByName, parts)
+    with_pages, with_quotes, words = not q.snippets or q.saved, q.snippets or not q.saved, any_words(q)
+    searched = bool(q.phrases or q.excluded)
+    pi = (page_idx or page_index(pages, contents)) if with_pages and searched else None
+    si = (snippet_idx or snippet_index(snippets)) if with_quotes and searched else None
+
+    def of_pages() -> tuple[DataFrame | None, int, DataFrame | None]:
+        """Ranked pages, how many, and the matches of any word."""
+        if not with_pages:
+            return None, 0, None
+        if not q.phrases:
+            return rank_pages(page_candidates(pages, pi, q, matches=None), contents, q, now, matched=False, approximate=False), 0, None
+        exact, *rest = bm25_groups(pi, [(all_phrases(q), True), *([(words, False)] if words else [])], q.excluded)
+        chosen, rows = held(page_candidates(pages, pi, q, matches=exact))
+        return rank_pages(chosen, contents, q, now, matched=True, approximate=False), len(rows), rest[0] if rest else None
+
+    def of_quotes() -> tuple[DataFrame | None, int]:
+        if not with_quotes:
+            return None, 0
+        quotes, rows = held(snippet_candidates(snippets, si, q))
+        return rank_snippets(quotes, q, now), len(rows)
+
+    (ranked, n_pages, loose_matches), (quotes, n_quotes) = at_once(pages.sparkSession, of_pages, of_quotes)
+    have = n_pages + n_quotes
+    exact = reduce(DataFrame.unionByName, [x for x in (ranked, quotes) if x is not None])
     if not q.phrases or not with_pages or have >= RELAX_BELOW:
         return done(exact)
-    exact = pinned(exact)  # fewer than RELAX_BELOW rows
-    loose = []
-    if loose_matches is not None:
-        found = pinned(page_candidates(pages, pi, q, matches=loose_matches, most=RELAXED))
-        have += found.count()
-        loose.append(rank_pages(found, contents, q, now, matched=True, approximate=True).withColumn("turn", F.lit(0)))
-    if have < RELAX_BELOW and (found := substring_candidates(pages, pi, q)) is not None:
-        loose.append(rank_pages(pinned(found), contents, q, now, matched=True, approximate=True).withColumn("turn", F.lit(1)))
-    instead = suggestions(pi.vocabulary, q)
+
+    def of_any_word() -> tuple[DataFrame | None, int]:
+        if loose_matches is None:
+            return None, 0
+        found, rows = held(page_candidates(pages, pi, q, matches=loose_matches, most=RELAXED))
+        return rank_pages(found, contents, q, now, matched=True, approximate=True).withColumn("turn", F.lit(0)), len(rows)
+
+    (exact, _), (near, n_near), instead = at_once(pages.sparkSession, lambda: held(exact), of_any_word, lambda: suggestions(pi.vocabulary, q))
+    loose = [near] if near is not None else []
+    if have + n_near < RELAX_BELOW and (found := substring_candidates(pages, pi, q)) is not None:
+        loose.append(rank_pages(held(found)[0], contents, q, now, matched=True, approximate=True).withColumn("turn", F.lit(1)))
     if not loose:
         return done(exact, instead)
     first = F.row_number().over(Window.partitionBy("kind", "id").orderBy("turn"))
@@ -339,13 +360,11 @@ def suggest(vocab: DataFrame, term: str, limit: int = 3, as_prefix: bool = False
 
 def suggestions(vocab: DataFrame, q: Query) -> list[tuple[str, str]]:
     """(word, replacement) for each unquoted single word of at least four letters that nothing contains."""
-    out = []
-    for k, p in enumerate(q.phrases):
-        if not p.quoted and len(p.tokens) == 1 and len(p.tokens[0]) >= 4:
-            best = suggest(vocab, p.tokens[0], 1, k == len(q.phrases) - 1).first()
-            if best:
-                out.append((p.tokens[0], best["term"]))
-    return out
+    asked = [(p.tokens[0], k == len(q.phrases) - 1) for k, p in enumerate(q.phrases) if not p.quoted and len(p.tokens) == 1 and len(p.tokens[0]) >= 4]
+    if not asked:
+        return []
+    best = [suggest(vocab, word, 1, prefix).select(F.lit(k).alias("k"), "term") for k, (word, prefix) in enumerate(asked)]
+    return [(asked[r.k][0], r.term) for r in reduce(DataFrame.unionByName, best).orderBy("k").collect()]
 
 
 def reciprocal_rank(place: Column) -> Column:
