@@ -1,14 +1,16 @@
 """Template residue and error-page text (problem 2).
 
-Each field is brought to one look; texts that can be nothing but notices have
-their site name, addresses, identifiers, dates and numbers masked, and equal
-masked sentences are grouped by an exact hash over all sources.  A message is a
+Each field is brought to one look, its site name, addresses, identifiers, dates
+and numbers are masked, and equal masked sentences are grouped by an exact hash
+over all sources; every sentence of every field is counted.  A message is a
 case if each of its sentences recurs in RECURRING_SHARE of all sources (at
 least RECURRING_SOURCES) or says by its cues that it is a notice or stands
-beside one, and one of them names a fault, a script, a check or a stand-in
-text.  Unfilled slots and filler paragraphs are found by placeholder rules.
-Texts of any length are read; a text is left as soon as a sentence of more than
-BESIDE_WORDS words has no cue, since then it is more than a notice.
+beside one, one of them names a fault, a script, a check or a stand-in text,
+and, if one without a cue has more than BESIDE_WORDS words, those without are
+no more than those with one: an article that several sites copy recurs as a
+notice does, but it says something else.  Unfilled slots and filler paragraphs are found by
+placeholder rules.  Texts that are no case by their own sentences, whatever
+recurs, are not sent on; their sentences are counted.
 
 Defined results
     null and empty fields are no case; a slot between quotes or backticks is
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pagecask.sources.scratch import written
 RECURRING_SHARE, RECURRING_SOURCES = 0.001, 3
 #: Share of a sentence's words that are cues from which it is a notice wherever it stands.
 COVERED = 0.5
-#: Most words of a sentence without a cue beside a notice.
+#: A sentence of more words is a long one; beside a long one without a cue, sentences without may not be more than those with one.
 BESIDE_WORDS = 12
 
 # The usual filler words.
@@ -76,6 +78,7 @@ _IDENT = re.compile(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b|\b[0-9a-f]{8}\b|\b[0-9a
 _DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b")
 _STATUS = re.compile(r"(?<![\w.,-])[45]\d\d(?![\w.,-])")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
+_FILE_SIGN, _INNER_DOT, _DIGIT = re.compile(r"/[\w.]|\.(?:p|js|htm)"), re.compile(r"\.[a-z]"), re.compile(r"\d")
 _SPLIT = re.compile(r"\n+|(?<=[.!?:])\s+")
 _TRIM = " \t.!?:;,…*–—-|·/\"'()«»[]"
 
@@ -112,11 +115,17 @@ def _site(domain: str) -> re.Pattern | None:
 
 def masked(text: str, domain: str) -> str:
     """Lower case; the site's name, addresses, files, identifiers, dates and numbers replaced by their kind."""
-    t = _HOST.sub("§", _FILE.sub("¤", text.lower()))
+    t = text.lower()
+    if _FILE_SIGN.search(t):
+        t = _FILE.sub("¤", t)
+    if _INNER_DOT.search(t):
+        t = _HOST.sub("§", t)
     site = _site(domain or "")
     if site:
         t = site.sub("§", t)
-    t = _NUMBER.sub("#", _STATUS.sub("‡", _DATE.sub("#", _IDENT.sub("¤", t))))
+    t = _IDENT.sub("¤", t)
+    if _DIGIT.search(t):
+        t = _NUMBER.sub("#", _STATUS.sub("‡", _DATE.sub("#", t)))
     return "\n".join(" ".join(line.split()) for line in t.split("\n")).strip()
 
 
@@ -143,16 +152,47 @@ _CUES = {
 _CUE = {name: re.compile(r"(?<![^\W_])(?:" + "|".join(words.split()) + r")(?![^\W_])") for name, words in _CUES.items()}
 #: Classes of which one must be named by a notice.
 TELLING = ("fault", "script", "check", "standin")
+_TELLS_NOT = frozenset(TELLING).isdisjoint
+
+
+def _last_word(cue: str) -> str:
+    """What matches the last word of a cue; every text with the cue has such a word."""
+    cue = re.sub(r"(\w+)-\?(\w+)", r"(?:\1)?\2", cue.removeprefix(r"\(").rsplit("'", 1)[-1])
+    depth, start = 0, 0
+    for k, c in enumerate(cue):
+        depth += (c == "(") - (c == ")")
+        if not depth and cue.startswith(r"\W", k):
+            start = k + 2
+    return cue[start:]
+
+
+_LAST_WORD = {name: re.compile("|".join(map(_last_word, words.split()))) for name, words in _CUES.items()}
+
+
+class _CueWords(dict):
+    """Of a word, the classes of which it can end a cue; remembers the words seen, up to a bound."""
+
+    def __missing__(self, word: str) -> frozenset[str]:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[word] = frozenset(name for name, last in _LAST_WORD.items() if last.fullmatch(word))
+        return out
+
+
+_CUE_WORDS = _CueWords()
 #: What may stand beside a notice: marks, numbers and the names of codes.
-_CODE_NAME = re.compile(r"\b(?:trace|ray|ticket|request|id|reference|ref|block reference|code|incident|status|vorgang|referencia|номер обращения|код|line|line no|minutes|seconds)\b")
+_CODE_NAMES = "trace|ray|ticket|request|id|reference|ref|block reference|code|incident|status|vorgang|referencia|номер обращения|код|line|line no|minutes|seconds"
+_CODE_NAME = re.compile(rf"\b(?:{_CODE_NAMES})\b")
+_CODE_WORDS = frozenset(re.findall(r"\w+", _CODE_NAMES)) | {"‡"}
 _SIGNS = re.compile(r"[§¤#‡\W_]+")
 _WORD_OR_MARK = re.compile(r"[^\W_]+|‡")
 _INTERJECTION = re.compile(r"sorry|hm+|whoops|oops|ouch|uh oh|notice|alert|attention|warning")
 _IDENTIFIER_FAULT = re.compile(r"\b[a-z]{3,}(?:error|exception)\b|\btraceback\b|\bstack trace\b")
 _STRUCTURE = re.compile(r"""(?:§\s+)?(?:\{"(?:error|message|status)":.*\}|traceback \(most recent call last\):.*|§ [-–—|·:] ‡)""", re.S)
-UNKNOWN, CUED, STRONG, BESIDE = 0, 1, 2, 3
+LONG, UNKNOWN, CUED, STRONG, BESIDE = -1, 0, 1, 2, 3
 
 
+@lru_cache(50_000)
 def sentence_kind(sentence: str) -> int:
     """What a masked sentence says by its cues: nothing, something if it recurs, a notice by itself, or a mere mark or number.
 
@@ -160,27 +200,30 @@ def sentence_kind(sentence: str) -> int:
     its words without function words, or all of them; if it is an identifier
     of a fault; or if one or two words are repeated throughout.
     """
-    if not _SIGNS.sub("", _CODE_NAME.sub("", sentence)):
+    words = _WORD_OR_MARK.findall(sentence)
+    if all(w in _CODE_WORDS for w in words) and not _SIGNS.sub("", _CODE_NAME.sub("", sentence)):
         return CUED if "‡" in sentence else BESIDE
     if _INTERJECTION.fullmatch(sentence):
         return BESIDE
-    letters = sum(map(str.isalpha, sentence))
-    if _IDENTIFIER_FAULT.search(sentence):
+    if ("error" in sentence or "exception" in sentence or "trace" in sentence) and _IDENTIFIER_FAULT.search(sentence):
         return STRONG
-    words = _WORD_OR_MARK.findall(sentence)
     if len(words) >= 3 and len(set(words)) <= 2 and max(map(len, words)) <= 5:
         return STRONG
-    content = [w for w in words if w not in STOP_WORDS and w not in ADDRESS and not _CODE_NAME.fullmatch(w)]
+    names = set().union(*map(_CUE_WORDS.__getitem__, words))
+    if "action" not in names and _TELLS_NOT(names):
+        names = ()
+    content = [] if not names else [w for w in words if w not in STOP_WORDS and w not in ADDRESS and not (w in _CODE_WORDS and _CODE_NAME.fullmatch(w))]
     named, covered = set(), set()
-    for name, cue in _CUE.items():
-        for m in cue.finditer(sentence):
+    for name in names:
+        for m in _CUE[name].finditer(sentence):
             named.add(name)
             covered.update(_WORD_OR_MARK.findall(m.group()))
     tells = any(name in named for name in TELLING)
     share = sum(w in covered for w in content) / len(content) if content else 1.0
     if tells and share >= COVERED and (len(named) > 1 or share == 1.0):
         return STRONG
-    if letters < 0.75 * len(sentence.replace(" ", "")):
+    all_words = "".join(words)
+    if (len(all_words) if all_words.isalpha() else sum(map(str.isalpha, sentence))) < 0.75 * len(sentence.replace(" ", "")):
         return BESIDE if not tells else STRONG  # code rather than words
     if tells:
         return CUED
@@ -191,103 +234,108 @@ def sentences(message: str) -> list[str]:
     return [p.strip(_TRIM + "§") or "§" for p in _SPLIT.split(message)]
 
 
-def may_be_notice(look: str) -> bool:
-    """Whether a text can be nothing but notices: one sentence has a cue and none without is longer than BESIDE_WORDS."""
-    told = False
-    start, low = 0, look.lower()
-    for m in [*_SPLIT.finditer(low), None]:
-        sentence = low[start : m.start() if m else len(low)]
-        if m:
-            start = m.end()
-        cued = any(_CUE[name].search(sentence) for name in TELLING) or bool(_STATUS.search(sentence)) or _repeats(sentence)
-        if not cued and sentence.count(" ") >= BESIDE_WORDS and len(sentence.split()) > BESIDE_WORDS:
-            return False
-        told |= cued
-    return told
+def may_be_notice(message: str) -> bool:
+    """Whether the sentences with a cue that tells may be enough; words alone are looked up. If not, a text is no case, whatever recurs."""
+    low = message.lower()
+    if _STRUCTURE.fullmatch(low) or _STATUS.search(low):
+        return True
+    own = sentences(low)
+    rest = [p for p in own if not _may_tell(p)]
+    return len(rest) < len(own) and not _outweighed(map(_kind_or_long, rest), len(own) - len(rest))
+
+
+def _kind_or_long(sentence: str) -> int:
+    kind = sentence_kind(sentence)
+    return LONG if kind == UNKNOWN and sentence.count(" ") >= BESIDE_WORDS else kind
 
 
-def _repeats(sentence: str) -> bool:
-    words = sentence.split()
-    return len(words) >= 3 and len(set(words)) <= 3 and max(map(len, words)) <= 5
+def _outweighed(kinds: Iterable[int], telling: int) -> bool:
+    """Whether one sentence without a cue is long and those without are more than those that tell."""
+    without, long = 0, False
+    for k in kinds:
+        without += k <= UNKNOWN
+        long |= k == LONG
+        if long and without > telling:
+            return True
+    return False
+
+
+def _may_tell(sentence: str) -> bool:
+    words = _WORD_OR_MARK.findall(sentence)
+    return "‡" in words or not all(map(_TELLS_NOT, map(_CUE_WORDS.__getitem__, words))) or len(words) >= 3 and len(set(words)) <= 2
 
 
 def message_parts(message: str) -> list[tuple[str, int]]:
     """The sentences of a masked message and their kinds; an error object, a stack trace or a bare status is one."""
     if _STRUCTURE.fullmatch(message):
         return [(message, STRONG)]
-    return [(p, sentence_kind(p)) for p in sentences(message)]
+    return [(p, _kind_or_long(p)) for p in sentences(message)]
 
 
 def message_is_case(parts: list[tuple[str, int]], recurs: Callable[[str], bool]) -> bool:
     """Every sentence is a notice, stands beside one, or recurs; and one of them is a notice or recurs with a cue.
 
-    Beside a notice any cue will do.
+    Beside a notice any cue will do.  If one without a cue is long and those
+    without are more than those with one, it is a real text, on however many sites.
     """
+    if _outweighed((k for _, k in parts), sum(k in (CUED, STRONG) for _, k in parts)):
+        return False
     least = CUED if any(k == STRONG for _, k in parts) else STRONG
     return all(k >= least or recurs(p) for p, k in parts) and any(k == STRONG or k == CUED and recurs(p) for p, k in parts)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each field that can be a case: what it has by itself (slot, filler), or its look."""
-    for batch in batches:
-        ids, fields, verdicts, looks = [], [], [], []
-        for i, field, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            look = canonical(text)
-            verdict = "slot" if slot_in(look) else "filler" if filler_in(look) else None
-            if verdict is None and not may_be_notice(look):
-                continue
-            ids.append(i), fields.append(field), verdicts.append(verdict), looks.append(None if verdict else look)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(verdicts, pa.string()), pa.array(looks, pa.string())],
-            ["page_id", "field", "verdict", "look"],
-        )
-
-
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_PARTS = pa.list_(pa.struct([pa.field("hash", pa.int64()), pa.field("kind", pa.int32())]))
-
-
-def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Masked: the hash of the whole and hash and kind of each sentence."""
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every field: what it has by itself (slot, filler), the hashes of its masked sentences, and of one that may be a message its hash and the kinds of its sentences."""
     for batch in batches:
-        ids, fields, domains = (batch.column(k).to_pylist() for k in range(3))
-        masks = [masked(look, domain) for look, domain in zip(batch.column(3).to_pylist(), domains, strict=True)]
-        parts = [[{"hash": _hash(p), "kind": k} for p, k in message_parts(m)] for m in masks]
+        verdicts, messages, hashes, kinds = [], [], [], []
+        for domain, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            look = canonical(text)
+            verdict = "slot" if slot_in(look) else "filler" if filler_in(look) else None
+            message = masked(look, domain)
+            parts = message_parts(message) if verdict is None and may_be_notice(message) else [(p, UNKNOWN) for p in sentences(message)]
+            telling = sum(k in (CUED, STRONG) for _, k in parts)
+            told = telling > 0 and not _outweighed((k for _, k in parts), telling)
+            verdicts.append(verdict)
+            messages.append(_hash(message) if told else None)
+            hashes.append([_hash(p) for p, _ in parts])
+            kinds.append([k for _, k in parts] if told else None)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(domains, pa.string()), pa.array(map(_hash, masks), pa.int64()), pa.array(parts, _PARTS)],
-            ["page_id", "field", "domain", "message", "parts"],
-        )
+            [
+                *(batch.column(k) for k in range(3)), pa.array(verdicts, pa.string()), pa.array(messages, pa.int64()),
+                pa.array(hashes, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32())),
+            ],
+            ["page_id", "field", "domain", "verdict", "message", "hashes", "kinds"],
+        )
 
 
 def residue_reasons(fields: DataFrame, sites: DataFrame) -> DataFrame:
     """(page_id, field, reason) of every field that is a case; a field with several reasons has a row for each.
 
-    ``fields``: page_id, field, text; ``sites``: page_id, domain.  Sentences
-    are counted by (hash, source) with map-side partial sums before they are
-    counted by hash, messages are decided once a distinct message, and the
-    verdict goes back to the rows in parts, so a message that holds a third of
-    all rows is in no single task.
+    ``fields``: page_id, field, text; ``sites``: page_id, domain.  The sentences
+    of all fields are counted by (hash, source) with map-side partial sums
+    before they are counted by hash, messages are decided once a distinct
+    message, and the verdict goes back to the rows in parts, so a message that
+    holds a third of all rows is in no single task.
     """
+    texts = fields.select("page_id", "field", "text").where(F.col("text").isNotNull() & (F.trim("text") != ""))
+    domains = sites.select("page_id", F.coalesce("domain", F.lit("")).alias("domain")).hint("merge")  # grows with the pages
     found = (
-        fields.select("page_id", "field", "text").where(F.col("text").isNotNull() & (F.trim("text") != ""))
-        .mapInArrow(_features, "page_id long, field string, verdict string, look string")
+        texts.join(domains, "page_id", "left").select("page_id", "field", F.coalesce("domain", F.lit("")).alias("domain"), "text")
+        .mapInArrow(_features, "page_id long, field string, domain string, verdict string, message long, hashes array<long>, kinds array<int>")
     )
-    found = written(found, "residue-features")  # verdicts and the few texts that may be messages
+    found = written(found, "residue-features")
     direct = found.where("verdict is not null").select("page_id", "field", F.col("verdict").alias("reason"))
-    domains = sites.select("page_id", F.coalesce("domain", F.lit("")).alias("domain")).hint("merge")  # grows with the pages
-    looks = found.where("verdict is null").join(domains, "page_id", "left")
-    told = looks.select("page_id", "field", F.coalesce("domain", F.lit("")).alias("domain"), "look").mapInArrow(
-        _messages, "page_id long, field string, domain string, message long, parts array<struct<hash:long,kind:int>>"
-    )
-    told = written(told, "residue-messages")
+    told = found.where("message is not null").select("page_id", "field", "message", "hashes", "kinds")
     all_sources = sites.select("domain").distinct().agg(F.count("*").alias("n"))
-    sources = told.select("domain", F.explode("parts.hash").alias("hash")).groupBy("hash", "domain").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("sources"))
+    sources = found.select(F.xxhash64("domain").alias("source"), F.explode("hashes").alias("hash")).distinct().groupBy("hash").agg(F.count("*").alias("sources"))
     enough = F.greatest(F.lit(RECURRING_SOURCES), F.ceil(all_sources.scalar() * RECURRING_SHARE))
     recurring = sources.where(F.col("sources") >= enough).select("hash", F.lit(True).alias("_recurs"))
-    kinds = told.groupBy("message").agg(F.any_value("parts").alias("parts")).select("message", F.explode("parts").alias("p")).select("message", "p.hash", "p.kind")
+    kinds = told.groupBy("message").agg(F.any_value(F.arrays_zip("hashes", "kinds")).alias("parts")).select("message", F.explode("parts").alias("p"))
+    kinds = kinds.select("message", F.col("p.hashes").alias("hash"), F.col("p.kinds").alias("kind"))
     each = spread_join(kinds, recurring, "hash", "message", "left").withColumn("_recurs", F.coalesce("_recurs", F.lit(False)))
     strong, cued = F.col("kind") == STRONG, F.col("kind") == CUED
     decided = each.groupBy("message").agg(

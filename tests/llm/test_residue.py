@@ -43,6 +43,29 @@ def test_unseen_notices_that_recur(spark):
     assert {i for i, _ in found(spark, rows)} == {100 * m + k for m in range(3) for k in range(n)}
 
 
+def test_long_sentences_without_a_cue(spark):
+    """Sentences are counted in every text, and a long one beside a notice counts as known if it recurs."""
+    n = R.RECURRING_SOURCES
+    long = "The lantern desk by the old bridge is closed until the keeper of the mill comes home from the market in the morning."
+    article = "The quiet market of the old town was never finished and the river is still open until the evening of the fair. "
+    rows = [(k, "body", f"site{k}.example", f"Page not found. {long}", None, None) for k in range(n)]
+    rows += [(100 + k, "body", f"site{k}.example", f"The lantern has an error. {long}", None, None) for k in range(n)]
+    rows += [(200 + k, "body", f"site{k}.example", f"{article}\nThe bell by the mill.", None, None) for k in range(n)]  # counted, though no case
+    rows += [(300, "body", "one.example", "Page not found. The bell by the mill.", None, None), (301, "body", "one.example", "Page not found. The bell by the fair.", None, None)]
+    rows += [(400 + k, "body", f"site{k}.example", f"{article}{long} The orchard has an error.", None, None) for k in range(n)]  # an article that is copied
+    assert {i for i, _ in found(spark, rows)} == {*range(n), *range(100, 100 + n), 300}
+
+
+def test_words_of_cues_and_guards_of_masks():
+    """What is looked up first leaves out nothing that the patterns would find."""
+    for name, cue in R._CUE.items():
+        for text in [*CASES, *REAL, "time-out", "timed out", "my_errors", "don't", "d'exemple", "(copy)", "no se hemos encontrada", "your text goes here", "não foi encontrado"]:
+            for m in cue.finditer(text.lower()):
+                assert any(name in R._CUE_WORDS[w] for w in R._WORD_OR_MARK.findall(m.group())), (name, text)
+    text = "See /srv/a.b and x.php at a.example, deadbeef or 12.5 on 2024-01-02: 404"
+    assert R.masked(text, "") == "see ¤ and ¤ at §, ¤ or # on #: ‡"
+
+
 def test_messages_of_any_length(spark):
     trace = "Traceback (most recent call last):\n" + "\n".join(f'File "/srv/app/module_{k}.py", line {k}, in render' for k in range(2000)) + "\nKeyError: 'x'"
     error = "Internal server error\n" + "\n".join(f"at /srv/app/part{k}.js: line {k}" for k in range(500))
