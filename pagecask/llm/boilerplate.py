@@ -96,6 +96,7 @@ NOTICE = re.compile("|".join(f"(?:{p.strip()})" for line in _NOTICES.strip().spl
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _ITEMS = re.compile(r"\s+[·|>›»•]\s+|\s{2,}|\s*/\s*")
 _MARKS = re.compile(r"[©®℗]|\(c\) ?\d{4}|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b(?:tel|fax)\b\W{0,3}\d|(?:^|\s)(?:[a-z0-9-]+\.)+[a-z]{2,}\.?$|\+?\d[\d ()/-]{7,}\d")
+_MARK_SIGN = re.compile(r"[©®℗(@.\d]")
 _WRAP = ",.;:()'\"!?…"
 _DATED = re.compile(r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\s|\d{4}-\d{2}-\d{2}\s")
 _LABEL = re.compile(r"([^:;.!?]{2,40}?)\s*:\s+(.+)")
@@ -146,20 +147,22 @@ def by_density(line: str, low: str, words: list[str]) -> int:
     n = len(words)
     if _BULLET.match(low) and n > 2:
         return MAIN  # list items of the page's own text
-    if n <= MARKED_WORDS and _MARKS.search(low):
+    if n <= MARKED_WORDS and _MARK_SIGN.search(low) and _MARKS.search(low):
         return FURNITURE  # legal and contact lines
     ends = low.endswith(_SENTENCE_END)
     if ends and n > ADDRESS_WORDS:
         return MAIN
     plain = [w.strip(_WRAP) for w in words]
-    stops = sum(w in STOP_WORDS for w in plain) / n
-    link = _link_density(low) if n <= 30 else 0.0
-    talk = sum(w in SITE_TALK for w in plain) if n <= ADDRESS_WORDS else 0
+    talk = sum(w in SITE_TALK for w in plain) if n <= ADDRESS_WORDS and not SITE_TALK.isdisjoint(plain) else 0
     addressed = talk > 0 and sum(w in ADDRESS for w in plain) >= max(1, ADDRESS_DENSITY * n)
-    if talk >= max(2, TALK_DENSITY * n) or addressed and (link > 0 or not ends):
+    if talk >= max(2, TALK_DENSITY * n) or addressed and not ends:
         return FURNITURE
     if n > LONG_WORDS and ends and not addressed:
         return MAIN
+    link = _link_density(low) if n <= 30 else 0.0
+    if addressed and link > 0:
+        return FURNITURE
+    stops = sum(w in STOP_WORDS for w in plain) / n
     if _DATED.match(low) and n <= 8 and not low.endswith("."):
         return FURNITURE  # a dated link to another page
     if all(w.startswith("#") and len(w) > 1 for w in words):
@@ -259,6 +262,7 @@ def label_blocks(lines: list[str], wording: bool = True) -> list[int]:
     return out
 
 
+@lru_cache(50_000)
 def furniture_heading(item: str) -> bool:
     """Whether a heading is the title of a side box; all others are the page's own."""
     low = _entry(item.lower())

@@ -66,7 +66,8 @@ SLOT = re.compile(
     | \b\w+_placeholder\b""",
     re.X | re.I,
 )
-_SLOT_SIGN = re.compile(r"[{<%$@\[&]|__|_p", re.I)
+_SLOT_SIGN = re.compile(r"[{<%$@\[&_](?:(?<!_)|[_pP])")
+_SLOT_SIGNS = "{<%$@[&_"
 _QUOTES = "`\"'“”„«»‘’"
 
 _WORD = re.compile(r"[^\W_]+")
@@ -75,17 +76,19 @@ _FILLER_SIGNS = ("ipsum", "nostrud", "consectetur", "incididunt", "reprehenderit
 _HOST = re.compile(r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b")
 _FILE = re.compile(r"(?:/[\w.]+)+|\b\w+\.(?:php|py|js|html?)\b")
 _IDENT = re.compile(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b|\b[0-9a-f]{8}\b|\b[0-9a-f]{8}(?=[a-z])")
-_DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b")
-_STATUS = re.compile(r"(?<![\w.,-])[45]\d\d(?![\w.,-])")
+# These begin with the character itself and look back past it, so that a search skips to where one stands.
+_DATE = re.compile(r"\d(?<!\w\d)\d{0,3}[./-]\d{1,2}[./-]\d{1,4}\b")
+_STATUS = re.compile(r"[45](?<![\w.,-][45])\d\d(?![\w.,-])")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
-_FILE_SIGN, _INNER_DOT, _DIGIT = re.compile(r"/[\w.]|\.(?:p|js|htm)"), re.compile(r"\.[a-z]"), re.compile(r"\d")
-_SPLIT = re.compile(r"\n+|(?<=[.!?:])\s+")
+_FILE_SIGN, _INNER_DOT, _DIGIT = re.compile(r"[/.](?:(?<=/)[\w.]|(?<=\.)(?:p|js|htm))"), re.compile(r"\.[a-z]"), re.compile(r"\d")
+_IDENT_SIGN = re.compile(r"[0-9a-f]{6}")
+_SPLIT = re.compile(r"\s(?:(?<=\n)\n*|(?<=[.!?:]\s)\s*)")
 _TRIM = " \t.!?:;,…*–—-|·/\"'()«»[]"
 
 
 def slot_in(text: str) -> bool:
     """Whether an unfilled slot stands in the text, other than as a quotation."""
-    if not _SLOT_SIGN.search(text):
+    if not any(map(text.__contains__, _SLOT_SIGNS)) or not _SLOT_SIGN.search(text):
         return False
     for m in SLOT.finditer(text):
         before, after = text[: m.start()].rstrip()[-1:], text[m.end() :].lstrip()[:1]
@@ -110,7 +113,7 @@ def _site(domain: str) -> re.Pattern | None:
     """Finds the site's name: the letters of the address, with blanks or hyphens anywhere between."""
     label = domain.lower().removeprefix("www.").removeprefix("blog.").removeprefix("docs.").split(".")[0]
     letters = re.sub(r"[^a-z0-9]", "", label)
-    return re.compile(r"\b" + r"[\s_-]?".join(map(re.escape, letters)) + r"\b") if 4 <= len(letters) <= 60 else None
+    return re.compile(rf"{letters[0]}(?<!\w{letters[0]})[\s_-]?" + r"[\s_-]?".join(letters[1:]) + r"\b") if 4 <= len(letters) <= 60 else None
 
 
 def masked(text: str, domain: str) -> str:
@@ -123,7 +126,8 @@ def masked(text: str, domain: str) -> str:
     site = _site(domain or "")
     if site:
         t = site.sub("§", t)
-    t = _IDENT.sub("¤", t)
+    if _IDENT_SIGN.search(t):
+        t = _IDENT.sub("¤", t)
     if _DIGIT.search(t):
         t = _NUMBER.sub("#", _STATUS.sub("‡", _DATE.sub("#", t)))
     return "\n".join(" ".join(line.split()) for line in t.split("\n")).strip()
@@ -234,12 +238,15 @@ def sentences(message: str) -> list[str]:
     return [p.strip(_TRIM + "§") or "§" for p in _SPLIT.split(message)]
 
 
-def may_be_notice(message: str) -> bool:
-    """Whether the sentences with a cue that tells may be enough; words alone are looked up. If not, a text is no case, whatever recurs."""
+def may_be_notice(message: str, own: list[str] | None = None) -> bool:
+    """Whether the sentences with a cue that tells may be enough; words alone are looked up. If not, a text is no case, whatever recurs.
+
+    ``own``: the sentences of a masked message, which are in lower case, where they are known.
+    """
     low = message.lower()
     if _STRUCTURE.fullmatch(low) or _STATUS.search(low):
         return True
-    own = sentences(low)
+    own = sentences(low) if own is None else own
     rest = [p for p in own if not _may_tell(p)]
     return len(rest) < len(own) and not _outweighed(map(_kind_or_long, rest), len(own) - len(rest))
 
@@ -260,16 +267,35 @@ def _outweighed(kinds: Iterable[int], telling: int) -> bool:
     return False
 
 
+class _Telling(dict):
+    """Of what stands between two blanks, whether a word of it can end a cue that tells; remembers what was seen, up to a bound."""
+
+    def __missing__(self, chunk: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        words = _WORD_OR_MARK.findall(chunk)
+        out = self[chunk] = "‡" in words or not all(map(_TELLS_NOT, map(_CUE_WORDS.__getitem__, words)))
+        return out
+
+
+_TELLING = _Telling()
+
+
 def _may_tell(sentence: str) -> bool:
+    chunks = sentence.split()
+    if any(map(_TELLING.__getitem__, chunks)):
+        return True
+    if len(set(filter(str.isalpha, chunks[:8]))) > 2:
+        return False  # three different words
     words = _WORD_OR_MARK.findall(sentence)
-    return "‡" in words or not all(map(_TELLS_NOT, map(_CUE_WORDS.__getitem__, words))) or len(words) >= 3 and len(set(words)) <= 2
+    return len(words) >= 3 and len(set(words)) <= 2
 
 
-def message_parts(message: str) -> list[tuple[str, int]]:
-    """The sentences of a masked message and their kinds; an error object, a stack trace or a bare status is one."""
+def message_parts(message: str, own: list[str] | None = None) -> list[tuple[str, int]]:
+    """The sentences (``own``, where they are known) of a masked message and their kinds; an error object, a stack trace or a bare status is one."""
     if _STRUCTURE.fullmatch(message):
         return [(message, STRONG)]
-    return [(p, _kind_or_long(p)) for p in sentences(message)]
+    return [(p, _kind_or_long(p)) for p in (sentences(message) if own is None else own)]
 
 
 def message_is_case(parts: list[tuple[str, int]], recurs: Callable[[str], bool]) -> bool:
@@ -296,7 +322,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             look = canonical(text)
             verdict = "slot" if slot_in(look) else "filler" if filler_in(look) else None
             message = masked(look, domain)
-            parts = message_parts(message) if verdict is None and may_be_notice(message) else [(p, UNKNOWN) for p in sentences(message)]
+            own = sentences(message)
+            parts = message_parts(message, own) if verdict is None and may_be_notice(message, own) else [(p, UNKNOWN) for p in own]
             telling = sum(k in (CUED, STRONG) for _, k in parts)
             told = telling > 0 and not _outweighed((k for _, k in parts), telling)
             verdicts.append(verdict)

@@ -1,3 +1,7 @@
+import random
+import re
+
+import pyarrow as pa
 import pytest
 
 from pagecask.llm import residue as R
@@ -91,6 +95,31 @@ def test_site_is_masked(text):
     assert R.masked(f"{text} error 12.5 on 2024-01-02 a0b1c2d3", "www.katrefaforum.example") == "§ error # on # ¤"
 
 
+def test_fast_patterns_find_what_the_plain_ones_find():
+    """Patterns that begin with a character, and guards, against the plain forms of the same rules."""
+    rng = random.Random(1)
+    plain = {
+        R._DATE: r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b", R._STATUS: r"(?<![\w.,-])[45]\d\d(?![\w.,-])", R._SPLIT: r"\n+|(?<=[.!?:])\s+",
+        R._SLOT_SIGN: r"(?i:[{<%$@\[&]|__|_p)", R._FILE_SIGN: r"/[\w.]|\.(?:p|js|htm)", R._site("www.ab4a.example"): r"\ba[\s_-]?b[\s_-]?4[\s_-]?a\b",
+    }
+    for _ in range(4000):
+        text = "".join(rng.choice(["4", "04", "12", "a", "b", "ab4a", "-", ".", ",", "/", "_", "p", "P", " ", "\n", "!", "{", "js", "δ", "\x85", "deadbee", "f0"]) for _ in range(rng.randrange(14)))
+        for fast, rule in plain.items():
+            assert [m.span() for m in fast.finditer(text)] == [m.span() for m in re.finditer(rule, text)], (rule, text)
+        assert R._IDENT_SIGN.search(text) or not R._IDENT.search(text)
+        words = R._WORD_OR_MARK.findall(text)
+        tells = any(not R._TELLS_NOT(R._CUE_WORDS[w]) for w in words) or len(words) >= 3 and len(set(words)) <= 2
+        assert R._may_tell(text) == tells, text
+
+
+def test_each_message_is_split_once(monkeypatch):
+    split, own = [], R.sentences
+    monkeypatch.setattr(R, "sentences", lambda message: split.append(message) or own(message))
+    texts = [t for t in [*CASES, *REAL, *["The quiet market of the old town. The limit of the river."] * 20] if t.strip()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), *(pa.array([x] * len(texts)) for x in ("body", "some-site.example")), pa.array(texts)], ["page_id", "field", "domain", "text"])
+    assert sum(b.num_rows for b in R._features(iter([batch]))) == len(split) == len(texts)
+
+
 def test_query(spark, data):
     found = R.p2_found(spark, data)
     assert found.columns == ["page_id", "field"]
