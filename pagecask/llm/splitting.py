@@ -17,10 +17,13 @@ Defined results
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,85 +34,151 @@ WINDOW = 12
 SMALLEST = 0.5
 LANDMARKS = 3
 NONE, WORD, SENTENCE, PARAGRAPH = 0, 1, 2, 3
+#: Texts are marked together until they have so many tokens.
+TOGETHER = 1 << 15
 
 _BLANK = b" \t\r\n\x0b\x0c"
+_CONTINUED = bytes(range(0x80, 0xC0))
 _STOPS = tuple(s.encode() for s in (".", "!", "?", "…", ";", ":", '."', '!"', '?"', ".”", ".»", ".)", "。"))
 
 
+#: What a token's bytes are like, one bit each.
+STARTS_BLANK, ENDS_BLANK, FEED, STOP, INSIDE, ENDS_SOLID = 1, 2, 4, 8, 16, 32
+
+
+def _ends_solid(token: bytes) -> bool:
+    """Whether its last character is whole and certainly no white space."""
+    if not token or token[-1] < 0x80:
+        return token[-1:] > b" " and token[-1:] != b"\x7f"
+    try:
+        return not token.decode()[-1].isspace()
+    except UnicodeDecodeError:
+        return False
+
+
 @functools.lru_cache(2)
 def _token_table(ranks: bytes) -> tuple[np.ndarray, ...]:
-    """By token id: length, starts blank, ends blank, has a line feed, ends a sentence, starts inside a character, random word."""
-    raw = token_bytes(ranks)
+    """By token id: kind (bits), number of characters that start in it, random word. The last stands between texts and has none of them."""
+    raw = [*token_bytes(ranks), b""]
     rng = np.random.default_rng(11)
+    kinds = (
+        (STARTS_BLANK, [t[:1] in _BLANK for t in raw]),
+        (ENDS_BLANK, [t[-1:] in _BLANK for t in raw]),
+        (FEED, [b"\n" in t for t in raw]),
+        (STOP, [t.rstrip(_BLANK).endswith(_STOPS) for t in raw]),
+        (INSIDE, [b"\x80" <= t[:1] < b"\xc0" for t in raw]),
+        (ENDS_SOLID, [_ends_solid(t) for t in raw]),
+    )
+    used = np.array([t != b"" for t in raw])
     return (
-        np.array([len(t) for t in raw]),
-        np.array([t[:1] in _BLANK if t else False for t in raw]),
-        np.array([t[-1:] in _BLANK if t else False for t in raw]),
-        np.array([b"\n" in t for t in raw]),
-        np.array([t.rstrip(_BLANK).endswith(_STOPS) for t in raw]),
-        np.array([bool(t) and 0x80 <= t[0] < 0xC0 for t in raw]),
-        rng.integers(0, 1 << 63, len(raw), dtype=np.uint64),
+        sum((np.array(holds) & used) * np.uint8(bit) for bit, holds in kinds),
+        np.array([len(t.translate(None, _CONTINUED)) for t in raw]),
+        np.append(rng.integers(0, 1 << 63, len(raw) - 1, dtype=np.uint64), np.uint64(0)),
     )
 
 
 def boundaries(ids: np.ndarray, ranks: bytes) -> np.ndarray:
     """Level of the boundary before each token; -1 inside a character."""
-    _, starts, ends, feed, stop, inside, _ = _token_table(ranks)
     level = np.zeros(len(ids), np.int8)
     if len(ids) < 2:
         return level
-    a, b = ids[:-1], ids[1:]
-    gap = starts[b] | ends[a]
-    level[1:] = np.where(gap, WORD, NONE)
-    before_stop = stop[a].copy()
-    blank_only = starts[a] & ends[a] & ~stop[a]
-    before_stop[1:] |= blank_only[1:] & before_stop[:-1]
-    level[1:][gap & before_stop] = SENTENCE
-    level[1:][(feed[a] & ~feed[b]) | (feed[b] & ~feed[a] & starts[b])] = PARAGRAPH
-    level[1:][inside[b]] = -1
+    kind = _token_table(ranks)[0][ids]
+    a, b = kind[:-1], kind[1:]
+    gap = ((a & ENDS_BLANK) | (b & STARTS_BLANK)) > 0
+    stop = (a & STOP) > 0
+    blank_only = (a & (STARTS_BLANK | ENDS_BLANK | STOP)) == STARTS_BLANK | ENDS_BLANK
+    before_stop = stop.copy()
+    before_stop[1:] |= blank_only[1:] & stop[:-1]
+    out = level[1:]
+    out += gap
+    out += gap & before_stop
+    out[((a ^ b) & FEED > 0) & (((a & FEED) | (b & STARTS_BLANK)) > 0)] = PARAGRAPH
+    out[(b & INSIDE) > 0] = -1
     return level
 
 
 def rolling(ids: np.ndarray, ranks: bytes) -> np.ndarray:
-    """Hash of the WINDOW tokens before each position."""
-    word = _token_table(ranks)[-1][ids]
-    h = np.zeros(len(ids), np.uint64)
-    for k in range(WINDOW):
-        h[k + 1 :] += (word << np.uint64(k))[: len(word) - k - 1]
+    """Hash of the WINDOW tokens before each position: the sum of their words, the k-th last shifted by k."""
+    part, h, at = _token_table(ranks)[-1][ids], np.zeros(len(ids), np.uint64), 0
+    width = 1  # part has the sum over so many tokens up to each; WINDOW is put together of powers of two
+    while True:
+        if WINDOW & width:
+            h[at + 1 :] += (part << np.uint64(at))[: max(0, len(ids) - at - 1)]
+            at += width
+        if at == WINDOW:
+            break
+        wider = part.copy()
+        wider[width:] += part[:-width] << np.uint64(width)
+        part, width = wider, 2 * width
     h *= np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(32))
 
 
+class Marks(NamedTuple):
+    """What the pieces of a text under every limit are made from."""
+
+    level: np.ndarray
+    h: np.ndarray
+    #: Token positions of each level.
+    places: dict[int, np.ndarray]
+    #: Token positions at which a word ends and a blank begins, with both ends of the text. Whatever stands before or after,
+    #: the tokenizer divides there: no part of its pattern goes on from a character to a blank.
+    sure: np.ndarray
+    #: Character at which each token begins, and the text's end.
+    char: np.ndarray
+
+
+def marks(texts: Sequence[Sequence[int]], ranks: bytes) -> list[Marks]:
+    """Those of each text, given its tokens; all are made at once, with WINDOW tokens between two texts that are none."""
+    kind, leads, _ = _token_table(ranks)
+    between = [len(kind) - 1] * WINDOW
+    size = np.array([len(x) for x in texts], int)
+    end = np.cumsum(size + WINDOW)
+    begin = end - size
+    ids = np.fromiter(itertools.chain.from_iterable(itertools.chain.from_iterable((between, x) for x in texts)), int, int(end[-1]) if len(end) else 0)
+    level, h, kind = boundaries(ids, ranks), rolling(ids, ranks), kind[ids]
+    level[begin[size > 0]] = NONE
+    char = np.append(0, np.cumsum(leads[ids]))
+    sure = (((kind[:-1] & ENDS_SOLID) > 0) & ((kind[1:] & STARTS_BLANK) > 0)).nonzero()[0] + 1
+
+    def by_text(at: np.ndarray) -> list[np.ndarray]:
+        return [at[i:j] - b for i, j, b in zip(at.searchsorted(begin).tolist(), at.searchsorted(end).tolist(), begin, strict=True)]
+
+    levels = (PARAGRAPH, SENTENCE, WORD, NONE)
+    places = zip(*(by_text((level == v).nonzero()[0]) for v in levels), strict=True)
+    return [
+        Marks(level[b:e], h[b:e], dict(zip(levels, p, strict=True)), np.concatenate(([0], s, [e - b])), char[b : e + 1] - char[b])
+        for b, e, p, s in zip(begin.tolist(), end.tolist(), places, by_text(sure), strict=True)
+    ]
+
+
 class OverlapError(ValueError):
     """An overlap of more than half the limit."""
 
 
-def cuts(ids: np.ndarray, limit: int, overlap: int, ranks: bytes, level: np.ndarray | None = None, h: np.ndarray | None = None) -> list[int]:
-    """Token positions at which pieces begin, their overlap not counted; the first is 0. ``level`` and ``h`` are those of the tokens, if known."""
+def cuts(ids: Sequence[int], limit: int, overlap: int, ranks: bytes, known: Marks | None = None) -> list[int]:
+    """Token positions at which pieces begin, their overlap not counted; the first is 0. ``known`` are the marks of the tokens."""
     if overlap > limit // 2:
         raise OverlapError(f"overlap {overlap} with limit {limit}")
     out = [0]
     n = len(ids)
     if n <= limit:
         return out
-    level = boundaries(ids, ranks) if level is None else level
-    h = rolling(ids, ranks) if h is None else h
+    level, h, places, _, _ = known or marks([ids], ranks)[0]
     # sizes as if every piece had an overlap, so that they don't depend on the place in the text
     most = limit - overlap
     least = max(1, int(most * SMALLEST))
     spacing = max(2, (most - least) // LANDMARKS)
-    landmark = np.flatnonzero(h % np.uint64(spacing) == 0)
-    places = {v: np.flatnonzero(level == v) for v in (PARAGRAPH, SENTENCE, WORD, NONE)}
+    landmark = (h % np.uint64(spacing) == 0).nonzero()[0]
     at = 0
     while n - at > most:
         low, high = at + least, min(at + most, n - 1)
-        k = np.searchsorted(landmark, low)
+        k = landmark.searchsorted(low)
         mark = int(landmark[k]) if k < len(landmark) and landmark[k] <= high else low + int(h[low : high + 1].argmax())
         cut = None
-        for v in (PARAGRAPH, SENTENCE, WORD, NONE):
-            p = places[v]
-            i = np.searchsorted(p, mark)
-            near = [int(p[j]) for j in (i - 1, i) if 0 <= j < len(p) and low <= p[j] <= high]
+        for p in places.values():
+            i = p.searchsorted(mark)
+            near = [int(x) for x in p[max(i - 1, 0) : i + 1] if low <= x <= high]
             if near:
                 cut = min(near, key=lambda x: (abs(x - mark), x))
                 break
@@ -123,42 +192,47 @@ def cuts(ids: np.ndarray, limit: int, overlap: int, ranks: bytes, level: np.ndar
     return out
 
 
-def pieces(text: str, limit: int, overlap: int, ranks: bytes, ids: np.ndarray | None = None, level: np.ndarray | None = None, h: np.ndarray | None = None) -> list[tuple[int, int, int, int, str]]:
+def count_between(text: str, start: int, end: int, known: Marks, enc: tiktoken.Encoding) -> int:
+    """Tokens of the text from one token to another, taken by itself: those between the first and the last sure place are
+    as in the whole text, only what is left at either end is tokenized again."""
+    _, _, _, sure, char = known
+    first, last = int(sure[sure.searchsorted(start)]), int(sure[sure.searchsorted(end, "right") - 1])
+    if first > last:
+        return len(enc.encode_ordinary(text[char[start] : char[end]]))
+    n = last - first
+    if start < first:
+        n += len(enc.encode_ordinary(text[char[start] : char[first]]))
+    if last < end:
+        n += len(enc.encode_ordinary(text[char[last] : char[end]]))
+    return n
+
+
+def pieces(text: str, limit: int, overlap: int, ranks: bytes, ids: Sequence[int] | None = None, known: Marks | None = None) -> list[tuple[int, int, int, int, str]]:
     """(begin, new_from, end, tokens, piece): characters begin..end are the piece, of which those before new_from are the overlap."""
     enc = encoding(ranks)
     if ids is None:
-        ids = np.array(enc.encode_ordinary(text), int)
+        ids = enc.encode_ordinary(text)
     if not len(ids):
         return []
     if len(ids) <= limit:
         return [(0, 0, len(text), len(ids), text)]
-    raw = text.encode("utf-8", "replace")
-    level = boundaries(ids, ranks) if level is None else level
-    begins = cuts(ids, limit, overlap, ranks, level, h)
+    known = known or marks([ids], ranks)[0]
+    begins = cuts(ids, limit, overlap, ranks, known)
     ends = [*begins[1:], len(ids)]
-    inside = _token_table(ranks)[5]
-    offset = np.append(0, np.cumsum(_token_table(ranks)[0][ids]))
-    ascii_ = len(raw) == len(text)
-    lead = None if ascii_ else np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
-    char = (lambda b: int(b)) if ascii_ else (lambda b: int(lead[b]))
+    level, char = known.level, known.char
     out: list[tuple[int, int, int, int, str]] = []
     for k, (a, e) in enumerate(zip(begins, ends, strict=True)):
         start = a if k == 0 else max(0, a - overlap)
-        while start < a and inside[ids[start]]:
+        while start < a and level[start] < 0:
+            start += 1
+        tokens = count_between(text, start, e, known, enc)
+        while tokens > limit and start < a:  # the overlap gives way
             start += 1
-        tokens = e - start
-        piece = raw[offset[start] : offset[e]].decode()
-        # cut inside a word or a run of blanks, tokens may join in another way
-        safe = (start == 0 or level[start] > NONE) and (e == len(ids) or level[e] > NONE)
-        if not safe or piece[:1] in " \n\t\r" or piece[-1:] in " \n\t\r":
-            tokens = len(enc.encode_ordinary(piece))
-            while tokens > limit and start < a:  # the overlap gives way
+            while start < a and level[start] < 0:
                 start += 1
-                while start < a and inside[ids[start]]:
-                    start += 1
-                piece = raw[offset[start] : offset[e]].decode()
-                tokens = len(enc.encode_ordinary(piece))
-        out.append((char(offset[start]), char(offset[a]), char(offset[e]), tokens, piece))
+            tokens = count_between(text, start, e, known, enc)
+        begin, new, end = int(char[start]), int(char[a]), int(char[e])
+        out.append((begin, new, end, tokens, text[begin:end]))
     return out
 
 
@@ -179,14 +253,25 @@ def split_texts(documents: DataFrame, key: str, text: str, settings: list[tuple[
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+        def groups(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+            group, n = [], 0
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                group.append((i, t, ids := enc.encode_ordinary(t)))
+                n += len(ids)
+                if n >= TOGETHER:
+                    yield group
+                    group, n = [], 0
+            yield group
+
+        def marked(group: list[tuple]) -> Iterator[tuple]:
+            known = iter(marks([ids for *_, ids in group if len(ids) > least], table))
+            return ((*x, next(known) if len(x[2]) > least else None) for x in group)
+
         for batch in batches:
             rows, size = [], 0
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array(enc.encode_ordinary(t), int)
-                long_ = len(ids) > least
-                level, h = (boundaries(ids, table), rolling(ids, table)) if long_ else (None, None)
+            for i, t, ids, known in itertools.chain.from_iterable(map(marked, groups(batch))):
                 for name, limit, overlap in settings:
-                    for no, (a, new, b, n, piece) in enumerate(pieces(t, limit, overlap, table, ids, level, h)):
+                    for no, (a, new, b, n, piece) in enumerate(pieces(t, limit, overlap, table, ids, known)):
                         rows.append((name, i, no + 1, a, new, b, n, piece))
                         size += len(piece)
                 if size > 4_000_000:

@@ -131,6 +131,57 @@ def test_any_text(ranks, text):
     assert "".join(text[new:end] for _, new, end, _, _ in got) == text and all(n <= 24 and n == len(enc.encode_ordinary(p)) for *_, n, p in got)
 
 
+def test_pieces_are_not_tokenized_again(ranks, monkeypatch):
+    enc, lengths = K.encoding(ranks), []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            lengths.append(len(text))
+            return enc.encode_ordinary(text)
+
+    monkeypatch.setattr(S, "encoding", lambda _: Counted())
+    for text in ("One sentence here. Another one there! " * 400, "para one line.\n\npara two line.\r\n\r\n" * 400, "μια πρόταση.\n\nслово и дело " * 400):
+        for limit, overlap in ((256, 32), (1024, 96)):
+            lengths.clear()
+            assert len(S.pieces(text, limit, overlap, ranks)) > 1 and len(text) <= sum(lengths) < 1.1 * len(text)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(st.sampled_from("ab's .\n\r\t\x0c\x85\xa0\u3000!é😀я世1"), min_size=1, max_size=60), st.data())
+def test_tokens_between_any_two_places(ranks, text, data):
+    enc = K.encoding(ranks)
+    ids = np.array(enc.encode_ordinary(text), int)
+    known = S.marks([ids], ranks)[0]
+    whole = [k for k in range(len(ids)) if known.level[k] >= 0] + [len(ids)]
+    start, end = sorted(data.draw(st.lists(st.sampled_from(whole), min_size=2, max_size=2)))
+    assert S.count_between(text, start, end, known, enc) == len(enc.encode_ordinary(text[known.char[start] : known.char[end]]))
+
+
+def test_rolling_hash_is_that_of_the_tokens_before(ranks):
+    words = S._token_table(ranks)[-1]
+    for n in (1, 5, 12, 13, 60):
+        ids = np.random.default_rng(n).integers(0, len(words), n)
+        for i, h in enumerate(S.rolling(ids, ranks)):
+            want = sum(int(words[ids[i - 1 - k]]) << k for k in range(min(S.WINDOW, i))) * 0x9E3779B97F4A7C15 % 2**64
+            assert int(h) == want ^ want >> 32
+
+
+def test_texts_marked_together_are_marked_as_alone(ranks):
+    enc = K.encoding(ranks)
+    texts = [enc.encode_ordinary(t) for t in (" starts blank. \n", "\n\nfeeds first", "", "ends with a stop.", " \n", "слово 😀", *TEXTS)]
+    for got, ids in zip(S.marks(texts, ranks), texts, strict=True):
+        (alone,) = S.marks([ids], ranks)
+        assert (got.level == S.boundaries(np.array(ids, int), ranks)).all() and (got.h == S.rolling(np.array(ids, int), ranks)).all()
+        assert all((got.places[v] == alone.places[v]).all() for v in got.places) and sum(map(len, got.places.values())) == (got.level >= 0).sum()
+        assert got.sure.tolist() == alone.sure.tolist() and got.char.tolist() == alone.char.tolist() and got.char[-1] == len(enc.decode(ids))
+    assert S.marks([], ranks) == []
+
+
+def test_a_limit_below_the_window(ranks):
+    text = "one two three four five six seven eight nine ten"
+    assert "".join(text[new:end] for _, new, end, _, _ in S.pieces(text, 8, 2, ranks)) == text
+
+
 def test_natural_boundaries_and_local_edits(ranks):
     rng = np.random.default_rng(5)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "ru", "ta") for b in ("ber", "dan", "fel", "gor", "hum")]
